@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,34 +42,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """A string column as bytes, null as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [b"" if x is None else x for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
-
-
 def strings(column: pa.Array) -> list[str]:
     """A string column, null as empty."""
     return [x or "" for x in column.to_pylist()]
 
 
-def as_table(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow where fn turns a batch into columns named as in schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else df.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = fn(batch)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, made[f.name]) for f in arrow)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 class Remembered(dict):
     """What make() gives for a key; forgets the older half of its keys beyond a fixed number."""
 
@@ -90,14 +68,35 @@ class Remembered(dict):
             self.clear()
 
 
-class WordHashes(Remembered):
-    """64-bit hashes of words."""
+def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts take about most bytes each, so that memory doesn't follow the batch size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
 
-    def __init__(self, most: int = 300_000):
-        super().__init__(xxhash.xxh64_intdigest, most)
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a text column, and where each text's begin and end.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    Words stand between ASCII white space (0x20, 0x09 to 0x0D) with A-Z in lower case; a null text
+    has none. Each distinct word of the column is hashed once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary() if coded.dictionary.type == pa.string() else pa.large_binary()).to_pylist()
+    codes = coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    empty = next((i for i, w in enumerate(distinct) if not w), None)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    if empty is not None:
+        keep = codes != empty
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        codes = codes[keep]
+    return hashes[codes], offsets
 
 
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
@@ -121,8 +120,3 @@ def runs_hashed(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = mixed(h + words[i : n - k + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
     return h
-
-
-def split_words(text: bytes) -> list[bytes]:
-    """Words between ASCII white space (0x20, 0x09 to 0x0D), A-Z in lower case."""
-    return text.lower().split()

@@ -31,13 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, runs_hashed, scratch, split_words, utf8
+from .common import cut, pieces, runs_hashed, scratch, word_hashes
 from .components import components
 
 CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 FILTER_BITS = 1 << 24
-_WORDS = WordHashes()
 
 
 def word_weights(texts: DataFrame) -> np.ndarray:
@@ -46,13 +45,11 @@ def word_weights(texts: DataFrame) -> np.ndarray:
     the same size for any input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(CELLS, dtype=np.int64), WordHashes()
+        total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for t in utf8(batch.column(0)):
-                w = split_words(t)
-                if w:
-                    np.add.at(total, words.of(w) % np.uint64(CELLS), 1)
-            words.trim()
+            for part in pieces(batch, 0):
+                words, _ = word_hashes(part.column(0))
+                total += np.bincount((words % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         for c in range(CELLS // CHUNK):
             part = total[c * CHUNK : (c + 1) * CHUNK]
             if part.any():
@@ -73,15 +70,14 @@ def word_weights(texts: DataFrame) -> np.ndarray:
     return np.round(8 * np.log2(1 + out)).astype(np.uint8)
 
 
-def shingle_set(text: bytes, k: int, words: WordHashes = _WORDS) -> np.ndarray:
-    """The distinct hashes of the k-word shingles, ascending."""
-    return np.unique(runs_hashed(words.of(split_words(text)), k))
+def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
+    """The distinct hashes of the k-word shingles of word hashes, ascending."""
+    return np.unique(runs_hashed(w, k))
 
 
-def prefix_of(text: bytes, k: int, percent: int, weights: np.ndarray, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def prefix_of(w: np.ndarray, k: int, percent: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A text's shingle set, and the part of it that must meet the same part of any set with at
     least percent / 100 of Jaccard similarity: the rarest by word counts, ties by hash."""
-    w = words.of(split_words(text))
     h = runs_hashed(w, k)
     s, first = np.unique(h, return_index=True)
     n = len(s)
@@ -213,15 +209,14 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in pieces(batch, 1)):
             sizes, prints, prefixes = [], [], []
-            for t in utf8(batch.column(1)):
-                s, p = prefix_of(t, k, percent, weights, words)
+            words, ends = word_hashes(batch.column(1))
+            for a, b in zip(ends[:-1], ends[1:]):
+                s, p = prefix_of(words[a:b], k, percent, weights)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 prefixes.append(p.view(np.int64))
-            words.trim()
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(prints, type=pa.binary()), lists], names=["id", "n", "fp", "prefix"])
@@ -244,14 +239,12 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     bits = _bitmap(wanted)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             cell = batch.column(2).to_numpy()
             hit = np.flatnonzero((bits[cell >> 6] >> (cell & 63)) & 1)
-            if len(hit):
-                part = batch.take(pa.array(hit))
-                sets = [shingle_set(t, k, words) for t in utf8(part.column(1))]
-                words.trim()
+            for part in pieces(batch.take(pa.array(hit)), 1) if len(hit) else ():
+                words, ends = word_hashes(part.column(1))
+                sets = [shingle_set(words[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "set"])
 
     found = rows.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell")).mapInArrow(sets_of, "id long, set binary")

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import op9_fingerprints
 from .jaccard_join import op7_jaccard_join
 from .packing import op4_packing
 from .token_store import op8_token_store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op7_jaccard_join, op8_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op7_jaccard_join, op8_token_store, op9_fingerprints)}
 
 ORACLES: dict[str, str] = {}
