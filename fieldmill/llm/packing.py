@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import pieces
 from .tokens import Encoder, default_path
 
 LENGTH, SENTENCE, HARD = 2048, 1, 4
@@ -168,11 +168,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*made)], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                packer.add(doc_id, np.frombuffer(enc.raw(t) + tail, dtype=enc.dtype))
-            enc.cache.trim()
-            if packer.out:
-                yield rows()
+            for part in pieces(batch, 1, 16 << 20):
+                for doc_id, raw in zip(part.column(0).to_pylist(), enc.batch(part.column(1))):
+                    packer.add(doc_id, np.frombuffer(raw + tail, dtype=enc.dtype))
+                if packer.out:
+                    yield rows()
         packer.pack(last=True)
         if packer.out:
             yield rows()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, scratch, strings
+from .common import mixed, pieces, scratch
 from .tokens import Encoder, default_path
 
 MAGIC = b"FMIX0001"
@@ -182,11 +182,10 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                 continue
             out = out or fs.open_output_stream(f"{name}.bin.{own}")
             keys.append(batch.column(0))
-            for t in strings(batch.column(1)):
-                raw = enc.raw(t) + tail
-                sizes.append(len(raw) // width)
-                out.write(raw)
-            enc.cache.trim()
+            for part in pieces(batch, 1, 16 << 20):
+                for raw in enc.batch(part.column(1)):
+                    sizes.append(len(raw) // width + 1)
+                    out.write(raw + tail)
         if out is None:
             return
         out.close()

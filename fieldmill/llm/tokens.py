@@ -1,19 +1,36 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 The library splits a text into pre-tokens by a fixed pattern and encodes each by itself, so the
-ids of a text are the joined ids of its pre-tokens. Pre-tokens repeat, hence every Python worker
-keeps the ids of those met lately, up to a fixed number, and asks the library for the rest.
+ids of a text are the joined ids of its pre-tokens. A pre-token holds a space at its front or is
+white space altogether. So where no two white-space characters stand together, a text may be cut
+before every space, and each distinct part of a batch is encoded once. Pre-tokens repeat from batch
+to batch, hence every Python worker keeps the ids of those met lately, up to a fixed number.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import Remembered
 
+SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}][\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def _letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _letters()
 _WORKER: dict[str, "Encoder"] = {}
 
 
@@ -26,7 +43,7 @@ def default_path() -> str:
 class Encoder:
     """ids(text) gives the ids as an array of dtype (two bytes where the vocabulary allows it)."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -36,9 +53,14 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = self.dtype.char
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        encode, dtype = self.tok.encode, self.dtype
-        self.cache = Remembered(lambda w: np.array(encode(w, add_special_tokens=False).ids, dtype=dtype).tobytes(), remembered)
+        self.cache = Remembered(self.model_ids, remembered)
+
+    def model_ids(self, pretoken: str) -> bytes:
+        """The model's ids of a pre-token; the model takes bytes as the letters of LETTERS."""
+        found = self.tok.model.tokenize(pretoken.encode().decode("latin-1").translate(LETTERS))
+        return array(self.code, [t.id for t in found]).tobytes()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -50,8 +72,30 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, self.split(text)))
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), dtype=self.dtype)
+    def batch(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of every text of a column, null as empty, as bytes of dtype."""
+        column = pc.fill_null(column, "")
+        plain = pc.invert(pc.match_substring_regex(column, SPACES)).to_pylist()
+        lists = pc.split_pattern(column, " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        split, ids, words, parts = self.split, self.cache.__getitem__, coded.dictionary.to_pylist(), []
+        for w in words:
+            if w.isalpha():
+                parts.append(ids(" " + w))
+            elif w[:-1].isalpha() and w[-1] in ".,":
+                parts.append(ids(" " + w[:-1]) + ids(w[-1]))
+            else:
+                parts.append(b"".join(map(ids, split(" " + w))))
+        a = 0
+        for i, b in enumerate(ends):
+            if plain[i]:
+                yield self.raw(words[codes[a]]) + b"".join([parts[c] for c in codes[a + 1 : b].tolist()])
+            else:
+                yield self.raw(column[i].as_py())
+            a = b
+        self.cache.trim()
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether a sentence may end behind it: final punctuation or a line break."""
