@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import decontaminate, url_filter
+from .decontaminate import op10_decontamination
 from .fingerprint import op9_fingerprints
 from .html_extract import op2_html_extraction
 from .jaccard_join import op7_jaccard_join
@@ -15,8 +16,8 @@ from .token_counts import op1_token_counts
 from .token_store import op8_token_store
 from .url_filter import op5_url_filters
 
-_ALL = (op1_token_counts, op2_html_extraction, op4_packing, op5_url_filters, op7_jaccard_join, op8_token_store, op9_fingerprints)
+_ALL = (op1_token_counts, op2_html_extraction, op4_packing, op5_url_filters, op7_jaccard_join, op8_token_store, op9_fingerprints, op10_decontamination)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op5_url_filters": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE, "op5_url_filters": url_filter.ORACLE}

@@ -33,6 +33,7 @@ from .tokens import Encoder, default_path
 
 MAGIC = b"FMIX0001"
 NULL_KEY = 0x5BD1E995  # stands in for a null key in hashes
+TRIED = 64
 _MANIFEST = "shard long, low long, high long, nulls long, n_docs long, n_tokens long"
 
 
@@ -63,11 +64,14 @@ def perfect_hash(h: np.ndarray) -> np.ndarray:
         if sizes[k] < 2:
             break
         mine, d = h[order[starts[k] : starts[k + 1]]], 1
-        while True:
-            s = _slot(mine, np.full(1, d), n)
-            if not taken[s].any() and len(set(s.tolist())) == len(s):
+        while True:  # many displacements at a time
+            tried = _slot(mine[None, :], np.arange(d, d + TRIED)[:, None], n)
+            apart = (np.diff(np.sort(tried, axis=1), axis=1) > 0).all(axis=1)
+            fit = np.flatnonzero(apart & ~taken[tried].any(axis=1))
+            if len(fit):
+                s, d = tried[fit[0]], d + int(fit[0])
                 break
-            d += 1
+            d += TRIED
         taken[s] = True
         out[k] = d
     single = np.flatnonzero(sizes == 1)
