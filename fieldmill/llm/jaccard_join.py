@@ -8,6 +8,8 @@ a pivot tells nothing about them; so pivots are chosen where they can tell somet
    of every set it links to. Documents that share a prefix shingle, cut into bands of set size
    with a window of one band above, form a region, and its smallest document is the pivot.
    Rarity comes from word counts over all documents, in a table of fixed size.
+   A small region compares the prefixes of all its pairs, which bound their similarity, and
+   measures the pairs that are left. A large one goes on:
 2. The distance of every member to its pivot is computed. Members within the threshold link to
    the pivot, hence with each other. The rest of a region is cut into shells by the distance to
    the pivot, as wide as the threshold; a document links inside its shell or to the next one, so
@@ -37,6 +39,7 @@ from .components import components
 CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 FILTER_BITS = 1 << 24
+SMALL = 64
 
 
 def word_weights(texts: DataFrame) -> np.ndarray:
@@ -76,18 +79,31 @@ def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
 
 
 def prefix_of(w: np.ndarray, k: int, percent: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's shingle set, and the part of it that must meet the same part of any set with at
-    least percent / 100 of Jaccard similarity: the rarest by word counts, ties by hash."""
+    """A text's shingle set, and the keys of its rarest shingles in the order of all shingles: by
+    word counts, then by hash. The first prefix_length of them must meet the same part of any set
+    with at least percent / 100 of similarity; as many again follow for bounds."""
     h = runs_hashed(w, k)
     s, first = np.unique(h, return_index=True)
-    n = len(s)
-    take = n - -(-n * percent // 100) + 1 if n else 0
+    take = min(len(s), 2 * prefix_length(len(s), percent))
     cell = weights[w % np.uint64(CELLS)].astype(np.uint64)
     rank = np.zeros(len(h), dtype=np.uint64)
     for i in range(min(k, len(w))):
         rank += cell[i : i + len(h)]
-    order = (rank[first] << np.uint64(50)) | (s >> np.uint64(14))
-    return s, s[np.argpartition(order, take - 1)[:take]] if take < n else s
+    keys = (rank[first] << np.uint64(50)) | (s >> np.uint64(14))
+    return s, np.sort(np.partition(keys, take - 1)[:take] if 0 < take < len(keys) else keys)
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1 if n else 0
+
+
+def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
+    """False only if no sets of these sizes and first keys are similar enough: up to the end of the
+    shorter-reaching prefix all shared shingles are known, beyond it all may be shared."""
+    ends = [p[-1] for p, n in ((x, nx), (y, ny)) if len(p) < n]
+    a, b = (np.searchsorted(p, min(ends), side="right") if ends else len(p) for p in (x, y))
+    c = len(np.intersect1d(x[:a], y[:b], assume_unique=True))
+    return similar(c + min(nx - a, ny - b), nx, ny, percent)
 
 
 def similar(inter, a, b, percent: int):
@@ -226,13 +242,40 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     made = spark.read.parquet(path)
     full = made.filter("n > 0 and id is not null")
     reps = full.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    spread = reps.select("id", "n", F.explode("prefix").alias("s"))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    spread = reps.select("id", "n", F.explode(F.slice("prefix", F.lit(1), take)).alias("s"))
 
     # 1. regions of documents that share a prefix shingle, by bands of size
     shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
     member = cut(spread.join(shared, "s").select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")))
     lead = member.groupBy("s", "band").agg(F.min(F.when(F.col("own") == F.col("band"), F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("p is not null and c > 1")
-    pairs = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).filter("id <> p").select("p", "id").distinct())
+    inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
+    sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+
+    # small regions compare all their prefixes; only pairs that these can't exclude are measured
+    few = inside.join(sizes.filter(f"c between 2 and {SMALL}").select("p"), "p").join(reps.select("id", "n", "prefix"), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def kept() -> pa.RecordBatch:
+            out = [sorted((x[0], y[0])) for i, x in enumerate(held) for y in held[:i] if x[0] != y[0] and may_link(x[2], x[1], y[2], y[1], percent)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["p", "id"])
+
+        for batch in batches:
+            at, ids, ns, prefixes = (batch.column(i) for i in range(4))
+            for p, i, n, x in zip(at.to_pylist(), ids.to_pylist(), ns.to_pylist(), prefixes):
+                if p != now:
+                    if len(held) > 1:
+                        yield kept()
+                    now, held = p, []
+                held.append((i, n, x.values.to_numpy().view(np.uint64)))
+        if len(held) > 1:
+            yield kept()
+
+    close = few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").mapInArrow(compare, "p long, id long").distinct()
+    many = inside.join(sizes.filter(f"c > {SMALL}").select("p"), "p").filter("id <> p")
+    pairs = cut(close.select("p", "id", F.lit(False).alias("large")).union(many.select("p", "id", F.lit(True).alias("large"))))
 
     # the sets of the documents in regions
     wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).distinct()
@@ -247,8 +290,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
                 sets = [shingle_set(words[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "set"])
 
-    found = rows.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell")).mapInArrow(sets_of, "id long, set binary")
-    sets = cut(found.join(wanted, "id").filter("length(set) > 0").distinct())
+    found = rows.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell"))
+    sets = cut(found.mapInArrow(sets_of, "id long, set binary").filter("length(set) > 0"))
 
     # 2. distances to the pivots
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +302,17 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
                 na.append(len(a))
                 nb.append(len(b))
                 inter.append(len(np.intersect1d(a, b, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=pa.int64()) for x in (inter, na, nb))], names=["p", "id", "inter", "np", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=pa.int64()) for x in (inter, na, nb)), batch.column(4)], names=["p", "id", "inter", "np", "n", "large"])
 
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("p"), F.col("set").alias("pset")), "p").select("p", "id", "set", "pset")
+    pivots = sets.join(pairs.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("p"), F.col("set").alias("pset"))
+    both = pairs.join(sets, "id").join(pivots, "p").select("p", "id", "set", "pset", "large")
     union = F.col("np") + F.col("n") - F.col("inter")
     shell = F.floor((1 - F.col("inter") / union) / ((100 - percent) / 100 * 1.000001)).cast("int")
-    to_pivot = cut(both.mapInArrow(distances, "p long, id long, inter long, np long, n long").select("p", "id", "n", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
+    measured = both.mapInArrow(distances, "p long, id long, inter long, np long, n long, large boolean")
+    to_pivot = cut(measured.select("p", "id", "n", "large", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
 
     # 3. shells with the next shell's documents, in blocks of bounded weight
-    wide = to_pivot.select("p", "id", "n", "link", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
+    wide = to_pivot.filter("large").select("p", "id", "n", "link", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
     home = F.col("own") == F.col("shell")
     stats = wide.groupBy("p", "shell").agg(
         F.sum(home.cast("int")).alias("h"), F.sum((~home).cast("int")).alias("g"), F.sum((~F.col("link")).cast("int")).alias("open"),
@@ -298,10 +343,10 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         if len(ids) > 1:
             yield joined()
 
-    inside = blocks.mapInArrow(shells, "a long, b long")
+    within = blocks.mapInArrow(shells, "a long, b long")
     rep = full.select("id", "fp").join(reps.select("fp", F.col("id").alias("rep")), "fp")
     twice = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(inside).union(twice)
+    links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(twice)
     label = components(links)
     firsts = full.groupBy("fp").agg(F.min("id").alias("rep"))
     named = firsts.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
