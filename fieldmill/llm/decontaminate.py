@@ -47,8 +47,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     The items' seeds are broadcast up to BROADCAST_SEEDS of them, else joined by a shuffle.
     """
     span = max(map(max, masks)) + 1
-    texts = docs.select(F.col(key).alias("id"), word_hashes(F.col(text)).alias("words")).filter("id is not null")
-    tests = items.select(F.col(item_key).alias("id"), word_hashes(F.col(item_text)).alias("words")).filter(f"id is not null and size(words) >= {span}")
+
+    def hashed(rows: DataFrame, name: str, body: str) -> DataFrame:
+        # exploding one array of words keeps the optimizer from computing it anew for every use
+        return rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("id"), F.explode(F.array(word_hashes(F.col(body)))).alias("words"))
+
+    texts, tests = hashed(docs, key, text), hashed(items, item_key, item_text).filter(F.size("words") >= span)
 
     def places(rows: DataFrame) -> DataFrame:
         made = rows.filter(F.size("words") >= span).select("id", (F.size("words") - span + 1).alias("n"), seeds(F.col("words"), masks).alias("seeds"))
