@@ -91,18 +91,18 @@ _MASKED = " UNION ALL ".join(
 )
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS words FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM benchmark WHERE item_id IS NOT NULL),
 ds AS ({_MASKED.format(t="d")}),
 bs AS ({_MASKED.format(t="b")}),
 c AS (SELECT DISTINCT ds.id, bs.id AS item, ds.at - bs.at AS start FROM ds JOIN bs USING (mask, seed)),
 e AS (
-  SELECT c.*, list_transform(range(len(b.words)), i -> CASE WHEN i + c.start >= 0 AND i + c.start < len(d.words) AND d.words[i + c.start + 1] = b.words[i + 1] THEN 1 ELSE 0 END) AS same
+  SELECT c.*, list_transform(range(len(b.words)), lambda i: CASE WHEN i + c.start >= 0 AND i + c.start < len(d.words) AND d.words[i + c.start + 1] = b.words[i + 1] THEN 1 ELSE 0 END) AS same
   FROM c JOIN d ON d.id = c.id JOIN b ON b.id = c.item),
 w AS (SELECT *, least(len(same), {WINDOW}) AS wide FROM e),
 k AS (
   SELECT id, item, start, list_sum(same)::INT AS n_equal FROM w
-  WHERE list_max(list_transform(range(len(same) - wide + 1), i -> list_sum(same[i + 1 : i + wide]))) >= ceil(wide * {SHARE}))
+  WHERE list_max(list_transform(range(len(same) - wide + 1), lambda i: list_sum(same[i + 1 : i + wide]))) >= ceil(wide * {SHARE}))
 SELECT id AS doc_id, item AS item_id, start::INT AS start, n_equal FROM k
 QUALIFY row_number() OVER (PARTITION BY id, item ORDER BY n_equal DESC, start) = 1
 """
