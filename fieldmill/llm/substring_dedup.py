@@ -49,7 +49,7 @@ def spans(words: np.ndarray, ends: np.ndarray, least_sentences: int = SENTENCES,
     a, b = pair // m, pair % m
     # polynomial hashes of all runs of words from prefix sums, modulo 2**64
     n = len(words)
-    up, down = (np.concatenate([[1], np.cumprod(np.full(n, x, dtype=np.uint64))]).astype(np.uint64) for x in (_BASE, _INVERSE))
+    up, down = (np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, x, dtype=np.uint64)])) for x in (_BASE, _INVERSE))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(words) * up[:n])])
     h = mixed((sums[e[b]] - sums[s[a]]) * down[s[a]] + (e[b] - s[a]).astype(np.uint64))
     return own[a], own[b], h
