@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, pieces, strings, word_hashes
 
-SENTENCES, WORDS, LONG = 2, 20, 40
+SENTENCES, WORDS, LONG = 2, 20, 25
 #: A sentence with the white space behind it: up to final punctuation before white space, or a line's end.
 _SENTENCE = re.compile(r"[^\n]*?[.!?…。！？][\"')\]»”]*(?:[^\S\n]+|\n+|\Z)|[^\n]+(?:\n+|\Z)|\n+")
 _BASE = 0x9E3779B97F4A7C15
