@@ -8,8 +8,8 @@ a pivot tells nothing about them; so pivots are chosen where they can tell somet
    of every set it links to. Documents that share a prefix shingle, cut into bands of set size
    with a window of one band above, form a region, and its smallest document is the pivot.
    Rarity comes from word counts over all documents, in a table of fixed size.
-   A small region compares the prefixes of all its pairs, which bound their similarity, and
-   measures the pairs that are left. A large one goes on:
+   In a small region the prefixes of all pairs bound their similarity; what these bounds leave
+   together is joined as in 3, and the rest is done. A large region goes on:
 2. The distance of every member to its pivot is computed. Members within the threshold link to
    the pivot, hence with each other. The rest of a region is cut into shells by the distance to
    the pivot, as wide as the threshold; a document links inside its shell or to the next one, so
@@ -39,7 +39,7 @@ from .components import components
 CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 FILTER_BITS = 1 << 24
-SMALL = 64
+SMALL = 256
 
 
 def word_weights(texts: DataFrame) -> np.ndarray:
@@ -81,10 +81,10 @@ def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
 def prefix_of(w: np.ndarray, k: int, percent: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A text's shingle set, and the keys of its rarest shingles in the order of all shingles: by
     word counts, then by hash. The first prefix_length of them must meet the same part of any set
-    with at least percent / 100 of similarity; as many again follow for bounds."""
+    with at least percent / 100 of similarity; half as many again follow for bounds."""
     h = runs_hashed(w, k)
     s, first = np.unique(h, return_index=True)
-    take = min(len(s), 2 * prefix_length(len(s), percent))
+    take = min(len(s), 3 * prefix_length(len(s), percent) // 2)
     cell = weights[w % np.uint64(CELLS)].astype(np.uint64)
     rank = np.zeros(len(h), dtype=np.uint64)
     for i in range(min(k, len(w))):
@@ -97,13 +97,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
-    """False only if no sets of these sizes and first keys are similar enough: up to the end of the
-    shorter-reaching prefix all shared shingles are known, beyond it all may be shared."""
-    ends = [p[-1] for p, n in ((x, nx), (y, ny)) if len(p) < n]
-    a, b = (np.searchsorted(p, min(ends), side="right") if ends else len(p) for p in (x, y))
-    c = len(np.intersect1d(x[:a], y[:b], assume_unique=True))
-    return similar(c + min(nx - a, ny - b), nx, ny, percent)
+def may_link(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A matrix that is False only for pairs of sets that can't be similar enough, judged by their
+    first keys: up to the end of the shorter-reaching prefix all shared shingles are known, beyond
+    it all may be shared."""
+    m = len(prefixes)
+    ends = np.array([p[-1] if len(p) < n else np.iinfo(np.uint64).max for p, n in zip(prefixes, sizes)], dtype=np.uint64)
+    reach = np.stack([np.searchsorted(p, ends, side="right") for p in prefixes])  # keys of i up to j's end
+    rest = sizes[:, None] - reach
+    most = _matrix(prefixes, list(range(m)), list(range(m))) + np.minimum(rest, rest.T)
+    yes = similar(most, sizes[:, None], sizes[None, :], percent)
+    np.fill_diagonal(yes, False)
+    return yes
 
 
 def similar(inter, a, b, percent: int):
@@ -127,8 +132,9 @@ def _matrix(sets: list[np.ndarray], rows: list[int], cols: list[int]) -> np.ndar
     out = np.zeros((len(rows), len(cols)), dtype=np.float32)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    width = max(64, 4_000_000 // max(1, len(every)))
-    for a in range(0, int(common.sum()), width):
+    shared = int(common.sum())
+    width = max(1, min(shared, 4_000_000 // len(every)))
+    for a in range(0, shared, width):
         lo, hi = np.searchsorted(code, [a, a + width])
         m = np.zeros((len(every), width), dtype=np.float32)
         m[owner[lo:hi], code[lo:hi] - a] = 1
@@ -252,33 +258,40 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
     sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
 
-    # small regions compare all their prefixes; only pairs that these can't exclude are measured
+    # small regions compare all their prefixes; only groups that these can't part are joined
     few = inside.join(sizes.filter(f"c between 2 and {SMALL}").select("p"), "p").join(reps.select("id", "n", "prefix"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def kept() -> pa.RecordBatch:
-            out = [sorted((x[0], y[0])) for i, x in enumerate(held) for y in held[:i] if x[0] != y[0] and may_link(x[2], x[1], y[2], y[1], percent)]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["p", "id"])
+        def parted() -> pa.RecordBatch:
+            ids = np.array([x[0] for x in held])
+            forest = Forest(len(held))
+            for i, j in zip(*np.nonzero(np.triu(may_link([x[2] for x in held], np.array([x[1] for x in held]), percent)))):
+                forest.link(int(i), int(j))
+            root = np.array([forest.root(i) for i in range(len(held))])
+            groups = [np.sort(ids[root == r]) for r in np.flatnonzero(np.bincount(root) > 1)]
+            names = [np.full(len(g), xxhash.xxh64_intdigest(g.tobytes()), dtype=np.uint64).view(np.int64) for g in groups]
+            none = np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *names])), pa.array(np.concatenate([none, *groups]))], names=["g", "id"])
 
         for batch in batches:
             at, ids, ns, prefixes = (batch.column(i) for i in range(4))
             for p, i, n, x in zip(at.to_pylist(), ids.to_pylist(), ns.to_pylist(), prefixes):
                 if p != now:
                     if len(held) > 1:
-                        yield kept()
+                        yield parted()
                     now, held = p, []
                 held.append((i, n, x.values.to_numpy().view(np.uint64)))
         if len(held) > 1:
-            yield kept()
+            yield parted()
 
-    close = few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").mapInArrow(compare, "p long, id long").distinct()
-    many = inside.join(sizes.filter(f"c > {SMALL}").select("p"), "p").filter("id <> p")
-    pairs = cut(close.select("p", "id", F.lit(False).alias("large")).union(many.select("p", "id", F.lit(True).alias("large"))))
+    # regions that leave the same group name it alike, so that it is joined once
+    group = cut(few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").mapInArrow(compare, "g long, id long").distinct())
+    pairs = cut(inside.join(sizes.filter(f"c > {SMALL}").select("p"), "p").filter("id <> p").select("p", "id"))
 
     # the sets of the documents in regions
-    wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).distinct()
+    wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).union(group.select("id")).distinct()
     bits = _bitmap(wanted)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,17 +315,17 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
                 na.append(len(a))
                 nb.append(len(b))
                 inter.append(len(np.intersect1d(a, b, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=pa.int64()) for x in (inter, na, nb)), batch.column(4)], names=["p", "id", "inter", "np", "n", "large"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=pa.int64()) for x in (inter, na, nb))], names=["p", "id", "inter", "np", "n"])
 
     pivots = sets.join(pairs.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("p"), F.col("set").alias("pset"))
-    both = pairs.join(sets, "id").join(pivots, "p").select("p", "id", "set", "pset", "large")
+    both = pairs.join(sets, "id").join(pivots, "p").select("p", "id", "set", "pset")
     union = F.col("np") + F.col("n") - F.col("inter")
     shell = F.floor((1 - F.col("inter") / union) / ((100 - percent) / 100 * 1.000001)).cast("int")
-    measured = both.mapInArrow(distances, "p long, id long, inter long, np long, n long, large boolean")
-    to_pivot = cut(measured.select("p", "id", "n", "large", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
+    measured = both.mapInArrow(distances, "p long, id long, inter long, np long, n long")
+    to_pivot = cut(measured.select("p", "id", "n", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
 
     # 3. shells with the next shell's documents, in blocks of bounded weight
-    wide = to_pivot.filter("large").select("p", "id", "n", "link", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
+    wide = to_pivot.select("p", "id", "n", "link", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
     home = F.col("own") == F.col("shell")
     stats = wide.groupBy("p", "shell").agg(
         F.sum(home.cast("int")).alias("h"), F.sum((~home).cast("int")).alias("g"), F.sum((~F.col("link")).cast("int")).alias("open"),
@@ -322,28 +335,32 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     dealt = wide.join(stats.select("p", "shell", "blocks"), ["p", "shell"]).withColumn("g", mine)
     dealt = dealt.select("p", "shell", "id", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("p", "shell", F.least("g", "o").alias("gi"), F.greatest("g", "o").alias("gj"), "id")
     keys = ["p", "shell", "gi", "gj"]
-    blocks = dealt.join(sets, "id").select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys)
 
-    def shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held = None, [], []
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Links inside each group of rows (keys, id, set)."""
+        k = len(keys)
 
-        def joined() -> pa.RecordBatch:
-            out = join_region(held, percent)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], type=pa.int64()), pa.array([ids[j] for _, j in out], type=pa.int64())], names=["a", "b"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, ids, held = None, [], []
 
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for at, i, s in zip(zip(*columns), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                if at != now:
-                    if len(ids) > 1:
-                        yield joined()
-                    now, ids, held = at, [], []
-                ids.append(i)
-                held.append(np.frombuffer(s, dtype=np.uint64))
-        if len(ids) > 1:
-            yield joined()
-
-    within = blocks.mapInArrow(shells, "a long, b long")
+            def links() -> pa.RecordBatch:
+                out = join_region(held, percent)
+                return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], type=pa.int64()), pa.array([ids[j] for _, j in out], type=pa.int64())], names=["a", "b"])
+
+            for batch in batches:
+                for at, i, s in zip(zip(*(batch.column(c).to_pylist() for c in range(k))), batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
+                    if at != now:
+                        if len(ids) > 1:
+                            yield links()
+                        now, ids, held = at, [], []
+                    ids.append(i)
+                    held.append(np.frombuffer(s, dtype=np.uint64))
+            if len(ids) > 1:
+                yield links()
+
+        return rows.select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+    within = joined(dealt.join(sets, "id"), keys).union(joined(group.join(sets, "id"), ["g"]))
     rep = full.select("id", "fp").join(reps.select("fp", F.col("id").alias("rep")), "fp")
     twice = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(twice)
