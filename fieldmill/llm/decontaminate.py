@@ -63,7 +63,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     hits = places(texts).join(F.broadcast(theirs) if n <= BROADCAST_SEEDS else theirs, "seed")
     found = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
 
-    pairs = found.join(tests.select(F.col("id").alias("item"), F.col("words").alias("want")), "item").join(texts, "id")
+    bodies = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    held = bodies.join(found.groupBy("id").agg(F.collect_set(F.struct("item", "start")).alias("found")), "id")
+    held = held.select("id", "found", F.explode(F.array(word_hashes(F.col("text")))).alias("words")).select("id", "words", F.explode("found").alias("f"))
+    pairs = held.select("id", "words", "f.item", "f.start").join(tests.select(F.col("id").alias("item"), F.col("words").alias("want")), "item")
     place = F.sequence(F.lit(0), F.size("want") - 1)
     same = F.transform(place, lambda i: F.coalesce((F.get("words", i + F.col("start")) == F.get("want", i)).cast("int"), F.lit(0)))
     pairs = pairs.select("id", "item", "start", same.alias("same")).withColumn("wide", F.least(F.size("same"), F.lit(window)))
@@ -76,8 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs without the contaminated rows, all columns as they are."""
-    bad = contaminated(docs, items, key=key, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+    bad = contaminated(docs, items, key=key, **options).select(F.col(key).alias("__leak_key")).distinct()
+    return docs.join(bad, docs[key] == bad["__leak_key"], "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

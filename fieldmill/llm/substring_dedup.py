@@ -97,8 +97,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
     """
     if "n_removed" in docs.columns:
         raise ValueError("docs has a column n_removed")
-    ranges = covered_spans(docs, key, text, **options).select(F.col(key).alias("_k"), "ranges")
-    joined = docs.join(ranges, docs[key] == F.col("_k"), "left").drop("_k")
+    ranges = covered_spans(docs, key, text, **options).select(F.col(key).alias("__repeat_key"), F.col("ranges").alias("__repeat_ranges"))
+    joined = docs.join(ranges, docs[key] == ranges["__repeat_key"], "left").drop("__repeat_key")
     place = docs.columns.index(text)
     schema, names = docs.withColumn("n_removed", F.lit(0)).schema, [*docs.columns, "n_removed"]
 
