@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, strings
+from .common import mapped, pieces, strings
 
 # Frequent function words of some languages.
 STOP_WORDS = frozenset(
@@ -210,7 +210,7 @@ def labels(blocks: list[Block]) -> list[int]:
         elif b.heading and right == GOOD:
             out[i] = GOOD
         else:
-            gaps = [abs(i - x[0]) if x else len(blocks) for x in near]
+            gaps = [abs(i - x[0]) if x else far for x, far in zip(near, (i + 1, len(blocks) - i))]
             out[i] = left if gaps[0] < gaps[1] else right if gaps[1] < gaps[0] else GOOD
     if GOOD not in out:  # nothing was decided: a page of short blocks only
         out = [GOOD if not v and not b.bad and not links_only(b) else BAD for b, v in zip(blocks, first)]
@@ -240,7 +240,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 texts = [main_text(p) for p in strings(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, type=pa.string()), pa.array(map(len, texts), type=pa.int64())], names=[key, url, "text", "n_chars"])
 
-    return pages.select(F.col(key).cast("long").alias("_k"), F.col(url).cast("string").alias("_u"), F.col(page).alias("_p")).mapInArrow(run, f"`{key}` long, `{url}` string, text string, n_chars long")
+    return pages.select(F.col(key).cast("long").alias("_k"), F.col(url).cast("string").alias("_u"), F.col(page).alias("_p")).transform(mapped, run, f"`{key}` long, `{url}` string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
