@@ -15,6 +15,12 @@ ACCENT_FROM = "".join(c for c in _ACCENTED if len(_PLAIN[c]) == 1)
 ACCENT_TO = "".join(_PLAIN[c] for c in ACCENT_FROM)
 
 
+# A fenced JSON object, what closes a thinking part, the default category.
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+THINK_END = "</think>"
+DEFAULT_CATEGORY = "autre"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -31,7 +37,7 @@ def lstrip(c: Column) -> Column:
 
 def strip_think(c: Column) -> Column:
     """What follows the first closing think tag, without white space before it; all if there is none."""
-    return let(F.coalesce(c, F.lit("")), lambda t: F.when(F.contains(t, F.lit("</think>")), lstrip(F.substring(t, F.locate("</think>", t) + 8, F.length(t)))).otherwise(t))
+    return let(F.coalesce(c, F.lit("")), lambda t: F.when(F.contains(t, F.lit(THINK_END)), lstrip(F.substring(t, F.locate(THINK_END, t) + len(THINK_END), F.length(t)))).otherwise(t))
 
 
 def json_candidate(c: Column) -> Column:
@@ -39,7 +45,7 @@ def json_candidate(c: Column) -> Column:
     first { to the last }, else everything; white space outside is gone."""
 
     def of(text: Column) -> Column:
-        fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+        fenced = F.regexp_extract(text, FENCED, 1)
         braced = F.regexp_extract(text, r"(?s)^[^{]*(\{.*\})", 1)
         return F.when(fenced != "", strip(fenced)).when(braced != "", strip(braced)).otherwise(text)
 
@@ -113,7 +119,7 @@ def corpus_of(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
     return out
 
 
-def category_of(output: Column, field: str = "category", default: str = "autre") -> Column:
+def category_of(output: Column, field: str = "category", default: str = DEFAULT_CATEGORY) -> Column:
     """A top-level field of a JSON text; default where the text can't be parsed or lacks the field.
     A JSON null stays null."""
     kind = F.schema_of_variant(F.variant_get(F.try_parse_json(output), f"$.{field}", "variant"))

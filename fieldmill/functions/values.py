@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import let, normalize_string, strip
 
+# Signs that go from numbers, the shape of dates, tolerances.
 CURRENCY = "[€$£¥%]"
 DATE = r"^[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}$"
 TOLERANCE, FUZZY = 0.001, 0.96

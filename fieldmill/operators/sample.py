@@ -29,11 +29,12 @@ def allocate(weights: DataFrame, key: str, weight: str, total: Column, within: l
 
 def stratified_sample(df: DataFrame, by: str, key: str, total: int, seed: int | str) -> DataFrame:
     """total rows of df, strata of by in proportion, in each a prefix of the seeded order. Larger
-    totals take longer prefixes."""
+    totals take longer prefixes. The bound by total lets every task drop all but its own first rows
+    of a stratum before the shuffle."""
     takes = allocate(strata(df, [by]), by, "n", F.lit(total)).select(by, "take")
     placed = df.join(F.broadcast(takes), by) if takes.limit(100_001).count() <= 100_000 else df.join(takes, by)
     place = F.row_number().over(W.partitionBy(by).orderBy(seeded(seed, key), key))
-    return placed.withColumn("_p", place).filter("_p <= take").drop("_p", "take")
+    return placed.withColumn("_p", place).filter((F.col("_p") <= total) & (F.col("_p") <= F.col("take"))).drop("_p", "take")
 
 
 def not_nested(small: DataFrame, large: DataFrame, key: str) -> DataFrame:

@@ -126,9 +126,9 @@ def snippet(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.truncated(F.col("text"), 80).alias("snippet"))
 
 
-@query("SELECT conv_id, turn, replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS shown FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, CASE WHEN text = '' THEN '<empty>' ELSE replace(replace(replace(text, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') END AS shown FROM conversations")
 def printable_token(spark, sf):
-    return table(spark, sf, "conversations").filter("text <> ''").select("conv_id", "turn", text.printable_token(F.col("text")).alias("shown"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.printable_token(F.col("text")).alias("shown"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'rights reserved') THEN 'license' WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'loud' ELSE 'other' END AS corpus FROM documents")
