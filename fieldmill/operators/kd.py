@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 MISSING = -1e30
 IGNORED = -100
 
@@ -54,15 +56,14 @@ def violations(df: DataFrame, k: int) -> DataFrame:
 
 def shifted_targets(ids: Column, start: Column) -> Column:
     """struct(position, target): the position whose logits predict each id from start on."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: (i >= start) & (i >= 1)), lambda i: F.struct((i - 1).alias("position"), F.get(ids, i).alias("target")))
+    return let(ids, lambda v: F.transform(F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i >= start) & (i >= 1)), lambda i: F.struct((i - 1).alias("position"), F.get(v, i).alias("target"))))
 
 
 # --- losses from logits; one row is one position -----------------------------------------------
 
 
 def log_sum_exp(z: Column) -> Column:
-    top = F.array_max(z)
-    return top + F.ln(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return let(z, lambda v: let(F.array_max(v), lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top)))))
 
 
 def scaled(z: Column, temperature: float) -> Column:
@@ -71,21 +72,24 @@ def scaled(z: Column, temperature: float) -> Column:
 
 def softmax(z: Column) -> Column:
     """Softmax that is all zero where every entry is masked."""
-    top = F.array_max(z)
-    total = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.when(top <= MISSING, F.transform(z, lambda _: F.lit(0.0))).otherwise(F.transform(z, lambda x: F.exp(x - top) / total))
+
+    def shares(v: Column) -> Column:
+        powers = let(F.array_max(v), lambda top: F.when(top > MISSING, F.transform(v, lambda x: F.exp(x - top))).otherwise(F.transform(v, lambda _: F.lit(0.0))))
+        total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+        return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda x: F.when(t > 0, x / t).otherwise(0.0))))
+
+    return let(z, shares)
 
 
 def hard_ce(z: Column, gold: Column) -> Column:
-    return log_sum_exp(z) - F.get(z, gold)
+    return let(z, lambda v: log_sum_exp(v) - F.get(v, gold))
 
 
 def soft_ce(z: Column, ids: Column, teacher: Column, temperature: float) -> Column:
     """Cross-entropy of the student at temperature against the teacher's renormalised top candidates."""
-    student = scaled(z, temperature)
-    norm = log_sum_exp(student)
     weights = softmax(F.transform(teacher, lambda x: F.when(x <= MISSING, F.lit(MISSING)).otherwise(x / F.lit(float(temperature)))))
-    return -F.aggregate(F.zip_with(weights, ids, lambda w, i: F.when(w > 0, w * (F.get(student, i) - norm)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    gain = lambda v, norm: F.aggregate(F.zip_with(weights, ids, lambda w, i: F.when(w > 0, w * (F.get(v, i) - norm)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return let(scaled(z, temperature), lambda v: let(log_sum_exp(v), lambda norm: -gain(v, norm)))
 
 
 def within_vocabulary(ids: Column, size: int) -> Column:
