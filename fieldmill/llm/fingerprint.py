@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, runs_hashed, strings, word_hashes
+from .common import mapped, mixed, pieces, runs_hashed, strings, word_hashes
 
 BINS, BITS, SHINGLE = 256, 4, 5
 ATTEMPTS = 64
@@ -105,19 +105,36 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(rows.stat.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    part = F.when(F.col("k").isNull(), 0).otherwise(sum((F.col("k") >= c).cast("int") for c in cuts) if cuts else F.lit(0))
-    rows = rows.withColumn("part", part)
-    firsts = rows.select("part", "k").groupBy("part").agg(F.min(F.struct(F.col("k").isNotNull().alias("have"), "k")).alias("f")).select("part", "f.k").orderBy("part").collect()
+    cuts = np.array(cuts, dtype=np.int64)
     out_schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def parts_of(keys: pa.Array) -> np.ndarray:
+        part = np.searchsorted(cuts, keys.fill_null(0).to_numpy(), side="right")
+        return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, part)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of(batch.column(0))), batch.column(0)], names=["part", "k"])
+
+    least = F.min(F.struct(F.col("k").isNotNull().alias("have"), "k")).alias("f")
+    firsts = rows.select("k").transform(mapped, parts, "part long, k long").groupBy("part").agg(least).select("part", "f.k").orderBy("part").collect()
     if not firsts:
         return spark.createDataFrame([], out_schema)
     # the row that opens a range closes the range before; of rows with that key, the first by text
-    before = {r.part: firsts[i - 1].part for i, r in enumerate(firsts)}
-    opens = F.lit(None).cast("int")
-    for r in firsts:
-        opens = F.when((F.col("part") == r.part) & F.col("k").eqNullSafe(F.lit(r.k)), before[r.part]).otherwise(opens)
-    sent = rows.select("k", "t", F.explode(F.array(F.struct("part", F.lit(0).alias("tail")), F.struct(opens.alias("part"), F.lit(1).alias("tail")))).alias("x")).select("k", "t", "x.*").filter("part is not null")
+    opens = {(r.part, r.k): firsts[i - 1].part for i, r in enumerate(firsts)}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = parts_of(batch.column(0))
+            before = [opens.get(x) for x in zip(part.tolist(), batch.column(0).to_pylist())]
+            again = np.array([i for i, x in enumerate(before) if x is not None], dtype=np.int64)
+            names = ["k", "t", "part", "tail"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.zeros(batch.num_rows, dtype=np.int32))], names=names)
+            if len(again):
+                moved = pa.array([before[i] for i in again], type=pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(again)).columns, moved, pa.array(np.ones(len(again), dtype=np.int32))], names=names)
+
+    sent = rows.transform(mapped, deal, "k long, t string, part long, tail int")
     # ranges are told apart by the part column, whatever partitions they land in
     dealt = sent.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", "k", "t")
 
@@ -148,7 +165,7 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in zip(made, kinds)], names=names)
 
-    return dealt.mapInArrow(run, out_schema)
+    return dealt.transform(mapped, run, out_schema)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,30 +33,35 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, runs_hashed, scratch, word_hashes
+from .common import cut, mapped, pieces, runs_hashed, scratch, word_hashes
 from .components import components
 
 CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
-FILTER_BITS = 1 << 24
+FILTER_BITS, SHARED_BITS = 1 << 24, 1 << 26
 SMALL = 256
 
 
-def word_weights(texts: DataFrame) -> np.ndarray:
-    """For each of CELLS hash cells, eight times the binary logarithm of its words' count in all
-    of texts (a single string column), as bytes. Tasks add up their own counts first; the table has
-    the same size for any input."""
+def survey(texts: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass over texts (id, text): a table of id, n (set size) and fp (the set's fingerprint), and
+    for each of CELLS hash cells eight times the binary logarithm of its words' count in all texts.
+    Tasks add up their own counts first; that table has the same size for any input."""
+    spark = texts.sparkSession
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for part in pieces(batch, 0):
-                words, _ = word_hashes(part.column(0))
-                total += np.bincount((words % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        for c in range(CELLS // CHUNK):
-            part = total[c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([part.tobytes()], type=pa.binary())], names=["c", "v"])
+        for part in (part for batch in batches for part in pieces(batch, 1)):
+            words, ends = word_hashes(part.column(1))
+            total += np.bincount((words % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            sets = [shingle_set(words[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            none = pa.nulls(part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], type=pa.int32()), pa.array(prints, type=pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], names=["id", "n", "fp", "c", "v"])
+        parts = [(c, total[c * CHUNK : (c + 1) * CHUNK]) for c in range(CELLS // CHUNK)]
+        parts = [(c, p.astype(np.int64).tobytes()) for c, p in parts if p.any()]
+        if parts:
+            none = pa.nulls(len(parts))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array([c for c, _ in parts]), pa.array([v for _, v in parts], type=pa.binary())], names=["id", "n", "fp", "c", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -67,10 +72,11 @@ def word_weights(texts: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], type=pa.binary())], names=["c", "v"])
 
+    made = _kept(spark, texts.transform(mapped, run, "id long, n int, fp binary, c long, v binary"), "jaccard-survey")
     out = np.zeros(CELLS)
-    for r in texts.mapInArrow(count, "c long, v binary").repartition(CELLS // CHUNK, "c").mapInArrow(add, "c long, v binary").collect():
+    for r in made.filter("c is not null").select("c", "v").repartition(CELLS // CHUNK, "c").transform(mapped, add, "c long, v binary").collect():
         out[r.c * CHUNK : (r.c + 1) * CHUNK] = np.frombuffer(r.v, dtype=np.int64)
-    return np.round(8 * np.log2(1 + out)).astype(np.uint8)
+    return made.filter("c is null").select("id", "n", "fp"), np.round(8 * np.log2(1 + out)).astype(np.uint8)
 
 
 def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
@@ -204,16 +210,29 @@ def join_region(sets: list[np.ndarray], percent: int, leaf: int = 48, pivots: in
 # --- the distributed join ----------------------------------------------------------------------
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, those of the ids' hashes set: a filter of fixed size."""
-    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = ids.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))).alias("b")).collect()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in rows:
-        out[r.w] = r.b
+def _bits(cells: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """size bits, those of cells (one long column, any number modulo size) set: a filter of fixed
+    size that lets everything in cells pass, and little else while cells are few."""
+    cell = F.pmod(F.col(cells.columns[0]), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
+    rows = cells.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(size // 64, dtype=np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out
 
 
+def _set_in(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    at = cells & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table of the shared folder: smaller than a checkpoint where rows are many."""
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles (set size) and component_id (the smallest key reachable by links) per row.
 
@@ -226,40 +245,64 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     if not 50 <= percent < 100:
         raise ValueError("percent must be at least 50 and below 100")
     spark = docs.sparkSession
+    sc = spark.sparkContext
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    weights = word_weights(rows.select("text"))
+    made, weights = survey(rows, k)
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
+    full = made.filter("n > 0 and id is not null")
+
+    # copies: rows whose set a smaller key has; only what a filter can't tell from them is joined
+    firsts = full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+    copies = cut(full.select("id", "fp").join(firsts.filter("rep < top"), "fp").filter("id > rep").select("id", "rep").distinct())
+    copied, counts = sc.broadcast(_bits(copies.select(F.xxhash64("id")))), sc.broadcast(weights)
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in pieces(batch, 1)):
-            sizes, prints, prefixes = [], [], []
+            sizes, prefixes = [], []
             words, ends = word_hashes(batch.column(1))
             for a, b in zip(ends[:-1], ends[1:]):
-                s, p = prefix_of(words[a:b], k, percent, weights)
+                s, p = prefix_of(words[a:b], k, percent, counts.value)
                 sizes.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 prefixes.append(p.view(np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(prints, type=pa.binary()), lists], names=["id", "n", "fp", "prefix"])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))
+            maybe = pa.array(_set_in(copied.value, batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), lists, maybe], names=["id", "n", "prefix", "maybe"])
 
-    path = scratch(spark, "jaccard-base")
-    rows.mapInArrow(base, "id long, n int, fp binary, prefix array<long>").write.parquet(path)
-    made = spark.read.parquet(path)
-    full = made.filter("n > 0 and id is not null")
-    reps = full.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    spread = reps.select("id", "n", F.explode(F.slice("prefix", F.lit(1), take)).alias("s"))
+    celled = rows.filter("id is not null").select("id", "text", F.xxhash64("id").alias("cell"))
+    sets_by_row = _kept(spark, celled.transform(mapped, base, "id long, n int, prefix array<long>, maybe boolean").filter("n > 0"), "jaccard-base")
+    reps = sets_by_row.filter("not maybe").drop("maybe").union(sets_by_row.filter("maybe").drop("maybe").join(copies, "id", "left_anti"))
 
     # 1. regions of documents that share a prefix shingle, by bands of size
-    shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
-    member = cut(spread.join(shared, "s").select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    shared = reps.select(F.explode(F.slice("prefix", F.lit(1), take)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
+    shared = _kept(spark, shared, "jaccard-shared")
+    repeated = sc.broadcast(_bits(shared, SHARED_BITS))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            value, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            keep = np.flatnonzero(_set_in(repeated.value, value))
+            row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(value[keep]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["s", "id", "n"])
+
+    rows_of = reps.select("id", "n", F.slice("prefix", F.lit(1), take).alias("p")).transform(mapped, spread, "s long, id long, n int").join(shared, "s")
+    member = _kept(spark, rows_of.select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")), "jaccard-member")
     lead = member.groupBy("s", "band").agg(F.min(F.when(F.col("own") == F.col("band"), F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("p is not null and c > 1")
     inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
     sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
 
     # small regions compare all their prefixes; only groups that these can't part are joined
-    few = inside.join(sizes.filter(f"c between 2 and {SMALL}").select("p"), "p").join(reps.select("id", "n", "prefix"), "id")
+    placed = inside.join(sizes.filter(f"c between 2 and {SMALL}").select("p"), "p")
+    known = sc.broadcast(_bits(placed.select(F.xxhash64("id"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_set_in(known.value, batch.column(3).to_numpy()))).select(["id", "n", "prefix"])
+
+    picked = reps.select("id", "n", "prefix", F.xxhash64("id").alias("cell")).transform(mapped, pick, "id long, n int, prefix array<long>")
+    few = placed.join(picked, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -287,24 +330,22 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             yield parted()
 
     # regions that leave the same group name it alike, so that it is joined once
-    group = cut(few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").mapInArrow(compare, "g long, id long").distinct())
+    group = cut(few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").transform(mapped, compare, "g long, id long").distinct())
     pairs = cut(inside.join(sizes.filter(f"c > {SMALL}").select("p"), "p").filter("id <> p").select("p", "id"))
 
     # the sets of the documents in regions
     wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).union(group.select("id")).distinct()
-    bits = _bitmap(wanted)
+    loaded = sc.broadcast(_bits(wanted.select(F.xxhash64("id"))))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = batch.column(2).to_numpy()
-            hit = np.flatnonzero((bits[cell >> 6] >> (cell & 63)) & 1)
+            hit = np.flatnonzero(_set_in(loaded.value, batch.column(2).to_numpy()))
             for part in pieces(batch.take(pa.array(hit)), 1) if len(hit) else ():
                 words, ends = word_hashes(part.column(1))
                 sets = [shingle_set(words[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "set"])
 
-    found = rows.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("cell"))
-    sets = cut(found.mapInArrow(sets_of, "id long, set binary").filter("length(set) > 0"))
+    sets = cut(celled.transform(mapped, sets_of, "id long, set binary").filter("length(set) > 0"))
 
     # 2. distances to the pivots
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +362,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     both = pairs.join(sets, "id").join(pivots, "p").select("p", "id", "set", "pset")
     union = F.col("np") + F.col("n") - F.col("inter")
     shell = F.floor((1 - F.col("inter") / union) / ((100 - percent) / 100 * 1.000001)).cast("int")
-    measured = both.mapInArrow(distances, "p long, id long, inter long, np long, n long")
+    measured = both.transform(mapped, distances, "p long, id long, inter long, np long, n long")
     to_pivot = cut(measured.select("p", "id", "n", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
 
     # 3. shells with the next shell's documents, in blocks of bounded weight
@@ -358,15 +399,15 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             if len(ids) > 1:
                 yield links()
 
-        return rows.select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+        return rows.select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys).transform(mapped, run, "a long, b long")
 
     within = joined(dealt.join(sets, "id"), keys).union(joined(group.join(sets, "id"), ["g"]))
-    rep = full.select("id", "fp").join(reps.select("fp", F.col("id").alias("rep")), "fp")
-    twice = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(twice)
+    # a key that stands on rows with different sets joins these
+    sets_of_key = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
+    twice = full.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y").select("id").join(copies, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(sets_of_key).union(twice)
     label = components(links)
-    firsts = full.groupBy("fp").agg(F.min("id").alias("rep"))
-    named = firsts.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    named = firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     whole = made.select("id", "n", "fp").join(named, "fp", "left")
     return whole.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 

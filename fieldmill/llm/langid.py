@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import mapped, pieces
 
 CELLS = 1 << 18
 PENALTY = 12.0
@@ -151,7 +151,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 each, n = np.unique(mine * CELLS + value, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), kind, dtype=np.int32)), pa.array(each), pa.array(n.astype(np.int64))], names=["kind", "cell", "n"])
 
-    found = rows.filter(chosen).select(number.alias("i"), "t").mapInArrow(count, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.filter(chosen).select(number.alias("i"), "t").transform(mapped, count, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
     kind, cell, n = (found.column(c).to_numpy() for c in ("kind", "cell", "n"))
     counts, scripts = np.zeros((CELLS, len(langs))), np.zeros((len(NAMES), len(langs)))
     for k, into in ((0, counts), (1, scripts)):
@@ -163,50 +163,56 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 SPANS = "array<struct<lang:string,words:int>>"
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """key, lang_pred, score and spans (language and number of words with letters, in order).
+def _labelled(model: Model, column: pa.Array, penalty: float) -> list[pa.Array]:
+    """lang_pred, score and spans of a column of texts."""
+    k, rows = len(model.langs), len(column)
+    names = np.array([*model.langs, "und"], dtype=object)
+    pred, share = np.full(rows, k), np.zeros(rows)
+    offsets, spans, lengths = np.zeros(rows + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if k:
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(column, "")))
+        coded = lists.flatten().dictionary_encode()
+        scores, letter = model.scores(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        row = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy())
+        keep = letter[code] > 0
+        code, row = code[keep], row[keep]
+        labels = model.label(scores[code], np.searchsorted(row, np.arange(rows), side="right"), penalty).astype(np.int64)
+        weight = np.bincount(row * k + labels, weights=letter[code], minlength=rows * k).reshape(rows, k)
+        total = weight.sum(axis=1)
+        have = total > 0
+        pred[have] = weight[have].argmax(axis=1)
+        share[have] = weight[have].max(axis=1) / total[have]
+        if len(row):
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (labels[1:] != labels[:-1])]))
+            spans, lengths = labels[first], np.diff(np.append(first, len(row)))
+            offsets = np.searchsorted(row[first], np.arange(rows + 1), side="left")
+    structs = pa.StructArray.from_arrays([pa.array(names[spans], type=pa.string()), pa.array(lengths, type=pa.int32())], names=["lang", "words"])
+    return [pa.array(names[pred], type=pa.string()), pa.array(share), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), structs)]
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """docs with lang_pred, score and spans (language and number of words with letters, in order).
 
     lang_pred is a learned language, or und with score 0 for texts that are null or have no letter
     (and for all texts if nothing was learned). Letters of scripts that no learned language uses
-    leave all as candidates. Null keys stay null, repeated rows are labelled each by itself, ties
-    fall to the first language by name, an empty table gives no row. No row is shuffled.
+    leave all as candidates. Rows are labelled each by itself from their text alone, ties fall to
+    the first language by name, an empty table gives no row; columns of the new names are an
+    error. No row is shuffled.
     """
+    new = ("lang_pred", "score", "spans")
+    clash = [c for c in docs.columns if c in new]
+    if clash:
+        raise ValueError(f"docs has columns {clash}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
+    place, names = docs.columns.index(text), [*docs.columns, *new]
+    schema = docs.select("*", F.lit("").alias(new[0]), F.lit(0.0).alias(new[1]), F.array().cast(SPANS).alias(new[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        k = len(model.langs)
-        names = np.array([*model.langs, "und"], dtype=object)
-        for batch in (part for batch in batches for part in pieces(batch, 1)):
-            rows = batch.num_rows
-            pred, share = np.full(rows, k), np.zeros(rows)
-            offsets, spans, lengths = np.zeros(rows + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-            if k:
-                lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
-                coded = lists.flatten().dictionary_encode()
-                scores, letter = model.scores(coded.dictionary.to_pylist())
-                code = coded.indices.to_numpy()
-                row = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy())
-                keep = letter[code] > 0
-                code, row = code[keep], row[keep]
-                ends = np.searchsorted(row, np.arange(rows), side="right")
-                labels = model.label(scores[code], ends, penalty).astype(np.int64)
-                weight = np.bincount(row * k + labels, weights=letter[code], minlength=rows * k).reshape(rows, k)
-                total = weight.sum(axis=1)
-                have = total > 0
-                pred[have] = weight[have].argmax(axis=1)
-                share[have] = weight[have].max(axis=1) / total[have]
-                if len(row):
-                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (labels[1:] != labels[:-1])]))
-                    spans, lengths = labels[first], np.diff(np.append(first, len(row)))
-                    offsets = np.searchsorted(row[first], np.arange(rows + 1), side="left")
-            structs = pa.StructArray.from_arrays([pa.array(names[spans], type=pa.string()), pa.array(lengths, type=pa.int32())], names=["lang", "words"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[pred], type=pa.string()), pa.array(share), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), structs)],
-                names=[key, "lang_pred", "score", "spans"],
-            )
-
-    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).mapInArrow(run, f"`{key}` long, lang_pred string, score double, spans {SPANS}")
+        for batch in (part for batch in batches for part in pieces(batch, place)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_labelled(shared.value, batch.column(place), penalty)], names=names)
+
+    return docs.transform(mapped, run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import mapped, pieces
 from .tokens import Encoder, default_path
 
 LENGTH, SENTENCE, HARD = 2048, 1, 4
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         if packer.out:
             yield rows()
 
-    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).mapInArrow(run, PIECES.replace("doc_id", f"`{key}`", 1))
+    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).transform(mapped, run, PIECES.replace("doc_id", f"`{key}`", 1))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, strings, word_hashes
+from .common import mapped, mixed, pieces, strings, word_hashes
 
 SENTENCES, WORDS, LONG = 2, 20, 25
 #: A sentence with the white space behind it: up to final punctuation before white space, or a line's end.
@@ -79,7 +79,7 @@ def covered_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
                 columns = [np.concatenate(x) for x in (hashes, keys, ranges, again)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["h", "id", "range", "again"])
 
-    found = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(find, "h long, id long, range long, again boolean")
+    found = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).transform(mapped, find, "h long, id long, range long, again boolean")
     across = found.filter("not again").groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
     later = found.filter("not again").join(across, "h").filter("id > first").select("id", "range")
     within = found.filter("again").select("id", "range")
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
             columns = [column if j == place else batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, type=pa.int32())], names=names)
 
-    return joined.mapInArrow(clean, schema)
+    return joined.transform(mapped, clean, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, pieces
+from .common import mapped, pieces, Remembered
 from .tokens import SPACES
 
 OFFSET, SCALE = 2.7, 1 << 16
@@ -38,7 +38,7 @@ def default_path() -> str:
 class Unigram:
     """Scores of pieces, and counts of pre-tokens by the trie."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         import public_tokenizers
         import regex
 
@@ -147,7 +147,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
                 pre, tok = model.batch(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pre, type=pa.int64()), pa.array(tok, type=pa.int64())], names=[key, "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).mapInArrow(run, f"`{key}` long, n_pretokens long, n_tokens long")
+    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).transform(mapped, run, f"`{key}` long, n_pretokens long, n_tokens long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, scratch
+from .common import mapped, mixed, pieces, scratch
 from .tokens import Encoder, default_path
 
 MAGIC = b"FMIX0001"
@@ -205,7 +205,7 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
         made = [number, int(have[0]) if len(have) else None, int(have[-1]) if len(have) else None, int(nulls.sum()), len(sizes), int(offsets[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.int64()) for x in made], names=["shard", "low", "high", "nulls", "n_docs", "n_tokens"])
 
-    return sorted((r.asDict() for r in rows.mapInArrow(write, _MANIFEST).collect()), key=lambda r: r["shard"])
+    return sorted((r.asDict() for r in rows.transform(mapped, write, _MANIFEST).collect()), key=lambda r: r["shard"])
 
 
 def read_store(spark: SparkSession, folder: str, manifest: list[dict], key: str = "doc_id") -> DataFrame:
@@ -234,7 +234,7 @@ def read_store(spark: SparkSession, folder: str, manifest: list[dict], key: str
                     )
 
     n = len(manifest)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, n, 1, max(1, n)).transform(mapped, read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

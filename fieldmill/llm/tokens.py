@@ -43,7 +43,7 @@ def default_path() -> str:
 class Encoder:
     """ids(text) gives the ids as an array of dtype (two bytes where the vocabulary allows it)."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
