@@ -23,7 +23,8 @@ def logprobs_or_least(values: Column) -> Column:
 
 
 def labels(ids: Column, start: Column) -> Column:
-    """IGNORED before start, the ids from there."""
+    """IGNORED before start (at most as many as ids), the ids from there."""
+    start = F.least(start, F.size(ids))
     return F.concat(F.array_repeat(F.lit(IGNORED), start), F.slice(ids, start + 1, F.greatest(F.size(ids) - start, F.lit(0))))
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import jsonfix
-from ..functions.similarity import choose_key, closest_key, likeness, plain_key, plain_string
+from ..functions.similarity import choose_key, closest_key, likeness, plain_string
 from ..functions.text import let, normalize_key
-from ..functions.values import FUZZY, compare_texts, is_empty, verdict
+from ..functions.values import FUZZY, compare_texts, is_empty, legacy_value, verdict
 
 NESTED = ("list", "object")
 VERDICT = T.StructType([T.StructField("matched", T.BooleanType()), T.StructField("match_type", T.StringType())])
@@ -172,7 +172,18 @@ def join_generations(examples: DataFrame, generations: DataFrame, keys: list[str
     return both.filter("_e and _g").drop("_e", "_g"), both.filter("_e is null or _g is null").drop("_e", "_g")
 
 
-def legacy_score(gt: dict, pred: dict, normal=plain_key) -> tuple[int, int]:
-    """Fields with equal normal forms under the same key, and all fields."""
-    return sum(normal(gt[k]) == normal(pred.get(k)) for k in gt), len(gt)
+def legacy_score(df: DataFrame, keys: list[str], gt: str = "gt", pred: str = "pred") -> DataFrame:
+    """keys, correct and total by the older rule: values under equal keys with equal normal forms; a
+    record without fields scores 0 of 0."""
+    both = df.select(*keys, jsonfix.parse_output(F.col(gt))["fields"].alias("g"), jsonfix.parse_output(F.col(pred))["fields"].alias("p"))
+    each = once(both, gf=F.col("g"), pf=F.coalesce("p", F.array().cast(both.schema["p"].dataType))).select(*keys, "pf", F.explode_outer("gf").alias("f"))
+    value = F.get(F.filter("pf", lambda x: x["key"] == F.col("f.key")), F.lit(0))["text"]
+    same = F.col("f").isNotNull() & (legacy_value(value) == legacy_value(F.col("f.text")))
+    return each.groupBy(*keys).agg(F.count_if(same).alias("correct"), F.count("f").alias("total"))
 
+
+def normalized_keys(fields: Column) -> Column:
+    """A map of plain keys to texts from a record's fields; of equal plain keys the last wins."""
+    plain = F.transform(fields, lambda f: F.struct(normalize_key(f["key"]).alias("k"), f["text"].alias("v")))
+    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(let(plain, last))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonfix, text, values
 from ..functions.similarity import closest_key, similarity
-from ..operators import checks, history, kd, sample, scoring, softlabel
+from ..operators import checks, distill, history, kd, sample, scoring, softlabel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,6 +177,13 @@ def span_labels(spark, sf):
     return made.select("conv_id", "span.start", "span.length", F.size("labels").alias("n_labels"), F.size(F.filter("labels", lambda x: x == kd.IGNORED)).alias("n_ignored"))
 
 
+@query(_SPAN.format(more="").replace("CAST(length(front) AS INT) AS start, CAST(length(whole) - length(front) AS INT) AS length", "CAST(least(length(whole), 512) AS INT) AS n_ids, CAST(least(length(front), 512) AS INT) AS n_ignored"))
+def hard_examples(spark, sf):
+    made = spans(spark, sf).select("conv_id", F.col("ids").alias("hard_ids"), F.slice("ids", F.lit(1), F.col("span.start")).alias("prompt_ids"))
+    out = distill.hard_examples(made, "conv_id", 512)
+    return out.select("conv_id", F.size("hard_input_ids").alias("n_ids"), F.size(F.filter("hard_labels", lambda x: x == kd.IGNORED)).alias("n_ignored"))
+
+
 # --- JSON --------------------------------------------------------------------------------------
 
 
@@ -270,6 +277,11 @@ def dataset_accuracy(spark, sf):
     return scoring.dataset_accuracy(scored(spark, sf)).select(F.round("accuracy_pct", 6).alias("accuracy_pct"))
 
 
+@query(f"SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 3 + CASE WHEN o_totalprice = 1.5 THEN 1 ELSE 0 END WHEN 4 THEN 1 ELSE 5 END AS BIGINT) AS correct, CAST(5 AS BIGINT) AS total FROM orders")
+def legacy_accuracy(spark, sf):
+    return scoring.legacy_score(orders(spark, sf, gt=GT, pred=PRED), ["o_orderkey"])
+
+
 # --- candidates and losses ---------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmill.operators import checks, history, kd, sample, scoring, softlabel
+from fieldmill.operators import checks, distill, history, kd, sample, scoring, softlabel
 from fieldmill.sources import readers, writers
 from fieldmill.streaming import inline
 
@@ -144,3 +144,32 @@ def test_stream_scores_each_step_once(spark, tmp_path):
     inline.score_stream(spark, src, hist, ckpt, losses).awaitTermination()
     got = {(r.step, r.metric): r.value for r in inline.latest(spark, hist, 2).filter("corpus = 'c'").collect()}
     assert got[(1, "accuracy_pct")] == 100.0 and got[(2, "accuracy_pct")] == 0.0 and got[(1, "loss")] == 0.5 and (2, "loss") not in got
+
+
+def test_distillation_examples(spark):
+    class Chars:
+        """A tokenizer of characters."""
+
+        def encode(self, text):
+            return [ord(c) for c in text]
+
+        def decode(self, ids):
+            return "".join(map(chr, ids))
+
+    ids = distill.encoder(Chars)
+    df = spark.createDataFrame([(1, "ab", "abXY", "abcde"), (2, "ab", "ab", "ab")], "_sample_id long, p string, h string, s string")
+    df = df.select("_sample_id", ids("p").alias("prompt_ids"), ids("h").alias("hard_ids"), ids("s").alias("soft_ids"))
+    steps = spark.createDataFrame([(1, 0, 99, 0.6), (1, 0, 7, 0.3), (1, 0, 8, 0.1), (1, 2, 101, 0.5), (1, 9, 1, 1.0)], "_sample_id long, step int, token_id int, prob double")
+    got = {r._sample_id: r for r in distill.distillation_examples(df, steps, "_sample_id", 2, 16).collect()}
+    assert got[1].hard_labels == [-100, -100, ord("X"), ord("Y")] and got[1].soft_target_mask == [0, 1, 0, 1]
+    assert got[1].soft_target_ids == [[-1, -1], [99, 7], [-1, -1], [101, -1]] and [round(x, 6) for x in got[1].soft_target_probs[1]] == [0.666667, 0.333333]
+    assert got[2].soft_target_mask == [0] and got[2].hard_labels == [-100, -100]
+    t = spark.createDataFrame([("a", 97), ("ab", None)], "t string, i int").select(distill.single_id(Chars)("t").alias("one"), distill.decoder(Chars)("i").alias("text")).collect()
+    assert [(r.one, r.text) for r in t] == [(97, "a"), (None, "")]
+
+
+def test_legacy_score_and_keys(spark):
+    rows = spark.createDataFrame([(1, '{"a": " 5 €", "b": 1}', '{"a": "5", "b": 2}'), (2, "{}", "{}"), (3, '{"a": 1}', "none")], "id long, gt string, pred string")
+    assert {r.id: (r.correct, r.total) for r in scoring.legacy_score(rows, ["id"]).collect()} == {1: (1, 2), 2: (0, 0), 3: (0, 1)}
+    parsed = scoring.parse_column(spark.createDataFrame([('{"A b": 1, "a_b": 2, "c": null}',)], "t string"), "t")
+    assert parsed.select(scoring.normalized_keys(F.col("parsed.fields")).alias("m")).first().m == {"ab": "2", "c": None}
