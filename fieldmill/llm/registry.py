@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, url_filter
+from . import decontaminate, oracles, url_filter
 from .decontaminate import op10_decontamination
 from .fingerprint import op9_fingerprints
 from .html_extract import op2_html_extraction
@@ -22,4 +22,4 @@ _ALL = (op1_token_counts, op2_html_extraction, op3_language_id, op4_packing, op5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE, "op5_url_filters": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op6_substring_dedup": oracles.SUBSTRINGS, "op7_jaccard_join": oracles.JACCARD, "op10_decontamination": decontaminate.ORACLE, "op5_url_filters": url_filter.ORACLE}
