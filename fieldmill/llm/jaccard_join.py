@@ -90,7 +90,7 @@ def prefix_of(w: np.ndarray, k: int, percent: int, weights: np.ndarray) -> tuple
     with at least percent / 100 of similarity; half as many again follow for bounds."""
     h = runs_hashed(w, k)
     s, first = np.unique(h, return_index=True)
-    take = min(len(s), 3 * prefix_length(len(s), percent) // 2)
+    take = prefix_length(len(s), percent)
     cell = weights[w % np.uint64(CELLS)].astype(np.uint64)
     rank = np.zeros(len(h), dtype=np.uint64)
     for i in range(min(k, len(w))):
@@ -274,8 +274,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     reps = sets_by_row.filter("not maybe").drop("maybe").union(sets_by_row.filter("maybe").drop("maybe").join(copies, "id", "left_anti"))
 
     # 1. regions of documents that share a prefix shingle, by bands of size
-    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    shared = reps.select(F.explode(F.slice("prefix", F.lit(1), take)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
+    shared = reps.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
     shared = _kept(spark, shared, "jaccard-shared")
     repeated = sc.broadcast(_bits(shared, SHARED_BITS))
 
@@ -287,7 +286,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(value[keep]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["s", "id", "n"])
 
-    rows_of = reps.select("id", "n", F.slice("prefix", F.lit(1), take).alias("p")).transform(mapped, spread, "s long, id long, n int").join(shared, "s")
+    rows_of = reps.select("id", "n", "prefix").transform(mapped, spread, "s long, id long, n int").join(shared, "s")
     member = _kept(spark, rows_of.select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")), "jaccard-member")
     lead = member.groupBy("s", "band").agg(F.min(F.when(F.col("own") == F.col("band"), F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("p is not null and c > 1")
     inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
