@@ -47,6 +47,8 @@ BAD_WORDS = frozenset(
     "subscription signup login popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments "
     "commentlist disqus replies reply respond share sharing social related recommended widget toolbar complementary contentinfo search alert dialog alertdialog skiplink".split()
 )
+#: A word of an attribute that begins so tells of a page's layout, as in has-sidebar.
+LAYOUT_WORDS = frozenset("no without has with hide full non".split())
 
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS, LINKS_ARTICLE = 70, 200, 0.15, 0.25, 0.3, 0.66
 
@@ -65,9 +67,11 @@ def _marks(attributes: str) -> tuple[bool, bool]:
         if name in ("class", "id", "role", "itemprop"):
             for word in _WORD.findall(value):
                 parts = re.split(r"[-_]+", word)
+                if parts[0] in LAYOUT_WORDS and len(parts) > 1:
+                    continue
                 joined = "".join(parts)
                 good |= joined in ARTICLE_WORDS or (name == "role" and word in ("main", "article"))
-                bad |= joined in BAD_WORDS or parts[0] in BAD_WORDS or parts[-1] in BAD_WORDS or (name == "role" and word == "banner")
+                bad |= joined in BAD_WORDS or parts[-1] in BAD_WORDS or (parts[0] in BAD_WORDS and parts[-1] != "free") or (name == "role" and word == "banner")
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none", value))
         elif name == "aria-hidden":

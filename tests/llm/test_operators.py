@@ -273,6 +273,7 @@ PAGES = [
     ('<nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Hi</h1><p>One.</article><footer>f</footer>', "Hi\n\nOne."),
     ('<script>var t="</p>";</script><style>p{}</style><main><p>Text</p><form><p>Name</p></form><div class="cookie-notice">c</div></main>', "Text"),
     ("<!-- <p>no</p> --><article><p>x &amp; y &#233; &eacute;</p></article>", "x & y é é"),
+    ('<body class="has-sidebar"><div class="content no-sidebar ad-free"><article><p>Text</p><div class="share-buttons">s</div></article></div><div id="sidebar">x</div></body>', "Text"),
     ("", ""),
 ]
 
