@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,6 +79,16 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Scripts without spaces between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer), as a class of characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{UNSPACED}]")
+
+
+def spaced(text: str) -> str:
+    """A text with each character of such scripts as a word by itself."""
+    return text if text.isascii() or not _UNSPACED.search(text) else _UNSPACED.sub(r" \g<0> ", text)
+
+
 BATCH = "16m"
 
 

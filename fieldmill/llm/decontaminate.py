@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
 WINDOW, SHARE = 20, 0.75
 BROADCAST_SEEDS = 1_000_000
+#: A character of a script without spaces between words.
+UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]"
 
 
 def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the words of a text: runs of letters and digits, in lower case."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    """64-bit hashes of the words of a text: runs of letters and digits, in lower case, and single
+    characters of scripts without spaces."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 

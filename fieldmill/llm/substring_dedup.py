@@ -7,6 +7,8 @@ the sentences that a non-first occurrence of a span covers are removed. Forward
 together cover every sentence of a repeated passage that holds about twice the least span,
 wherever it stands in a text.
 
+Words stand between ASCII white space; of scripts that write none, each character counts as a word.
+
 A passage may begin and end inside sentences and hold few whole ones. On request, every run of
 PASSAGE words that stands earlier in the corpus is removed too, word by word: a run is told by the
 smallest hash of its runs of ANCHOR words, these are joined first, and only runs whose smallest
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, pieces, scratch, strings, word_hashes
+from .common import UNSPACED, mapped, mixed, pieces, scratch, spaced, strings, word_hashes
 
 SENTENCES, WORDS, LONG = 2, 20, 25
 PASSAGE, ANCHOR = 50, 25
-#: A sentence with the white space behind it: up to final punctuation before white space, or a line's end.
-_SENTENCE = re.compile(r"[^\n]*?[.!?…。！？][\"')\]»”]*(?:[^\S\n]+|\n+|\Z)|[^\n]+(?:\n+|\Z)|\n+")
-#: A word, as word_hashes takes them.
-_WORD = re.compile(r"[^ \t-\r]+")
+#: A sentence with the white space behind it: up to final punctuation before white space, a full-width stop, or a line's end.
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?…][\"')\]»”]*(?:[^\S\n]+|\n+|\Z)|[。！？｡][\"')\]»”’」』）】〉》]*(?:[^\S\n]+|\n+|))|[^\n]+(?:\n+|\Z)|\n+")
+#: A word, as word_hashes takes them of a text that spaced() gives.
+_WORD = re.compile(rf"[{UNSPACED}]|[^ \t-\r{UNSPACED}]+")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -91,7 +93,7 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     anchor = size // 2
 
     def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return windows(*word_hashes(batch.column(1)), size, anchor)
+        return windows(*word_hashes(pa.array(map(spaced, strings(batch.column(1))), type=pa.string())), size, anchor)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in pieces(batch, 1)):
@@ -133,7 +135,7 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 def passage_words(text: str, later: np.ndarray, own: np.ndarray, size: int = PASSAGE) -> list[tuple[int, int]]:
     """Where in a text words stand that runs cover: all runs of later, and those of own but for the
     first of equal ones, of which no word goes."""
-    words, ends = word_hashes(pa.array([text], type=pa.string()))
+    words, ends = word_hashes(pa.array([spaced(text)], type=pa.string()))
     _, at, h, _ = windows(words, ends, size, size // 2)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     gone = np.zeros(len(words) + 1, dtype=np.int64)
@@ -153,7 +155,7 @@ def covered_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in pieces(batch, 1)):
             split = [sentences(t) for t in strings(batch.column(1))]
-            words, ends = word_hashes(pa.array([x for part in split for x in part], type=pa.string()))
+            words, ends = word_hashes(pa.array([spaced(x) for part in split for x in part], type=pa.string()))
             keys, ranges, hashes, again, at = [], [], [], [], 0
             for k, part in zip(batch.column(0).to_pylist(), split):
                 e = ends[at : at + len(part) + 1]

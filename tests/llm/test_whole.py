@@ -2,7 +2,7 @@
 
 import random
 
-from fieldmill.llm import substring_dedup
+from fieldmill.llm import decontaminate, substring_dedup
 
 
 def test_passages_that_end_inside_sentences(spark):
@@ -30,3 +30,18 @@ def test_passages_that_end_inside_sentences(spark):
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(df, passage=size, **none).collect()}
     assert {d: r.text.split() for d, r in got.items()} == want and len(want[12]) == size
     assert [got[d].n_removed for d in want] == [int(len(want[d]) < len(texts[d].split())) for d in want]
+
+
+CHINESE = "老磨坊在河边立了一百年。没有人知道是谁建的，也不知道为什么！孩子们夏天在那里玩耍，互相讲故事。冬天水轮结冰，磨坊主一直睡到春天解冻。"
+THAI = "โรงสีเก่าตั้งอยู่ริมแม่น้ำมาเป็นเวลาหนึ่งร้อยปีและไม่มีใครรู้ว่าใครเป็นคนสร้างมันขึ้นมาหรือสร้างเพื่ออะไร"
+
+
+def test_scripts_without_spaces(spark):
+    assert [len(substring_dedup.sentences(t)) for t in (CHINESE, "他说：「好。」然后走了。", "Ends here. And here!")] == [4, 2, 2]
+    rows = [(0, f"第一篇。{CHINESE}"), (1, f"另外一篇文章。{CHINESE}结束了。"), (2, THAI), (3, f"อื่น\n{THAI}\nจบ"), (4, f"前面{CHINESE[3:70]}后面")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert got[0] == rows[0][1] and got[1] == "另外一篇文章。结束了。" and got[2] == THAI and got[3] == "อื่น\nจบ"
+    assert {r.doc_id: r.text for r in substring_dedup.remove_repeats(df, passage=50).collect()}[4] == "前面后面"
+    items = spark.createDataFrame([(1, CHINESE[12:28]), (2, THAI[:40]), (3, "完全不同的一个问题在这里没有出现")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()} == {(0, 1), (1, 1), (4, 1), (2, 2), (3, 2)}
