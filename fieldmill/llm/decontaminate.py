@@ -5,16 +5,23 @@ survives a substitution at an ignored place. The seeds of all test items are joi
 all training texts. A hit tells where an item would lie in a text; there the item's words are held
 against the text's, place by place, and the text is contaminated if in some window of the item
 enough words are equal.
+
+Masks can miss an item of few words. Such an item is cut into one block more than it may have
+substitutions, so that one block at least is whole in any match, and the blocks are seeds too.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chosen places of each mask; all masks have the same span.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
 WINDOW, SHARE = 20, 0.75
+#: Items of fewer words are looked for by blocks.
+SHORT = 15
 BROADCAST_SEEDS = 1_000_000
 #: A character of a script without spaces between words.
 UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]"
@@ -39,14 +46,22 @@ def seeds(words: Column, masks=MASKS) -> Column:
     return F.when(F.size(words) >= span, F.concat(*(of(k, m) for k, m in enumerate(masks)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def blocks(n: int, share: float = SHARE) -> list[tuple[int, int]]:
+    """Begin and length of the blocks of an item of n words: no substitutions that share allows touch all of them."""
+    parts = n - math.ceil(n * share) + 1
+    edges = [n * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row per text and item that it holds: key, item_key, start (the place in words where the
     item begins, negative where its front is cut off), n_equal (equal words of the item there).
 
     A pair counts when within some window consecutive words of the item (all of a shorter item) at
     least share are equal at one alignment; of several alignments the one with most equal words is
-    returned, then the first. Items with fewer words than a mask spans are not looked for. Null
-    and empty texts hold nothing; rows with null keys are not joined and give no row; rows that
+    returned, then the first. Of items with fewer than SHORT words (and no more than window) no match
+    is missed, down to items of one word. Null and empty texts hold nothing, and items without words
+    are in none; rows with null keys are not joined and give no row; rows that
     repeat a key count as one text; empty tables give no row; other columns are ignored.
     The items' seeds are broadcast up to BROADCAST_SEEDS of them, else joined by a shuffle.
     """
@@ -56,16 +71,34 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         # exploding one array of words keeps the optimizer from computing it anew for every use
         return rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("id"), F.explode(F.array(word_hashes(F.col(body)))).alias("words"))
 
-    texts, tests = hashed(docs, key, text), hashed(items, item_key, item_text).filter(F.size("words") >= span)
+    texts, tests = hashed(docs, key, text), hashed(items, item_key, item_text).filter(F.size("words") > 0)
 
     def places(rows: DataFrame) -> DataFrame:
         made = rows.filter(F.size("words") >= span).select("id", (F.size("words") - span + 1).alias("n"), seeds(F.col("words"), masks).alias("seeds"))
         return made.select("id", "n", F.posexplode("seeds").alias("k", "seed")).select("id", F.pmod("k", "n").alias("at"), "seed")
 
+    def runs(words: Column, at: Column, length: int) -> Column:
+        return F.struct(at.alias("at"), F.xxhash64(F.lit(-length), *(words[at + o] for o in range(length))).alias("seed"))
+
     theirs = places(tests).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "seed").distinct()
     n = tests.agg(F.coalesce(F.sum(F.size("words") * len(masks)), F.lit(0))).first()[0]
     hits = places(texts).join(F.broadcast(theirs) if n <= BROADCAST_SEEDS else theirs, "seed")
-    found = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+    found = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start"))
+
+    # short items: each length has its own blocks, and the texts need seeds of the lengths of these only
+    short = min(max(SHORT, span) - 1, window)
+    sizes = [r[0] for r in tests.filter(F.size("words") <= short).select(F.size("words")).distinct().collect()]
+    if sizes:
+        cut = F.lit(None)
+        for size in sizes:
+            cut = F.when(F.size("words") == size, F.array(*(runs(F.col("words"), F.lit(i), length) for i, length in blocks(size, share)))).otherwise(cut)
+        few = tests.select("id", F.explode(cut).alias("s")).select(F.col("id").alias("item"), F.col("s.at").alias("item_at"), "s.seed").distinct()
+        lengths = sorted({length for size in sizes for _, length in blocks(size, share)})
+        of = lambda m: F.when(F.size("words") >= m, F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: runs(F.col("words"), i, m))).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
+        ours = texts.select("id", F.explode(F.concat(*map(of, lengths))).alias("s")).select("id", "s.at", "s.seed")
+        hits = ours.join(F.broadcast(few) if n <= BROADCAST_SEEDS else few, "seed")
+        found = found.union(hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start")))
+    found = found.distinct()
 
     bodies = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     held = bodies.join(found.groupBy("id").agg(F.collect_set(F.struct("item", "start")).alias("found")), "id")

@@ -1,5 +1,6 @@
 """Cases that operators once left out."""
 
+import math
 import random
 
 from fieldmill.llm import decontaminate, substring_dedup
@@ -45,3 +46,24 @@ def test_scripts_without_spaces(spark):
     assert {r.doc_id: r.text for r in substring_dedup.remove_repeats(df, passage=50).collect()}[4] == "前面后面"
     items = spark.createDataFrame([(1, CHINESE[12:28]), (2, THAI[:40]), (3, "完全不同的一个问题在这里没有出现")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()} == {(0, 1), (1, 1), (4, 1), (2, 2), (3, 2)}
+
+
+def test_short_items_are_all_found(spark):
+    """Items of up to 14 words with every number of substitutions, against all alignments."""
+    rng = random.Random(8)
+    items = {n: [f"i{n}w{i}" for i in range(n)] for n in range(1, 15)} | {30: "what is the capital of the land".split(), 31: []}
+    docs = {}
+    for k, words in items.items():
+        for d in range(30):
+            body = list(words)
+            for i in rng.sample(range(len(body)), min(len(body), d % 5)):
+                body[i] = f"x{rng.randrange(10**6)}"
+            docs[100 * k + d] = [f"y{rng.randrange(50)}" for _ in range(rng.randrange(3))] + body[d % 4 // 3 :] + ["z"] * rng.randrange(3)
+    want = set()
+    for d, body in docs.items():
+        for k, words in items.items():
+            alignments = [sum(0 <= i + s < len(body) and body[i + s] == w for i, w in enumerate(words)) for s in range(-len(words), len(body))]
+            want |= {(d, k, n) for n in [max(alignments, default=0)] if words and n >= math.ceil(0.75 * len(words))}
+    df = spark.createDataFrame([(d, " ".join(b)) for d, b in docs.items()], "doc_id long, text string")
+    got = decontaminate.contaminated(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == want and {k for _, k, _ in want} == set(items) - {31}
