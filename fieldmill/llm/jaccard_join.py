@@ -251,27 +251,29 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
     full = made.filter("n > 0 and id is not null")
 
-    # copies: rows whose set a smaller key has; only what a filter can't tell from them is joined
+    # copies: rows whose set a smaller key has, told by key and set, as a key may stand on other sets
+    # too; only what a filter can't tell from them is joined
     firsts = full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    copies = cut(full.select("id", "fp").join(firsts.filter("rep < top"), "fp").filter("id > rep").select("id", "rep").distinct())
+    copies = cut(full.select("id", "fp").join(firsts.filter("rep < top"), "fp").filter("id > rep").select("id", "fp", "rep").distinct())
     copied, counts = sc.broadcast(_bits(copies.select(F.xxhash64("id")))), sc.broadcast(weights)
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in pieces(batch, 1)):
-            sizes, prefixes = [], []
+            sizes, prefixes, prints = [], [], []
             words, ends = word_hashes(batch.column(1))
-            for a, b in zip(ends[:-1], ends[1:]):
+            maybe = _set_in(copied.value, batch.column(2).to_numpy())
+            for a, b, m in zip(ends[:-1], ends[1:], maybe.tolist()):
                 s, p = prefix_of(words[a:b], k, percent, counts.value)
                 sizes.append(len(s))
+                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if m and len(s) else None)
                 prefixes.append(p.view(np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))
-            maybe = pa.array(_set_in(copied.value, batch.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), lists, maybe], names=["id", "n", "prefix", "maybe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), lists, pa.array(prints, type=pa.binary())], names=["id", "n", "prefix", "fp"])
 
     celled = rows.filter("id is not null").select("id", "text", F.xxhash64("id").alias("cell"))
-    sets_by_row = _kept(spark, celled.transform(mapped, base, "id long, n int, prefix array<long>, maybe boolean").filter("n > 0"), "jaccard-base")
-    reps = sets_by_row.filter("not maybe").drop("maybe").union(sets_by_row.filter("maybe").drop("maybe").join(copies, "id", "left_anti"))
+    sets_by_row = _kept(spark, celled.transform(mapped, base, "id long, n int, prefix array<long>, fp binary").filter("n > 0"), "jaccard-base")
+    reps = sets_by_row.filter("fp is null").drop("fp").union(sets_by_row.filter("fp is not null").join(copies, ["id", "fp"], "left_anti").drop("fp"))
 
     # 1. regions of documents that share a prefix shingle, by bands of size
     shared = reps.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
@@ -403,7 +405,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     within = joined(dealt.join(sets, "id"), keys).union(joined(group.join(sets, "id"), ["g"]))
     # a key that stands on rows with different sets joins these
     sets_of_key = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    twice = full.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y").select("id").join(copies, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    twice = full.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y").select("id").join(copies.select("id", "rep"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(sets_of_key).union(twice)
     label = components(links)
     named = firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))

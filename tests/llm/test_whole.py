@@ -3,7 +3,7 @@
 import math
 import random
 
-from fieldmill.llm import decontaminate, substring_dedup
+from fieldmill.llm import decontaminate, jaccard_join, substring_dedup
 
 
 def test_passages_that_end_inside_sentences(spark):
@@ -67,3 +67,13 @@ def test_short_items_are_all_found(spark):
     df = spark.createDataFrame([(d, " ".join(b)) for d, b in docs.items()], "doc_id long, text string")
     got = decontaminate.contaminated(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got.collect()} == want and {k for _, k, _ in want} == set(items) - {31}
+
+
+def test_near_links_of_a_key_that_also_copies_another(spark):
+    """Key 5 copies key 1 on one row; on its other row stands a text near to those of keys 7 and 3."""
+    a, b, c = ([f"{x}{i}" for i in range(100)] for x in "abc")
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(1, a), (5, a), (5, b), (7, near(b)), (3, ["new", *b]), (8, c), (9, near(c)), (9, a), (10, b[:50])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(df, 3, 90).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (3, 1), (8, 1), (9, 1), (10, 10)}
