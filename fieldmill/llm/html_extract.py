@@ -8,7 +8,10 @@ good and the edge of a page as bad). Good blocks in page order are the text.
 
 Elements that say what they are need no guess: navigation, footers, asides, forms, scripts, styles,
 adverts, notices and reader comments are bad, and text inside an article is good unless links make
-up most of a block. Where a page marks an article, what stands outside it isn't its text.
+up most of a short block. Where a page marks an article, what stands outside it isn't its text.
+
+Where the long blocks of a page together have few stop words, its language isn't among those of
+the list, and they are decided by length and link density alone.
 """
 
 from __future__ import annotations
@@ -174,22 +177,23 @@ def blocks_of(page: str) -> list[Block]:
 def labels(blocks: list[Block]) -> list[int]:
     """GOOD or BAD for every block."""
     marked = any(b.article and not b.bad for b in blocks)
+    dense = [stop_words(b) if not (b.bad or marked) and len(b.text) >= LENGTH_LOW and b.linked <= LINKS * len(b.text) else (0, 0) for b in blocks]
+    known = sum(n for n, _ in dense) >= STOP_LOW * sum(n for _, n in dense)
     first = []
-    for b in blocks:
+    for b, (stops, words) in zip(blocks, dense):
         size = len(b.text)
         links = b.linked / max(1, size)
         if b.bad or (marked and not b.article):
             first.append(BAD)
         elif links > (LINKS_ARTICLE if b.article else LINKS) and not (b.heading and b.article):
-            first.append(BAD)
+            first.append(AMBIGUOUS if b.article and size >= LENGTH_LOW else BAD)
         elif b.article:
             first.append(GOOD if size >= LENGTH_LOW else AMBIGUOUS)
         elif size < LENGTH_LOW:
             first.append(AMBIGUOUS)
         else:
-            words = b.text.lower().split()
-            stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LENGTH_HIGH):
+            stop = stops / words
+            if not known or stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LENGTH_HIGH):
                 first.append(GOOD)
             else:
                 first.append(AMBIGUOUS if stop >= STOP_LOW else BAD)
@@ -216,11 +220,17 @@ def labels(blocks: list[Block]) -> list[int]:
         else:
             gaps = [abs(i - x[0]) if x else far for x, far in zip(near, (i + 1, len(blocks) - i))]
             out[i] = left if gaps[0] < gaps[1] else right if gaps[1] < gaps[0] else GOOD
-    if GOOD not in out:  # nothing was decided: a page of short blocks only
-        out = [GOOD if not v and not b.bad and not links_only(b) else BAD for b, v in zip(blocks, first)]
+    if GOOD not in out:  # nothing was decided: all that isn't known to be bad
+        out = [GOOD if not b.bad and not links_only(b) and (not v or (w and not marked)) else BAD for b, v, (_, w) in zip(blocks, first, dense)]
     return out
 
 
+def stop_words(b: Block) -> tuple[int, int]:
+    """Stop words and words of a block."""
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
 def links_only(b: Block) -> bool:
     return b.linked > LINKS_ARTICLE * len(b.text)
 

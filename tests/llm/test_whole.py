@@ -4,6 +4,7 @@ import math
 import random
 
 from fieldmill.llm import decontaminate, jaccard_join, substring_dedup
+from fieldmill.llm.html_extract import main_text
 
 
 def test_passages_that_end_inside_sentences(spark):
@@ -77,3 +78,17 @@ def test_near_links_of_a_key_that_also_copies_another(spark):
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(df, 3, 90).collect()}
     assert got == {(1, 1), (5, 1), (7, 1), (3, 1), (8, 1), (9, 1), (10, 10)}
+
+
+def test_pages_in_other_languages_and_references():
+    russian = "Старая мельница стояла у реки сто лет, и никто не мог сказать, кто её построил и зачем это было нужно людям."
+    polish = "Stary młyn stał nad rzeką przez sto lat i nikt nie wiedział, kto go zbudował ani po co, lecz dzieci bawiły się tam latem."
+    chinese = "老磨坊在河边立了一百年，没有人知道是谁建的，也不知道为什么。" * 4
+    for body in (russian, polish, chinese):
+        page = f'<p>{body}</p><p>Foto 1</p><p>{body}</p><p><a href="x">{body}</a></p>'
+        assert main_text(page) == f"{body}\n\nFoto 1\n\n{body}"
+    low = "Price list 2024: bolts 4 mm, nuts 5 mm, washers 6 mm, hinges 7 mm, screws 8 mm, nails 9 mm, brackets"
+    english = "This is the story of a man who was in the house and it is long enough to be good for the reader of it."
+    assert main_text(f"<p>{english}</p><p>{low}</p><p>{english}</p>") == f"{english}\n\n{english}"
+    reference = "A. Smith and B. Jones: On the mills of the northern rivers, Journal of Old Engines 12, 1987"
+    assert main_text(f'<article><p>{english}</p><ul><li><a href="r">{reference}</a></li></ul><ul><li><a href="m">More</a></li></ul></article>') == f"{english}\n\n{reference}"
