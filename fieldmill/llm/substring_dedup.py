@@ -96,7 +96,7 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         return windows(*word_hashes(pa.array(map(spaced, strings(batch.column(1))), type=pa.string())), size, anchor)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in pieces(batch, 1)):
+        for batch in (part for batch in batches for part in pieces(batch, 1, 1 << 20)):
             at, _, h, least = hashed(batch)
             ids = batch.column(0).to_numpy()
             new = np.ones(len(at), dtype=bool)
@@ -108,7 +108,7 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([least[new], h[again]]).view(np.int64)), pa.array(ids[np.concatenate([at[new], at[again]])]), pa.array(own)], names=["h", "id", "own"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in pieces(batch, 1)):
+        for batch in (part for batch in batches for part in pieces(batch, 1, 1 << 20)):
             at, _, h, least = hashed(batch)
             ids, ends = batch.column(0).to_numpy(), np.searchsorted(at, np.arange(batch.num_rows + 1))
             found = [np.unique(h[a:b][np.isin(least[a:b], x.values.to_numpy().view(np.uint64))]) for a, b, x in zip(ends[:-1], ends[1:], batch.column(2))]
