@@ -37,6 +37,28 @@ def stratified_sample(df: DataFrame, by: str, key: str, total: int, seed: int |
     return placed.withColumn("_p", place).filter((F.col("_p") <= total) & (F.col("_p") <= F.col("take"))).drop("_p", "take")
 
 
+def allocate_subsets(weights: DataFrame, sizes: list[int], corpus: str, category: str, split: str) -> DataFrame:
+    """size, corpus, category, take: every size shared out over the corpora, and the share of the
+    corpus split over its categories. weights holds a row per corpus and category with its count n;
+    other corpora have one row, of category ''."""
+    each = weights.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    by_corpus = allocate(each.groupBy("size", corpus).agg(F.sum("n").alias("n")), corpus, "n", F.col("size"), ["size"])
+    inner = each.filter(F.col(corpus) == split).join(by_corpus.filter(F.col(corpus) == split).select("size", F.col("take").alias("_share")), "size")
+    inner = allocate(inner, category, "n", F.col("_share"), ["size"]).select("size", corpus, category, "take")
+    return by_corpus.filter(F.col(corpus) != split).select("size", corpus, F.lit("").alias(category), "take").union(inner)
+
+
+def nested_subsets(df: DataFrame, key: str, corpus: str, category: str, split: str, sizes: list[int], seed: int | str) -> DataFrame:
+    """key, corpus, category and size for every row of every subset: the strata are the corpora, and
+    the categories of the corpus split (others' are taken as ''); in each a prefix of the seeded
+    order. A stratum that has fewer rows than its share gives them all. Nulls count as ''."""
+    rows = df.select(key, F.coalesce(F.col(corpus), F.lit("")).alias(corpus), F.when(F.col(corpus) == split, F.coalesce(F.col(category), F.lit(""))).otherwise("").alias(category))
+    takes = allocate_subsets(strata(rows, [corpus, category]), sizes, corpus, category, split)
+    place = F.row_number().over(W.partitionBy(corpus, category).orderBy(seeded(seed, key), key))
+    first = rows.withColumn("_p", place).filter(F.col("_p") <= max(sizes))
+    return first.join(takes, [corpus, category]).filter(F.col("_p") <= F.col("take")).drop("_p", "take")
+
+
 def not_nested(small: DataFrame, large: DataFrame, key: str) -> DataFrame:
     """Rows of small that large lacks: none if small is nested in large."""
     return small.join(large, key, "left_anti")

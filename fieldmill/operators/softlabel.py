@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import printable_token
+
 CANDIDATE = "struct<id:int,text:string,logprob:double>"
 
 
@@ -18,8 +21,11 @@ def assistant_span(full: Column, prefix: Column) -> Column:
 
 def aligned(logprobs: Column, tokens: Column) -> Column:
     """Positions aligned with tokens: as they are if equally many, a null put in front if one is
-    lacking, else null."""
-    return F.when(F.size(logprobs) == F.size(tokens), logprobs).when(F.size(logprobs) == F.size(tokens) - 1, F.concat(F.transform(F.array(F.lit(None)), lambda _: F.get(logprobs, F.lit(-1))), logprobs))
+    lacking; any other length fails the job."""
+    lacking = F.size(tokens) - F.size(logprobs)
+    fault = F.raise_error(F.concat(F.lit("candidates for "), F.size(logprobs).cast("string"), F.lit(" positions, tokens for "), F.size(tokens).cast("string")))
+    none = F.array_repeat(F.get(logprobs, F.lit(-1)), 1)
+    return F.when(lacking == 0, logprobs).when(lacking == 1, F.concat(none, logprobs)).otherwise(F.when(fault.cast("boolean"), logprobs))
 
 
 def ranked(candidates: Column, k: int) -> Column:
@@ -54,6 +60,29 @@ def records(df: DataFrame, k: int) -> DataFrame:
     ).drop("_top")
 
 
+def soft_label_records(df: DataFrame, k: int, source: str, digest: str, teacher: str, template: str) -> DataFrame:
+    """The whole record of every example, in the order of its columns.
+
+    df holds example_index, instruction, input, output, full_chat_text, full_token_ids,
+    prompt_token_ids, prompt_logprobs (array by position of arrays of candidates, one position
+    lacking at the front at most) and assistant_token_text. Ids that differ from the teacher's, a
+    prompt that isn't a proper prefix, and a position of the answer without candidates fail the job.
+    """
+    span = assistant_span(F.col("full_token_ids"), F.col("prompt_token_ids"))
+    lined = df.withColumn("_s", span).withColumn("_c", aligned(F.col("prompt_logprobs"), F.col("full_token_ids")))
+    answer = F.slice("_c", F.col("_s.start") + 1, F.col("_s.length"))
+    fault = F.when(F.col("_s").isNull(), "the prompt is no proper prefix").when(F.exists(answer, lambda c: c.isNull()), "a position without candidates")
+    if "teacher_token_ids" in df.columns:
+        fault = F.when(F.col("teacher_token_ids").isNotNull() & (F.col("teacher_token_ids") != F.col("full_token_ids")), "other ids than the teacher's").otherwise(fault)
+    checked = lined.withColumn("_f", F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("example "), F.col("example_index").cast("string"), F.lit(": "), fault)).cast("boolean"))).filter(F.col("_f").isNull())
+    made = records(checked.withColumn("candidates", answer).withColumn("assistant_token_ids", F.col("_s.ids")), k)
+    return made.select(
+        F.col("example_index").cast("long").alias("example_index"), F.lit(source).alias("source_path"), F.lit(teacher).alias("teacher_model"), F.lit(k).cast("long").alias("top_k"), "instruction", "input", "output", "full_chat_text",
+        F.col("_s.start").cast("long").alias("assistant_token_start"), F.col("_s.length").cast("long").alias("assistant_token_count"), "assistant_token_ids", "assistant_token_text",
+        "topk_token_ids", "topk_token_text", "topk_logprobs", "hard_label_in_topk", F.sha2(F.lit(template), 256).alias("chat_template_fingerprint"), F.lit(digest).alias("source_dataset_sha256"),
+    )
+
+
 def with_teacher(rendered: DataFrame, teacher: DataFrame, key: str = "example_index") -> DataFrame:
     """Rendered examples with the teacher's results; an example or a result without its partner fails the job."""
     both = rendered.withColumn("_r", F.lit(True)).join(teacher.withColumn("_t", F.lit(True)), key, "full_outer")
@@ -70,9 +99,13 @@ def shard_plan(df: DataFrame, index: str, size: int) -> DataFrame:
     return df.groupBy(shard_of(F.col(index), size).alias("shard_index")).agg(F.min(index).alias("example_start"), (F.max(index) + 1).alias("example_end"), F.count(F.lit(1)).alias("row_count"))
 
 
-def open_shards(plan: DataFrame, done: DataFrame) -> DataFrame:
-    """Shards that are still to be made."""
-    return plan.join(done.select("shard_index").distinct(), "shard_index", "left_anti")
+def open_shards(plan: DataFrame, done: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Shards that are still to be made: those not done, and those done whose file is gone (files
+    holds the shard_index of every file that is there)."""
+    finished = done.select("shard_index").distinct()
+    if files is not None:
+        finished = finished.join(files.select("shard_index").distinct(), "shard_index", "left_semi")
+    return plan.join(finished, "shard_index", "left_anti")
 
 
 def logprob_steps(df: DataFrame, keys: list[str], steps: str = "steps") -> DataFrame:
@@ -84,8 +117,8 @@ def logprob_steps(df: DataFrame, keys: list[str], steps: str = "steps") -> DataF
 
 
 def preview(df: DataFrame, keys: list[str], rows: int = 20, top: int = 10) -> DataFrame:
-    """The first rows positions of each record with their first top candidates as text."""
-    from ..functions.text import printable_token
-
-    shown = F.array_join(F.transform(F.slice("top_candidates", 1, top), lambda c: F.format_string("%s (%.3f)", printable_token(c["token"]), c["prob"])), ", ")
-    return df.filter(F.col("position") < rows).select(*keys, "position", printable_token(F.col("token")).alias("token"), F.round("prob", 6).alias("prob"), shown.alias("top"))
+    """The first rows steps of each record: keys, position, teacher_token, teacher_prob, and their
+    first top candidates as text."""
+    shown = F.array_join(F.transform(F.slice("top_candidates", 1, top), lambda c: F.format_string("%s (%.4f)", printable_token(c["token"]), c["prob"])), " | ")
+    first = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("position"))).filter(F.col("_r") <= rows)
+    return first.select(*keys, "position", printable_token(F.col("token")).alias("teacher_token"), F.round("prob", 6).alias("teacher_prob"), shown.alias("top_candidates"))

@@ -1 +1,6 @@
-"""Ready plans over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, with their SQL."""
+
+from . import queries, records
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries", "records"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.history import last_wins
+from .paths import children, exists
 
 EXAMPLE = "instruction string, input string, output string, _meta struct<sample_id:string,document_name:string,source_file:string>"
 CACHE = (
@@ -21,12 +22,6 @@ MANIFEST = (
 )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in the file system that its scheme names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def json_array(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
     """A file that holds one JSON array of records; anything else fails."""
     if not exists(spark, path):
@@ -37,11 +32,31 @@ def json_array(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def eval_dataset(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
+    """A file of evaluation records, an array or a single object; a missing file fails."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def raw_json(spark: SparkSession, path: str) -> DataFrame:
     """A file's JSON as one variant value."""
     return spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("value"))
 
 
+def indexed(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
+    """The records of a JSON array with their place in it, example_index."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_fields(schema)}>>", {"mode": "FAILFAST"}).alias("v"))
+    return whole.select(F.posexplode("v").alias("example_index", "r")).select(F.col("example_index").cast("long").alias("example_index"), "r.*")
+
+
+def _fields(schema: str) -> str:
+    """A table's columns as those of a struct type."""
+    return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
 def corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Examples of several files, with the corpus they belong to."""
     parts = [json_array(spark, p).withColumn("corpus", F.lit(name)) for name, p in paths.items()]
@@ -49,29 +64,30 @@ def corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def first_existing(spark: SparkSession, paths: list[str], rows: int) -> DataFrame:
-    """Up to rows examples of the first path that exists."""
+    """The first rows examples, with example_index, of the first path that exists."""
     for p in paths:
         if exists(spark, p):
-            return json_array(spark, p).limit(rows)
+            return indexed(spark, p).orderBy("example_index").limit(rows)
     raise FileNotFoundError(", ".join(paths))
 
 
 def concatenated(spark: SparkSession, paths: list[str], rows: int) -> DataFrame:
-    """The first rows examples of the files in their order; later files aren't read once there are enough."""
-    parts, have = [], 0
-    for i, p in enumerate(paths):
-        part = json_array(spark, p).limit(rows - have).withColumn("_file", F.lit(i))
-        parts.append(part)
-        have += part.count()
-        if have >= rows:
-            break
-    return reduce(DataFrame.unionByName, parts)
+    """The first rows examples of the files in their order, with file_index and example_index. One
+    plan: every file gives its own first rows at most, and the first of these are kept."""
+    parts = [indexed(spark, p).orderBy("example_index").limit(rows).select(F.lit(i).alias("file_index"), "*") for i, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, parts).orderBy("file_index", "example_index").limit(rows)
 
 
 def shards(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """Soft-label shards in example order, the first rows of them if given."""
-    df = spark.read.parquet(path)
-    return df if rows is None else df.orderBy("example_index").limit(rows)
+    df = spark.read.parquet(path).orderBy("example_index")
+    return df if rows is None else df.limit(rows)
+
+
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """The shard_index of every shard whose files are there."""
+    found = [int(n.partition("=")[2]) for n in children(spark, path) if n.startswith("shard_index=")]
+    return spark.createDataFrame([(i,) for i in found], "shard_index long")
 
 
 def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -84,19 +100,19 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 
 def jsonl_cache(spark: SparkSession, path: str, schema: str = CACHE, key: str = "_sample_id") -> DataFrame:
-    """A JSON-lines cache; of rows with the same key the last one in the file wins."""
+    """A JSON-lines cache; of rows with the same key the last one wins: that of the file written last,
+    in it the one that stands last (files are read in splits, hence by split and place in it)."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    return last_wins(df, [key], ["_f", "_b", "_i"]).drop("_f", "_b", "_i")
+    df = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_modification_time").alias("_t"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return last_wins(df, [key], ["_t", "_f", "_b", "_i"]).drop("_t", "_f", "_b", "_i")
 
 
 def csv_history(spark: SparkSession, path: str) -> DataFrame:
-    """A metric history; all columns are text."""
-    try:
-        return spark.read.option("header", True).csv(path)
-    except AnalysisException:
+    """A metric history, an empty one where there is no file; all columns are text."""
+    if not exists(spark, path):
         return spark.createDataFrame([], "step string")
+    return spark.read.option("header", True).csv(path)
 
 
 def kd_table(spark: SparkSession, path: str) -> DataFrame:

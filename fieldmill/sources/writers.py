@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import to_wide, upsert
+from .paths import children, exists, remove
+
+
+class ShardWriter(Protocol):
+    """What writes soft-label shards: a folder for each shard_index, and the suffix of its files."""
+
+    suffix: str
+
+    def write_records(self, df: DataFrame, path: str) -> None: ...
+
+
+class FileShards:
+    """A writer of one of Spark's file formats; only the shards that df holds are overwritten."""
+
+    def __init__(self, kind: str = "parquet"):
+        self.kind, self.suffix = kind, f".{kind}"
+
+    def write_records(self, df: DataFrame, path: str) -> None:
+        df.repartition("shard_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_index").format(self.kind).save(path)
 
 
-def shards(df: DataFrame, path: str, size: int, index: str = "example_index") -> None:
-    """Rows by shard_index; only the shards that df holds are overwritten."""
-    out = df.withColumn("shard_index", F.floor(F.col(index) / size).cast("long"))
-    out.repartition("shard_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_index").parquet(path)
+def shards(df: DataFrame, path: str, size: int, index: str = "example_index", writer: ShardWriter | None = None) -> None:
+    """Rows by shard_index, through a writer (Parquet if none is given)."""
+    (writer or FileShards()).write_records(df.withColumn("shard_index", F.floor(F.col(index) / size).cast("long")), path)
 
 
-def manifest(df: DataFrame, path: str, index: str = "example_index") -> None:
-    """What the shards hold, derived from them."""
+def manifest(df: DataFrame, path: str, header: dict | None = None, index: str = "example_index") -> None:
+    """What the shards of df hold, derived from them, as one row: the header's fields (source, its
+    digest, teacher, sizes, template fingerprint), total_examples, total_shards and the shards."""
     rows = df.groupBy("shard_index").agg(F.min(index).alias("example_start"), (F.max(index) + 1).alias("example_end"), F.count(F.lit(1)).alias("row_count"))
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    entry = F.struct("shard_index", F.format_string("shards/shard_index=%d", "shard_index").alias("path"), "example_start", "example_end", "row_count")
+    one = rows.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_examples"), F.count(F.lit(1)).alias("total_shards"), F.array_sort(F.collect_list(entry)).alias("shards"))
+    fixed = {"created_at_utc": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")} | {k: F.lit(v) for k, v in (header or {}).items()}
+    one.select(*(c.alias(k) for k, c in fixed.items()), *(c for c in one.columns if c not in fixed)).coalesce(1).write.mode("overwrite").json(path)
 
 
 def kd_table(df: DataFrame, path: str, meta: dict) -> None:
@@ -34,11 +58,29 @@ def samples(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("step").json(path)
 
 
-def history(old: DataFrame, new: DataFrame, path: str) -> None:
-    """The upserted long history, and its wide form as CSV with sorted columns."""
-    upsert(old, new).write.mode("overwrite").parquet(f"{path}/long")
-    wide = to_wide(old.sparkSession.read.parquet(f"{path}/long"))
-    wide.select("step", *sorted(c for c in (f"`{x}`" for x in wide.columns if x != "step"))).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/wide")
+def history(new: DataFrame, path: str) -> int:
+    """Upsert the steps of new (step, metric, value) into the history under path; gives the version written.
+
+    Every write makes a new version: the long table, and its wide form as CSV with sorted columns.
+    What is read is never written over, a version without its mark of success doesn't count, and all
+    but the last two are removed.
+    """
+    spark = new.sparkSession
+    have = versions(spark, path)
+    old = spark.read.parquet(f"{path}/v={have[-1]}/long") if have else new.limit(0)
+    now = have[-1] + 1 if have else 0
+    upsert(old, new).write.mode("overwrite").parquet(f"{path}/v={now}/long")
+    wide = to_wide(spark.read.parquet(f"{path}/v={now}/long"))
+    wide.select("step", *sorted(c for c in (f"`{x}`" for x in wide.columns if x != "step"))).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/v={now}/wide")
+    for v in have[:-1]:
+        remove(spark, f"{path}/v={v}")
+    return now
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a history, ascending."""
+    found = sorted(int(n[2:]) for n in children(spark, path) if n.startswith("v=") and n[2:].isdigit())
+    return [v for v in found if exists(spark, f"{path}/v={v}/wide/_SUCCESS")]
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

@@ -129,8 +129,12 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.shards(df.filter("example_index >= 4"), str(tmp_path / "s"), 2)
     assert [r.example_index for r in readers.shards(spark, str(tmp_path / "s"), 3).collect()] == [0, 1, 2] and readers.shards(spark, str(tmp_path / "s")).count() == 5
     long = spark.createDataFrame([(10, "gt_acc/order", 90.0)], "step long, metric string, value double")
-    writers.history(long.limit(0), long, str(tmp_path / "h"))
-    assert readers.csv_history(spark, str(tmp_path / "h" / "wide")).first().asDict() == {"step": "10", "gt_acc/order": "90.0"}
+    h = str(tmp_path / "h")
+    assert writers.history(long, h) == 0
+    assert readers.csv_history(spark, f"{h}/v=0/wide").first().asDict() == {"step": "10", "gt_acc/order": "90.0"}
+    (tmp_path / "h" / "v=1").mkdir()  # a write that broke off
+    assert writers.history(long.withColumn("step", F.lit(20).cast("long")), h) == 1 and writers.history(long, h) == 2
+    assert readers.csv_history(spark, f"{h}/v=2/wide").count() == 2 and writers.versions(spark, h) == [1, 2]
 
 
 def test_stream_scores_each_step_once(spark, tmp_path):
@@ -169,7 +173,114 @@ def test_distillation_examples(spark):
 
 
 def test_legacy_score_and_keys(spark):
-    rows = spark.createDataFrame([(1, '{"a": " 5 €", "b": 1}', '{"a": "5", "b": 2}'), (2, "{}", "{}"), (3, '{"a": 1}', "none")], "id long, gt string, pred string")
-    assert {r.id: (r.correct, r.total) for r in scoring.legacy_score(rows, ["id"]).collect()} == {1: (1, 2), 2: (0, 0), 3: (0, 1)}
+    rows = [(1, '{"a": " 5 €", "b": 1}', '{"a": "5", "b": 2}'), (2, "{}", "{}"), (3, '{"a": 1}', "none"), (4, '{"a": "x"}', '{"a":"x",}'), (5, '{"a": "50%"}', '{"a": "50"}'), (6, '{"a": null}', "so {} it"), (7, '{"a": ["x", true]}', '{"a": ["X",  true]}')]
+    got = scoring.legacy_score(spark.createDataFrame(rows, "id long, gt string, pred string"), ["id"])
+    assert {r.id: (r.correct, r.total) for r in got.collect()} == {1: (1, 2), 2: (0, 0), 3: (0, 1), 4: (0, 1), 5: (0, 1), 6: (1, 1), 7: (1, 1)}
     parsed = scoring.parse_column(spark.createDataFrame([('{"A b": 1, "a_b": 2, "c": null}',)], "t string"), "t")
     assert parsed.select(scoring.normalized_keys(F.col("parsed.fields")).alias("m")).first().m == {"ab": "2", "c": None}
+
+
+def test_ground_truth_is_not_repaired(spark):
+    rows = [(1, '{"a": 1', '{"a": 1'), (2, "[1]", "{}"), (3, "{}", "none")]
+    got = {r.id: r for r in scoring.score(spark.createDataFrame(rows, "id long, gt string, pred string"), ["id"]).collect()}
+    assert [(got[i].correct, got[i].total, got[i].accuracy, got[i].parse_error) for i in (1, 2, 3)] == [(0, 0, 0.0, True)] * 3
+
+
+def test_scoring_plan(spark):
+    """One scan, one pass through Python, no shuffle before the roll-up."""
+    df = spark.createDataFrame([(1, "c", 1, "{}", "{}")], "step int, corpus string, i int, gt string, pred string")
+    plan = scoring.corpus_metrics(scoring.score(df, ["step", "corpus", "i"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_masked_candidates(spark):
+    schema = "g int, logits array<double>, gold int, topk_ids array<int>, topk_logprobs array<double>, v array<boolean>"
+    row = lambda g, v: (g, [0.5, -1.0, 2.0, 0.0], 2, [0, 2], [-0.2, -1.5], v)
+    df = spark.createDataFrame([row(0, [True, True]), row(1, [False, True]), row(2, [False, False]), row(3, [True, True])], schema)
+    df = df.withColumn("topk_logprobs", F.when(F.col("g") == 3, F.array(F.lit(-1e30), F.lit(-1e30))).otherwise(F.col("topk_logprobs")))
+    got = {r.g: r.soft_loss for r in kd.losses(df, ["g"], 1.0, 1.0, valid="v").collect()}
+    lse = math.log(sum(map(math.exp, [0.5, -1.0, 2.0, 0.0])))
+    w = [math.exp(-0.2), math.exp(-1.5)]
+    want = [-(w[0] * (0.5 - lse) + w[1] * (2.0 - lse)) / sum(w), lse - 2.0, 0.0, lse - 1.25]
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in range(4))
+
+
+def test_whole_batches_and_their_faults(spark):
+    schema = "batch int, example_index long, input_ids array<int>, assistant_start int, assistant_len int, gold_ids array<int>, topk_ids array<array<int>>, topk_logprobs array<array<float>>, topk_valid_mask array<array<boolean>>"
+    rows = [(0, 1, [1, 2, 3, 4], 2, 2, [3, 4], [[3, 0], [4, 5]], [[-1.0, -2.0], [-1.0, -3.0]], [[True, False], [True, True]]), (0, 2, [7, 8], 1, 1, [8], [[8, 9]], [[-1.0, -1.5]], [[True, True]])]
+    df = spark.createDataFrame(rows, schema)
+    a, b = kd.training_batch(df, "batch", 0, 2).orderBy("example_index").collect()
+    assert a.labels == [-100, -100, 3, 4] and b.labels == [-100, 8, -100, -100] and b.input_ids == [7, 8, 0, 0] and b.attention_mask == [1, 1, 0, 0]
+    assert a.topk_logprobs[0][1] < -1e29 and b.topk_ids == [[8, 9], [0, 0]] and b.topk_valid == [[True, True], [False, False]] and b.span_mask == [True, False] and b.gold_ids == [8, 0]
+    for wrong in (df.withColumn("assistant_start", F.lit(0)), df.withColumn("assistant_len", F.lit(9)), df):
+        with pytest.raises(Exception, match="example [12]: "):
+            kd.training_batch(wrong, "batch", 0, 3 if wrong is df else 2).collect()
+    assert {(r.bad_width, r.empty_span, r.bad_span) for r in checks.batch_faults(df.withColumn("assistant_start", F.lit(0)), "batch", 3).collect()} == {(2, 0, 2)}
+
+
+def test_alignment_of_teacher_positions(spark):
+    c = "array<array<struct<id:int,text:string,logprob:double>>>"
+    df = spark.createDataFrame([([[(1, "a", -1.0)]], [5, 6]), ([[(1, "a", -1.0)], [(2, "b", -1.0)]], [5, 6]), ([], [5])], f"p {c}, t array<int>")
+    got = [r.a for r in df.select(softlabel.aligned(F.col("p"), F.col("t")).alias("a")).collect()]
+    assert got[0][0] is None and got[0][1][0].id == 1 and got[1][0][0].id == 1 and got[2] == [None]
+    with pytest.raises(Exception, match="candidates for"):
+        spark.createDataFrame([([], [5, 6])], f"p {c}, t array<int>").select(softlabel.aligned(F.col("p"), F.col("t"))).collect()
+
+
+def test_teacher_over_http(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from fieldmill.streaming.teacher import ANSWER, Teacher, backend
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            if len(seen) == 1:  # fails once
+                self.send_error(500)
+                return
+            body = json.dumps({"choices": [{"message": {"content": [{"type": "text", "text": "ok"}]}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    teacher = Teacher(f"http://127.0.0.1:{server.server_port}/v1", "k", "m", tries=2, pause=0.0, json_only=True, extra={"seed": 1}, token_field="max_completion_tokens")
+    examples = spark.createDataFrame([(1, "i", "x"), (2, "i", "y")], "_sample_id long, instruction string, input string").coalesce(1)
+    rows = inline.teacher_rows(examples, examples.filter("_sample_id = 2"), "_sample_id", backend(teacher), ANSWER).collect()
+    server.shutdown()
+    assert [(r._sample_id, json.loads(r.teacher_output)[0]["text"]) for r in rows] == [(1, "ok")]
+    assert len(seen) == 2 and seen[1][0] == "/v1/chat/completions" and seen[1][1]["seed"] == 1 and seen[1][1]["max_completion_tokens"] == 512 and seen[1][1]["response_format"] == {"type": "json_object"}
+    with pytest.raises(RuntimeError):
+        Teacher("http://127.0.0.1:9", "k", "m", tries=1, timeout=1.0).ask([])
+
+
+def test_a_lost_version_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        inline.read_history(spark, str(tmp_path / "v=3"))
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from fieldmill.sources import paths
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        paths.shared_dir(Session())

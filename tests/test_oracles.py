@@ -1,7 +1,7 @@
 import pytest
 from compare import rows_of, rows_of_sql
 
-from fieldmill.plans import queries as plans
+from fieldmill import plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
@@ -19,8 +19,8 @@ def test_entry_and_registry(spark):
 def test_fuzzy_match_against_the_standard_library(spark, sf):
     import difflib
 
-    for r in plans.fuzzy_match(spark, sf).collect():
+    for r in plans.QUERIES["fuzzy_match"](spark, sf).collect():
         assert r.key is not None and 0 < r.ratio <= 1
     name = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey = 1").first().p_name
     typo = name[:3] + name[4:]
-    assert plans.fuzzy_match(spark, sf).filter("p_partkey = 1").first().ratio == round(difflib.SequenceMatcher(None, name, typo).ratio(), 6)
+    assert plans.QUERIES["fuzzy_match"](spark, sf).filter("p_partkey = 1").first().ratio == round(difflib.SequenceMatcher(None, name, typo).ratio(), 6)
