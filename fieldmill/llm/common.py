@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,18 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see (spark.checkpoint.dir).
-
-    Only where the setting is absent, as in local tests, a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="fieldmill-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..sources.paths import fresh, remove, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,16 +26,29 @@ _SCRATCH: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; clean() removes all that were given."""
-    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    """A fresh path in the shared folder; clean() removes those that were given."""
+    _SCRATCH.append(fresh(spark, name))
     return _SCRATCH[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove the tables written to scratch paths. Results that read them must be written before."""
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratched() -> tuple[str, ...]:
+    """The scratch paths that are in use."""
+    return tuple(_SCRATCH)
+
+
+def clean(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the tables written to scratch paths, but for those to keep. Results that read them must
+    be written before."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        _SCRATCH.remove(path)
+        remove(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table of the shared folder, smaller than a checkpoint where rows are many; and its path."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -6,20 +6,22 @@ a pivot tells nothing about them; so pivots are chosen where they can tell somet
 
 1. Documents with equal sets become one. A set's rarest shingles (its prefix) must meet the prefix
    of every set it links to. Documents that share a prefix shingle, cut into bands of set size
-   with a window of one band above, form a region, and its smallest document is the pivot.
+   with a window of one band above, form a region, and its smallest document is the pivot: so a
+   document lies in the region of every pivot that any of its links could share with it.
    Rarity comes from word counts over all documents, in a table of fixed size.
-   In a small region the prefixes of all pairs bound their similarity; what these bounds leave
-   together is joined as in 3, and the rest is done. A large region goes on:
 2. The distance of every member to its pivot is computed. Members within the threshold link to
    the pivot, hence with each other. The rest of a region is cut into shells by the distance to
    the pivot, as wide as the threshold; a document links inside its shell or to the next one, so
    each shell takes the next shell's documents as its boundary.
-3. A shell joins by itself: pivots among its members make Voronoi regions, a document is copied to
-   every region whose pivot is at most twice the threshold farther than its own, and regions join
-   recursively until they are small or no longer shrink; these compare whole sets exactly. A shell
-   beyond a fixed weight is dealt into blocks, and every pair of blocks is joined.
+3. A shell joins by itself. Where it is too heavy for a task, some of its documents, chosen by hash,
+   become pivots of Voronoi regions: a document goes to every region whose pivot is at most twice
+   the threshold farther than its own, and regions join recursively, each level a distributed step,
+   until they fit in a task. There the same goes on in memory, down to leaves of a few documents,
+   where whole sets are compared. A region that its pivots can't part (all are about as far from
+   each) is dealt into blocks, and every pair of blocks with a document that no pivot took joins.
 
 Every pair within the threshold thus meets in a region, and every link is decided on whole sets.
+A region of any size goes this way.
 """
 
 from __future__ import annotations
@@ -33,20 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, pieces, runs_hashed, scratch, word_hashes
+from .common import clean, cut, kept, mapped, pieces, runs_hashed, scratched, word_hashes
 from .components import components
 
 CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
+PIVOTS, SHRUNK = 16, 0.7  # a level's pivots of a region, and the share of its pairs that its parts may have together
 FILTER_BITS, SHARED_BITS = 1 << 24, 1 << 26
-SMALL = 256
 
 
-def survey(texts: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass over texts (id, text): a table of id, n (set size) and fp (the set's fingerprint), and
-    for each of CELLS hash cells eight times the binary logarithm of its words' count in all texts.
+def survey(texts: DataFrame, k: int) -> tuple[DataFrame, str, np.ndarray]:
+    """One pass over texts (id, text): a table of id, n (set size) and fp (the set's fingerprint), its
+    path, and for each of CELLS hash cells eight times the binary logarithm of its words' count in all texts.
     Tasks add up their own counts first; that table has the same size for any input."""
-    spark = texts.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
@@ -72,11 +73,11 @@ def survey(texts: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], type=pa.binary())], names=["c", "v"])
 
-    made = _kept(spark, texts.transform(mapped, run, "id long, n int, fp binary, c long, v binary"), "jaccard-survey")
+    made, path = kept(texts.transform(mapped, run, "id long, n int, fp binary, c long, v binary"), "jaccard-survey")
     out = np.zeros(CELLS)
     for r in made.filter("c is not null").select("c", "v").repartition(CELLS // CHUNK, "c").transform(mapped, add, "c long, v binary").collect():
         out[r.c * CHUNK : (r.c + 1) * CHUNK] = np.frombuffer(r.v, dtype=np.int64)
-    return made.filter("c is null").select("id", "n", "fp"), np.round(8 * np.log2(1 + out)).astype(np.uint8)
+    return made.filter("c is null").select("id", "n", "fp"), path, np.round(8 * np.log2(1 + out)).astype(np.uint16)
 
 
 def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
 def prefix_of(w: np.ndarray, k: int, percent: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A text's shingle set, and the keys of its rarest shingles in the order of all shingles: by
     word counts, then by hash. The first prefix_length of them must meet the same part of any set
-    with at least percent / 100 of similarity; half as many again follow for bounds."""
+    with at least percent / 100 of similarity."""
     h = runs_hashed(w, k)
     s, first = np.unique(h, return_index=True)
     take = prefix_length(len(s), percent)
@@ -103,20 +104,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def may_link(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """A matrix that is False only for pairs of sets that can't be similar enough, judged by their
-    first keys: up to the end of the shorter-reaching prefix all shared shingles are known, beyond
-    it all may be shared."""
-    m = len(prefixes)
-    ends = np.array([p[-1] if len(p) < n else np.iinfo(np.uint64).max for p, n in zip(prefixes, sizes)], dtype=np.uint64)
-    reach = np.stack([np.searchsorted(p, ends, side="right") for p in prefixes])  # keys of i up to j's end
-    rest = sizes[:, None] - reach
-    most = _matrix(prefixes, list(range(m)), list(range(m))) + np.minimum(rest, rest.T)
-    yes = similar(most, sizes[:, None], sizes[None, :], percent)
-    np.fill_diagonal(yes, False)
-    return yes
-
-
 def similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -226,11 +213,115 @@ def _set_in(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A table of the shared folder: smaller than a checkpoint where rows are many."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def measured(members: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, id, j, inter, np, n: the intersection of every member's set (members: g, id) with those of
+    its region's pivots (pivots: g, j, id), and the sizes.
+
+    A region is dealt into parts of bounded weight, and its pivots, few, go to every part; a task
+    holds the pivots of one part at a time and reads its members one after another.
+    """
+    parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
+    dealt = members.join(parts, "g").select("g", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(-1).alias("j"), "id")
+    copied = pivots.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "j", "id")
+    # pivots first, in their order: a member has j -1, so the order is by whether it is one
+    rows = dealt.union(copied).join(sets, "id").select("g", "part", (F.col("j") < 0).alias("member"), "j", "id", "set").repartition("g", "part").sortWithinPartitions("g", "part", "member", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for g, part, member, j, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, part) != now:
+                    now, held = (g, part), []
+                own = np.frombuffer(raw, dtype=np.uint64)
+                if not member:
+                    held.append((j, own))
+                    continue
+                for pivot, other in held:
+                    for column, x in zip(out, (g, i, pivot, common(own, other), len(other), len(own))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=["g", "id", "j", "inter", "np", "n"])
+
+    return rows.transform(mapped, run, "g long, id long, j long, inter long, np long, n long")
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two ascending sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
+def joined(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links inside each group of rows (keys, id, set)."""
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held = None, [], []
+
+        def links() -> pa.RecordBatch:
+            out = join_region(held, percent)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], type=pa.int64()), pa.array([ids[j] for _, j in out], type=pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for at, i, s in zip(zip(*(batch.column(c).to_pylist() for c in range(k))), batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
+                if at != now:
+                    if len(ids) > 1:
+                        yield links()
+                    now, ids, held = at, [], []
+                ids.append(i)
+                held.append(np.frombuffer(s, dtype=np.uint64))
+        if len(ids) > 1:
+            yield links()
+
+    return rows.select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys).transform(mapped, run, "a long, b long")
+
+
+def join_shells(rows: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links inside the groups of rows (g, id, n, taken): tables of a, b that connect what links
+    connect. Of documents that are taken (linked to the pivot of the whole region) no two need a link
+    among themselves. Each level parts heavy groups by pivots; see the module's text."""
+    eps, found, level = (100 - percent) / 100, [], 0
+    while True:
+        weight = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("taken")).alias("open"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.max("stuck").alias("stuck"))
+        weight = cut(weight.filter("open > 0 and c > 1"))
+        light = rows.join(weight.filter("blocks = 1").select("g"), "g")
+        found.append(cut(joined(light.select("g", "id").join(sets, "id"), ["g"], percent)))
+        if weight.filter("blocks > 1 and stuck").limit(1).count():
+            found.append(cut(_blocks(rows.join(weight.filter("blocks > 1 and stuck").select("g", "c", "blocks", "open"), "g"), sets, percent)))
+        heavy = weight.filter("blocks > 1 and not stuck").select("g", "c")
+        if heavy.isEmpty():
+            return found
+        # pivots: of each of PIVOTS classes of a group the document of the least hash
+        inside = rows.join(heavy, "g")
+        at = F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")
+        pivots = cut(inside.groupBy("g", F.pmod(F.xxhash64("id", F.lit(level + 1000)), F.lit(PIVOTS)).cast("int").alias("j")).agg(F.min(at).alias("p")).select("g", "j", F.col("p.id").alias("id")))
+        union = F.col("np") + F.col("n") - F.col("inter")
+        away = measured(inside.select("g", "id"), pivots, sets).select("g", "id", F.col("j").cast("int").alias("j"), (100 * F.col("inter") >= percent * union).alias("link"), (1 - F.col("inter") / union).alias("d"))
+        told = cut(away.groupBy("g", "id").agg(F.collect_list(F.struct("d", "j", "link")).alias("to")))
+        found.append(cut(told.select("g", "id", F.explode(F.filter("to", lambda t: t["link"])).alias("t")).select("g", "id", "t.j").join(pivots.withColumnRenamed("id", "b"), ["g", "j"]).filter("id <> b").select(F.col("id").alias("a"), "b")))
+        least = F.array_min("to")
+        near = told.withColumn("least", least).select("g", "id", F.explode(F.filter("to", lambda t: t["d"] <= least["d"] + 2 * eps + 1e-9)).alias("t"), F.col("least.j").alias("home"))
+        homes = near.select("g", F.col("home").alias("j")).distinct()
+        parts = near.select("g", "id", F.col("t.j").alias("j")).join(homes, ["g", "j"]).join(inside.select("g", "id", "n", "taken", "c"), ["g", "id"])
+        grown = parts.groupBy("g", "j").agg(F.count(F.lit(1)).cast("double").alias("m"), F.max("c").alias("c")).groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("work"), F.max("c").alias("c"))
+        # a group whose parts are together nearly as much work as itself is not worth parting: it stays whole, for blocks
+        stuck = grown.filter(F.col("work") > SHRUNK * F.col("c") * F.col("c")).select("g")
+        parted = parts.join(stuck, "g", "left_anti").select(F.xxhash64("g", "j", F.lit(level)).alias("g"), "id", "n", "taken", F.lit(False).alias("stuck"))
+        whole = inside.join(stuck, "g").select("g", "id", "n", "taken", F.lit(True).alias("stuck"))
+        rows, level = cut(parted.union(whole)), level + 1
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside groups of rows (g, id, taken, c, blocks) that can't be parted: dealt into blocks,
+    every pair of blocks joins, but for two of taken documents."""
+    kind = F.when(F.col("taken"), F.col("blocks")).otherwise(0)  # blocks of open documents come first
+    mine = kind + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), 2 * F.col("blocks") - 1)
+    with_ = F.when(F.col("taken"), F.filter(every, lambda o: o < F.col("blocks"))).otherwise(every)
+    dealt = rows.withColumn("k", mine).withColumn("o", F.explode(with_)).select("g", F.least("k", "o").alias("gi"), F.greatest("k", "o").alias("gj"), "id")
+    return joined(dealt.join(sets, "id"), ["g", "gi", "gj"], percent)
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,8 +337,9 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         raise ValueError("percent must be at least 50 and below 100")
     spark = docs.sparkSession
     sc = spark.sparkContext
+    before = scratched()
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made, weights = survey(rows, k)
+    made, made_path, weights = survey(rows, k)
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
     full = made.filter("n > 0 and id is not null")
 
@@ -272,12 +364,12 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, type=pa.int32()), lists, pa.array(prints, type=pa.binary())], names=["id", "n", "prefix", "fp"])
 
     celled = rows.filter("id is not null").select("id", "text", F.xxhash64("id").alias("cell"))
-    sets_by_row = _kept(spark, celled.transform(mapped, base, "id long, n int, prefix array<long>, fp binary").filter("n > 0"), "jaccard-base")
+    sets_by_row, _ = kept(celled.transform(mapped, base, "id long, n int, prefix array<long>, fp binary").filter("n > 0"), "jaccard-base")
     reps = sets_by_row.filter("fp is null").drop("fp").union(sets_by_row.filter("fp is not null").join(copies, ["id", "fp"], "left_anti").drop("fp"))
 
     # 1. regions of documents that share a prefix shingle, by bands of size
     shared = reps.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
-    shared = _kept(spark, shared, "jaccard-shared")
+    shared, _ = kept(shared, "jaccard-shared")
     repeated = sc.broadcast(_bits(shared, SHARED_BITS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,53 +381,12 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             yield pa.RecordBatch.from_arrays([pa.array(value[keep]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["s", "id", "n"])
 
     rows_of = reps.select("id", "n", "prefix").transform(mapped, spread, "s long, id long, n int").join(shared, "s")
-    member = _kept(spark, rows_of.select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")), "jaccard-member")
+    member, _ = kept(rows_of.select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")), "jaccard-member")
     lead = member.groupBy("s", "band").agg(F.min(F.when(F.col("own") == F.col("band"), F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("p is not null and c > 1")
-    inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
-    sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-
-    # small regions compare all their prefixes; only groups that these can't part are joined
-    placed = inside.join(sizes.filter(f"c between 2 and {SMALL}").select("p"), "p")
-    known = sc.broadcast(_bits(placed.select(F.xxhash64("id"))))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_set_in(known.value, batch.column(3).to_numpy()))).select(["id", "n", "prefix"])
-
-    picked = reps.select("id", "n", "prefix", F.xxhash64("id").alias("cell")).transform(mapped, pick, "id long, n int, prefix array<long>")
-    few = placed.join(picked, "id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def parted() -> pa.RecordBatch:
-            ids = np.array([x[0] for x in held])
-            forest = Forest(len(held))
-            for i, j in zip(*np.nonzero(np.triu(may_link([x[2] for x in held], np.array([x[1] for x in held]), percent)))):
-                forest.link(int(i), int(j))
-            root = np.array([forest.root(i) for i in range(len(held))])
-            groups = [np.sort(ids[root == r]) for r in np.flatnonzero(np.bincount(root) > 1)]
-            names = [np.full(len(g), xxhash.xxh64_intdigest(g.tobytes()), dtype=np.uint64).view(np.int64) for g in groups]
-            none = np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *names])), pa.array(np.concatenate([none, *groups]))], names=["g", "id"])
-
-        for batch in batches:
-            at, ids, ns, prefixes = (batch.column(i) for i in range(4))
-            for p, i, n, x in zip(at.to_pylist(), ids.to_pylist(), ns.to_pylist(), prefixes):
-                if p != now:
-                    if len(held) > 1:
-                        yield parted()
-                    now, held = p, []
-                held.append((i, n, x.values.to_numpy().view(np.uint64)))
-        if len(held) > 1:
-            yield parted()
-
-    # regions that leave the same group name it alike, so that it is joined once
-    group = cut(few.select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p").transform(mapped, compare, "g long, id long").distinct())
-    pairs = cut(inside.join(sizes.filter(f"c > {SMALL}").select("p"), "p").filter("id <> p").select("p", "id"))
+    pairs = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).filter("id <> p").select("p", "id").distinct())
 
     # the sets of the documents in regions
-    wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).union(group.select("id")).distinct()
+    wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).distinct()
     loaded = sc.broadcast(_bits(wanted.select(F.xxhash64("id"))))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,68 +397,28 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
                 sets = [shingle_set(words[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "set"])
 
-    sets = cut(celled.transform(mapped, sets_of, "id long, set binary").filter("length(set) > 0"))
+    sets, _ = kept(celled.transform(mapped, sets_of, "id long, set binary").filter("length(set) > 0"), "jaccard-sets")
 
     # 2. distances to the pivots
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inter, na, nb = [], [], []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                na.append(len(a))
-                nb.append(len(b))
-                inter.append(len(np.intersect1d(a, b, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=pa.int64()) for x in (inter, na, nb))], names=["p", "id", "inter", "np", "n"])
-
-    pivots = sets.join(pairs.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("p"), F.col("set").alias("pset"))
-    both = pairs.join(sets, "id").join(pivots, "p").select("p", "id", "set", "pset")
     union = F.col("np") + F.col("n") - F.col("inter")
     shell = F.floor((1 - F.col("inter") / union) / ((100 - percent) / 100 * 1.000001)).cast("int")
-    measured = both.transform(mapped, distances, "p long, id long, inter long, np long, n long")
-    to_pivot = cut(measured.select("p", "id", "n", (100 * F.col("inter") >= percent * union).alias("link"), shell.alias("shell")))
-
-    # 3. shells with the next shell's documents, in blocks of bounded weight
-    wide = to_pivot.select("p", "id", "n", "link", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
-    home = F.col("own") == F.col("shell")
-    stats = wide.groupBy("p", "shell").agg(
-        F.sum(home.cast("int")).alias("h"), F.sum((~home).cast("int")).alias("g"), F.sum((~F.col("link")).cast("int")).alias("open"),
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
-    ).filter("open > 0 and h > 0 and h + g > 1")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = wide.join(stats.select("p", "shell", "blocks"), ["p", "shell"]).withColumn("g", mine)
-    dealt = dealt.select("p", "shell", "id", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("p", "shell", F.least("g", "o").alias("gi"), F.greatest("g", "o").alias("gj"), "id")
-    keys = ["p", "shell", "gi", "gj"]
-
-    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Links inside each group of rows (keys, id, set)."""
-        k = len(keys)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, ids, held = None, [], []
-
-            def links() -> pa.RecordBatch:
-                out = join_region(held, percent)
-                return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], type=pa.int64()), pa.array([ids[j] for _, j in out], type=pa.int64())], names=["a", "b"])
-
-            for batch in batches:
-                for at, i, s in zip(zip(*(batch.column(c).to_pylist() for c in range(k))), batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
-                    if at != now:
-                        if len(ids) > 1:
-                            yield links()
-                        now, ids, held = at, [], []
-                    ids.append(i)
-                    held.append(np.frombuffer(s, dtype=np.uint64))
-            if len(ids) > 1:
-                yield links()
-
-        return rows.select(*keys, "id", "set").repartition(*keys).sortWithinPartitions(*keys).transform(mapped, run, "a long, b long")
-
-    within = joined(dealt.join(sets, "id"), keys).union(joined(group.join(sets, "id"), ["g"]))
+    away = measured(pairs.select(F.col("p").alias("g"), "id"), pairs.select(F.col("p").alias("g")).distinct().select("g", F.lit(0).alias("j"), F.col("g").alias("id")), sets)
+    to_pivot = cut(away.select(F.col("g").alias("p"), "id", "n", (100 * F.col("inter") >= percent * union).alias("taken"), shell.alias("shell")))
+
+    # 3. shells with the next shell's documents
+    wide = to_pivot.select("p", "id", "n", "taken", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
+    homes = to_pivot.select("p", "shell").distinct()
+    one = wide.join(homes, ["p", "shell"]).groupBy(F.xxhash64("p", "shell").alias("g"), "id").agg(F.max("n").alias("n"), F.max("taken").alias("taken"))
+    shells = cut(one.withColumn("stuck", F.lit(False)))
+    within = join_shells(shells, sets, percent)
     # a key that stands on rows with different sets joins these
     sets_of_key = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     twice = full.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y").select("id").join(copies.select("id", "rep"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = to_pivot.filter("link").select(F.col("p").alias("a"), F.col("id").alias("b")).union(within).union(sets_of_key).union(twice)
+    links = to_pivot.filter("taken").select(F.col("p").alias("a"), F.col("id").alias("b")).union(sets_of_key).union(twice)
+    for part in within:
+        links = links.union(part)
     label = components(links)
+    clean(spark, keep=(*before, made_path))
     named = firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     whole = made.select("id", "n", "fp").join(named, "fp", "left")
     return whole.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
