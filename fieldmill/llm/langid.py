@@ -93,14 +93,15 @@ class Model:
         sizes = ends - starts
         order = np.argsort(-sizes, kind="stable")
         order = order[sizes[order] > 0]
-        out = np.zeros(n, dtype=np.int8)
+        state = np.min_scalar_type(max(k - 1, 0))
+        out = np.zeros(n, dtype=state)
         if not len(order):
             return out
         begin, size = starts[order], sizes[order]
         steps = int(size[0])
         alive = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
-        back = np.zeros((n, k), dtype=np.int8)
-        own = np.arange(k, dtype=np.int8)
+        back = np.zeros((n, k), dtype=state)
+        own = np.arange(k, dtype=state)
         v = scores[begin].astype(np.float64)
         for t in range(1, steps):
             m = alive[t]
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
 
     lang_pred is a learned language, or und with score 0 for texts that are null or have no letter
     (and for all texts if nothing was learned). Letters of scripts that no learned language uses
-    leave all as candidates. Rows are labelled each by itself from their text alone, ties fall to
+    leave all as candidates. Any number of languages may be learned. Rows are labelled each by itself from their text alone, ties fall to
     the first language by name, an empty table gives no row; columns of the new names are an
     error. No row is shuffled.
     """
@@ -208,8 +209,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     place, names = docs.columns.index(text), [*docs.columns, *new]
     schema = docs.select("*", F.lit("").alias(new[0]), F.lit(0.0).alias(new[1]), F.array().cast(SPANS).alias(new[2])).schema
 
+    most = (32 << 20) // max(4, len(model.langs))  # scores are held for every word and language
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in pieces(batch, place)):
+        for batch in (part for batch in batches for part in pieces(batch, place, most)):
             yield pa.RecordBatch.from_arrays([*batch.columns, *_labelled(shared.value, batch.column(place), penalty)], names=names)
 
     return docs.transform(mapped, run, schema)
