@@ -34,6 +34,7 @@ from .tokens import Encoder, default_path
 MAGIC = b"FMIX0001"
 NULL_KEY = 0x5BD1E995  # stands in for a null key in hashes
 TRIED = 64
+READ = 500  # documents that a scan reads at once
 _MANIFEST = "shard long, low long, high long, nulls long, n_docs long, n_tokens long"
 
 
@@ -41,6 +42,13 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark takes it to be in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full[len("file:") :] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def key_hashes(keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     h = mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     return np.where(nulls, mixed(np.full(1, NULL_KEY, dtype=np.uint64)), h)
@@ -101,40 +109,62 @@ def index_bytes(keys: np.ndarray, nulls: np.ndarray, offsets: np.ndarray, width:
 
 
 class Shard:
-    """An opened shard: get(key) in constant time, and its documents in order."""
+    """An opened shard: get(key) by a fixed number of small reads, and the whole index for scans."""
 
     def __init__(self, folder: str, number: int):
-        self.fs, root = filesystem(folder)
+        fs, root = filesystem(folder)
         self.path = f"{root}/shard-{number:05d}"
-        raw = self.fs.open_input_file(f"{self.path}.idx").read()
-        if raw[:8] != MAGIC:
+        self.idx, self.bin = fs.open_input_file(f"{self.path}.idx"), fs.open_input_file(f"{self.path}.bin")
+        head = self.idx.read_at(40, 0)
+        if head[:8] != MAGIC:
             raise ValueError(f"{self.path}.idx is no index of this format")
-        width, n, k, b = struct.unpack_from("<4Q", raw, 8)
-        at, parts = 40, []
-        for kind, size in (("<i8", b), ("<u8", k), ("<u4", k), ("<u4", k), ("<u8", n + 1), ("<i8", n), ("u1", n)):
-            parts.append(np.frombuffer(raw, dtype=kind, count=size, offset=at))
-            at += parts[-1].nbytes
-        self.d, self.finger, self.where, self.many, self.offsets, self.keys, self.nulls = parts
-        self.dtype, self.n = np.dtype("<u2" if width == 2 else "<u4"), n
-        self.bin = self.fs.open_input_file(f"{self.path}.bin")
+        width, self.n, k, b = struct.unpack_from("<4Q", head, 8)
+        self.n_keys, self.dtype = k, np.dtype("<u2" if width == 2 else "<u4")
+        self.parts, at = {}, 40  # name: type, place, entries
+        for name, kind, size in (("d", "<i8", b), ("finger", "<u8", k), ("where", "<u4", k), ("many", "<u4", k), ("offsets", "<u8", self.n + 1), ("keys", "<i8", self.n), ("nulls", "u1", self.n)):
+            kind = np.dtype(kind)
+            self.parts[name] = (kind, at, size)
+            at += kind.itemsize * size
+
+    def entries(self, name: str, first: int = 0, many: int | None = None) -> np.ndarray:
+        """Entries of a part of the index: many from first on, or all."""
+        kind, at, size = self.parts[name]
+        many = size - first if many is None else many
+        return np.frombuffer(self.idx.read_at(kind.itemsize * many, at + kind.itemsize * first), dtype=kind)
 
     def find(self, keys: np.ndarray, nulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first document of each key and how many have it (0 for absent keys)."""
-        if not len(self.finger):
+        """The first document of each key and how many have it (0 for absent keys), with the index read whole."""
+        if not self.n_keys:
             return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         h = key_hashes(keys, nulls)
-        at = slots(h, self.d, len(self.finger))
-        known = self.finger[at] == mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        return self.where[at].astype(np.int64), np.where(known, self.many[at], 0).astype(np.int64)
-
-    def ids(self, i: int) -> np.ndarray:
-        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
-        return np.frombuffer(self.bin.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), dtype=self.dtype)
+        at = slots(h, self.entries("d"), self.n_keys)
+        known = self.entries("finger")[at] == mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        return self.entries("where")[at].astype(np.int64), np.where(known, self.entries("many")[at], 0).astype(np.int64)
+
+    def find_one(self, key: int | None) -> tuple[int, int]:
+        """As find, for one key, by reading one entry of each part that it needs."""
+        if not self.n_keys:
+            return 0, 0
+        h = key_hashes(np.array([key or 0], dtype=np.int64), np.array([key is None]))
+        buckets = self.parts["d"][2]
+        d = self.entries("d", int(h[0] % np.uint64(buckets)), 1)
+        at = int(-d[0] - 1) if d[0] < 0 else int(_slot(h, d, self.n_keys)[0])
+        if self.entries("finger", at, 1)[0] != mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))[0]:
+            return 0, 0
+        return int(self.entries("where", at, 1)[0]), int(self.entries("many", at, 1)[0])
+
+    def payload(self, first: int, end: int) -> np.ndarray:
+        """The ids from place first to end."""
+        size = self.dtype.itemsize
+        return np.frombuffer(self.bin.read_at((end - first) * size, first * size), dtype=self.dtype)
 
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of every document with this key."""
-        first, many = self.find(np.array([key or 0], dtype=np.int64), np.array([key is None]))
-        return [self.ids(int(first[0]) + j) for j in range(int(many[0]))]
+        first, many = self.find_one(key)
+        if not many:
+            return []
+        ends = self.entries("offsets", first, many + 1).astype(np.int64).tolist()
+        return [self.payload(a, b) for a, b in zip(ends[:-1], ends[1:])]
 
 
 class TokenStore:
@@ -170,7 +200,7 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     shard comes back to the driver. A task writes under a name of its own and then renames, so a
     repeated task replaces the same file by the same bytes.
     """
-    tokenizer = tokenizer or default_path()
+    tokenizer, folder = tokenizer or default_path(), qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
     rows = (rows.repartitionByRange(shards, "_k") if shards else rows.repartitionByRange("_k")).sortWithinPartitions("_k", "_t")
 
@@ -209,8 +239,13 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
 
 
 def read_store(spark: SparkSession, folder: str, manifest: list[dict], key: str = "doc_id") -> DataFrame:
-    """One row per document of a store, read back from its files through the index: the key, start
-    (ids of all documents before it), n_tokens and ids_crc32 (of the ids as four-byte integers)."""
+    """One row per document of a store, read back from its files: the key, start (ids of all
+    documents before it), n_tokens and ids_crc32 (of the ids as four-byte integers).
+
+    Each distinct key of a shard is looked up by the perfect hash, and what its slot names is read;
+    a slot with another fingerprint, or slots that together don't name every document once, are an error.
+    """
+    folder = qualified(spark, folder)
     bases, total = [], 0
     for r in manifest:
         bases.append(total)
@@ -221,15 +256,23 @@ def read_store(spark: SparkSession, folder: str, manifest: list[dict], key: str
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 shard = Shard(folder, numbers[i])
-                first, many = shard.find(shard.keys, shard.nulls.astype(bool))
-                here = np.arange(shard.n)
-                if not ((first <= here) & (here < first + many)).all():
+                keys, nulls, offsets = shard.entries("keys"), shard.entries("nulls").astype(bool), shard.entries("offsets").astype(np.int64)
+                new = np.ones(shard.n, dtype=bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (nulls[1:] != nulls[:-1])
+                distinct = np.flatnonzero(new)
+                first, many = shard.find(keys[distinct], nulls[distinct])
+                ends = np.cumsum(many)
+                places = np.repeat(first - (ends - many), many) + np.arange(int(many.sum()))
+                if (many == 0).any() or not np.array_equal(np.sort(places), np.arange(shard.n)):
                     raise ValueError(f"{shard.path}.idx does not lead to all its keys")
-                for a in range(0, shard.n, 5000):
-                    b = min(shard.n, a + 5000)
-                    sums = [zlib.crc32(shard.ids(j).astype("<u4")) for j in range(a, b)]
+                owner = np.repeat(distinct, many)
+                for a in range(0, shard.n, READ):
+                    at, own = places[a : a + READ], owner[a : a + READ]
+                    lo, hi = int(offsets[at].min()), int(offsets[at + 1].max())
+                    ids = shard.payload(lo, hi)  # one read for neighbours: slots of ascending keys name ascending places
+                    sums = [zlib.crc32(ids[x - lo : y - lo].astype("<u4")) for x, y in zip(offsets[at].tolist(), offsets[at + 1].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.keys[a:b], mask=shard.nulls[a:b].astype(bool)), pa.array(shard.offsets[a:b].astype(np.int64) + bases[i]), pa.array(np.diff(shard.offsets[a : b + 1]).astype(np.int64)), pa.array(sums, type=pa.int64())],
+                        [pa.array(keys[own], mask=nulls[own]), pa.array(offsets[at] + bases[i]), pa.array(offsets[at + 1] - offsets[at]), pa.array(sums, type=pa.int64())],
                         names=[key, "start", "n_tokens", "ids_crc32"],
                     )
 
