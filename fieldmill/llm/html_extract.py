@@ -7,8 +7,9 @@ both agree, or the nearer one, or the edge of what it stands in (the edge of an
 good and the edge of a page as bad). Good blocks in page order are the text.
 
 Elements that say what they are need no guess: navigation, footers, asides, forms, scripts, styles,
-adverts, notices and reader comments are bad, and text inside an article is good unless links make
-up most of a short block. Where a page marks an article, what stands outside it isn't its text.
+adverts, notices and reader comments are bad. Where a page marks an article, what stands outside it
+isn't its text, and inside it no long block is bad for its words: one with few stop words is
+ambiguous, as are short ones, and links must make up two thirds of a short block to make it bad.
 
 Where the long blocks of a page together have few stop words, its language isn't among those of
 the list, and they are decided by length and link density alone.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +52,11 @@ BAD_WORDS = frozenset(
     "subscription signup login popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments "
     "commentlist disqus replies reply respond share sharing social related recommended widget toolbar complementary contentinfo search alert dialog alertdialog skiplink".split()
 )
+# Words that stand beside those in a name and change nothing about it.
+NEUTRAL = frozenset(
+    "area articles aside bar block body bottom box btn button buttons card center col column container content div element form frame global group header heading holder icon icons inner item items label large left "
+    "link links list main mobile module notification outer panel posts primary region right row secondary section site slot small stories sub tag tags text title top unit view wrap wrapper zone".split()
+)
 #: A word of an attribute that begins so tells of a page's layout, as in has-sidebar.
 LAYOUT_WORDS = frozenset("no without has with hide full non".split())
 
@@ -62,7 +69,8 @@ GOOD, BAD, AMBIGUOUS = 1, -1, 0
 
 
 def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes tell of something that isn't article text, and of an article."""
+    """Whether attributes tell of something that isn't article text, and of an article. A name of
+    several words tells so only if all of its words do or are neutral: notice-box, not notice-board."""
     bad = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
     good = False
     for name, a, b, c in _ATTR.findall(attributes):
@@ -74,7 +82,7 @@ def _marks(attributes: str) -> tuple[bool, bool]:
                     continue
                 joined = "".join(parts)
                 good |= joined in ARTICLE_WORDS or (name == "role" and word in ("main", "article"))
-                bad |= joined in BAD_WORDS or parts[-1] in BAD_WORDS or (parts[0] in BAD_WORDS and parts[-1] != "free") or (name == "role" and word == "banner")
+                bad |= joined in BAD_WORDS or (any(p in BAD_WORDS for p in parts) and all(p in BAD_WORDS or p in NEUTRAL or p.isdigit() for p in parts))
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none", value))
         elif name == "aria-hidden":
@@ -93,6 +101,7 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # element, bad so far, number of the article (0: outside)
+    opened: Counter[str] = Counter()  # elements on the stack by name, so that a stray end tag costs nothing
     articles = links = breaks = 0
     now: Block | None = None
     heading = False
@@ -111,11 +120,18 @@ def blocks_of(page: str) -> list[Block]:
             if not raw.isspace():
                 breaks = 0
 
+    def push(name: str, bad: bool, article: int) -> None:
+        stack.append((name, bad, article))
+        opened[name] += 1
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
+        while opened[name] and pop() != name:
+            pass
 
     at, find = 0, _TAG.search
     while m := find(page, at):
@@ -149,9 +165,9 @@ def blocks_of(page: str) -> list[Block]:
                 close(name)
             elif name not in VOID:
                 if stack and stack[-1][0] == "p" and name in BLOCKS:
-                    stack.pop()
+                    pop()
                 if name == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
+                    pop()
                 above = stack[-1] if stack else ("", False, 0)
                 bad, good = _marks(attributes) if attributes.strip() else (False, False)
                 if name in ("html", "body"):
@@ -161,11 +177,11 @@ def blocks_of(page: str) -> list[Block]:
                     articles += 1
                     article = articles
                 skip = name in SKIPPED or (name == "header" and not article)
-                stack.append((name, above[1] or bad or skip, article))
+                push(name, above[1] or bad or skip, article)
         elif not end and name not in VOID and attributes and _marks(attributes)[0]:
             now = None
-            stack.append((name, True, stack[-1][2] if stack else 0))
-        elif end and any(s[0] == name for s in stack):
+            push(name, True, stack[-1][2] if stack else 0)
+        elif end and opened[name]:
             now = None
             close(name)
     text(page[at:])
@@ -177,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
 def labels(blocks: list[Block]) -> list[int]:
     """GOOD or BAD for every block."""
     marked = any(b.article and not b.bad for b in blocks)
-    dense = [stop_words(b) if not (b.bad or marked) and len(b.text) >= LENGTH_LOW and b.linked <= LINKS * len(b.text) else (0, 0) for b in blocks]
+    dense = [stop_words(b) if not b.bad and (b.article or not marked) and len(b.text) >= LENGTH_LOW and b.linked <= LINKS * len(b.text) else (0, 0) for b in blocks]
     known = sum(n for n, _ in dense) >= STOP_LOW * sum(n for _, n in dense)
     first = []
     for b, (stops, words) in zip(blocks, dense):
@@ -187,16 +203,14 @@ def labels(blocks: list[Block]) -> list[int]:
             first.append(BAD)
         elif links > (LINKS_ARTICLE if b.article else LINKS) and not (b.heading and b.article):
             first.append(AMBIGUOUS if b.article and size >= LENGTH_LOW else BAD)
-        elif b.article:
-            first.append(GOOD if size >= LENGTH_LOW else AMBIGUOUS)
         elif size < LENGTH_LOW:
             first.append(AMBIGUOUS)
         else:
-            stop = stops / words
+            stop = stops / max(1, words)
             if not known or stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LENGTH_HIGH):
                 first.append(GOOD)
             else:
-                first.append(AMBIGUOUS if stop >= STOP_LOW else BAD)
+                first.append(AMBIGUOUS if stop >= STOP_LOW or b.article else BAD)
     before, seen = [], None
     for i, (b, v) in enumerate(zip(blocks, first)):
         if v and not (b.bad or links_only(b)):
