@@ -85,8 +85,3 @@ def distillation_examples(df: DataFrame, targets: DataFrame, key: str, k: int, l
         F.transform("t", lambda c: c.isNotNull().cast("int")).alias("soft_target_mask"),
     )
     return hard.join(made, key)
-
-
-def gathered(logits: Column, ids: Column) -> Column:
-    """Logits at candidate ids, null beyond the vocabulary."""
-    return let(logits, lambda z: F.transform(ids, lambda i: F.get(z, i)))

@@ -159,11 +159,6 @@ def compare_json(df: DataFrame, keys: list[str], columns: list[tuple[str, str]],
     return judged(df.select(*keys, wrap(gt).alias("gt"), wrap(pred).alias("pred"))).select(*keys, F.get("verdicts", F.lit(0)).alias(out))
 
 
-def record_scores(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """correct, total and accuracy of every record with fields, from a row a field."""
-    return verdicts.groupBy(*keys).agg(F.sum(F.col("matched").cast("int")).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.col("correct") / F.col("total"))
-
-
 def score(df: DataFrame, keys: list[str], gt: str = "gt", pred: str = "pred") -> DataFrame:
     """A row for every record: keys, correct, total, accuracy, valid_json, parse_error.
 
