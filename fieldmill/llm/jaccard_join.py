@@ -9,6 +9,10 @@ a pivot tells nothing about them; so pivots are chosen where they can tell somet
    with a window of one band above, form a region, and its smallest document is the pivot: so a
    document lies in the region of every pivot that any of its links could share with it.
    Rarity comes from word counts over all documents, in a table of fixed size.
+   Prefixes bound the similarity of two sets from above. Before any set is loaded, these bounds part
+   regions whose prefixes fit in a task's hands (FITTING documents) and leave out documents that
+   can't link in them; each part is a region with its smallest document as the pivot, and equal
+   parts are one. This only saves loading: bounds decide no link.
 2. The distance of every member to its pivot is computed. Members within the threshold link to
    the pivot, hence with each other. The rest of a region is cut into shells by the distance to
    the pivot, as wide as the threshold; a document links inside its shell or to the next one, so
@@ -42,6 +46,7 @@ CELLS, CHUNK = 1 << 20, 1 << 14
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 PIVOTS, SHRUNK = 16, 0.7  # a level's pivots of a region, and the share of its pairs that its parts may have together
 FILTER_BITS, SHARED_BITS = 1 << 24, 1 << 26
+FITTING = 256
 
 
 def survey(texts: DataFrame, k: int) -> tuple[DataFrame, str, np.ndarray]:
@@ -104,6 +109,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def may_link(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A matrix that is False only for pairs of sets that can't be similar enough, judged by their
+    first keys: up to the end of the shorter-reaching prefix all shared shingles are known, beyond
+    it all may be shared."""
+    m = len(prefixes)
+    ends = np.array([p[-1] if len(p) < n else np.iinfo(np.uint64).max for p, n in zip(prefixes, sizes)], dtype=np.uint64)
+    reach = np.stack([np.searchsorted(p, ends, side="right") for p in prefixes])  # keys of i up to j's end
+    rest = sizes[:, None] - reach
+    most = _matrix(prefixes, list(range(m)), list(range(m))) + np.minimum(rest, rest.T)
+    yes = similar(most, sizes[:, None], sizes[None, :], percent)
+    np.fill_diagonal(yes, False)
+    return yes
+
+
 def similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -345,7 +364,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     # copies: rows whose set a smaller key has, told by key and set, as a key may stand on other sets
     # too; only what a filter can't tell from them is joined
-    firsts = full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+    # tables of their own, so that adaptive execution can split a large group of copies in the joins
+    firsts = cut(full.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
     copies = cut(full.select("id", "fp").join(firsts.filter("rep < top"), "fp").filter("id > rep").select("id", "fp", "rep").distinct())
     copied, counts = sc.broadcast(_bits(copies.select(F.xxhash64("id")))), sc.broadcast(weights)
 
@@ -383,11 +403,51 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     rows_of = reps.select("id", "n", "prefix").transform(mapped, spread, "s long, id long, n int").join(shared, "s")
     member, _ = kept(rows_of.select("s", "id", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")), "jaccard-member")
     lead = member.groupBy("s", "band").agg(F.min(F.when(F.col("own") == F.col("band"), F.col("id"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("p is not null and c > 1")
-    pairs = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).filter("id <> p").select("p", "id").distinct())
+    inside = cut(member.join(lead.select("s", "band", "p"), ["s", "band"]).select("p", "id").distinct())
+    sizes = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+
+    # what bounds can part is parted, and what they leave alone is left out
+    fitting = inside.join(sizes.filter(f"c <= {FITTING}").select("p"), "p")
+    known = sc.broadcast(_bits(fitting.select(F.xxhash64("id"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_set_in(known.value, batch.column(3).to_numpy()))).select(["id", "n", "prefix"])
+
+    picked = reps.select("id", "n", "prefix", F.xxhash64("id").alias("cell")).transform(mapped, pick, "id long, n int, prefix array<long>")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def parted() -> pa.RecordBatch:
+            ids = np.array([x[0] for x in held])
+            forest = Forest(len(held))
+            for i, j in zip(*np.nonzero(np.triu(may_link([x[2] for x in held], np.array([x[1] for x in held]), percent)))):
+                forest.link(int(i), int(j))
+            root = np.array([forest.root(i) for i in range(len(held))])
+            groups = [np.sort(ids[root == r]) for r in np.flatnonzero(np.bincount(root) > 1)]
+            names = [np.full(len(g), xxhash.xxh64_intdigest(g.tobytes()), dtype=np.uint64).view(np.int64) for g in groups]
+            none = np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (names, [np.full(len(g), g[0]) for g in groups], groups)], names=["g", "p", "id"])
+
+        for batch in batches:
+            at, ids, ns, prefixes = (batch.column(i) for i in range(4))
+            for p, i, n, x in zip(at.to_pylist(), ids.to_pylist(), ns.to_pylist(), prefixes):
+                if p != now:
+                    if len(held) > 1:
+                        yield parted()
+                    now, held = p, []
+                held.append((i, n, x.values.to_numpy().view(np.uint64)))
+        if len(held) > 1:
+            yield parted()
+
+    few = fitting.join(picked, "id").select("p", "id", "n", "prefix").repartition("p").sortWithinPartitions("p")
+    many = inside.join(sizes.filter(f"c > {FITTING}").select("p"), "p").select(F.xxhash64("p", F.lit("region")).alias("g"), "p", "id")
+    regions = cut(few.transform(mapped, part, "g long, p long, id long").distinct().union(many))
+    pairs, leads = regions.filter("id <> p"), regions.select("g", "p").distinct()
 
     # the sets of the documents in regions
-    wanted = pairs.select("id").union(pairs.select(F.col("p").alias("id"))).distinct()
-    loaded = sc.broadcast(_bits(wanted.select(F.xxhash64("id"))))
+    loaded = sc.broadcast(_bits(regions.select(F.xxhash64("id")).union(regions.select(F.xxhash64("p")))))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,13 +462,13 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     # 2. distances to the pivots
     union = F.col("np") + F.col("n") - F.col("inter")
     shell = F.floor((1 - F.col("inter") / union) / ((100 - percent) / 100 * 1.000001)).cast("int")
-    away = measured(pairs.select(F.col("p").alias("g"), "id"), pairs.select(F.col("p").alias("g")).distinct().select("g", F.lit(0).alias("j"), F.col("g").alias("id")), sets)
-    to_pivot = cut(away.select(F.col("g").alias("p"), "id", "n", (100 * F.col("inter") >= percent * union).alias("taken"), shell.alias("shell")))
+    away = measured(pairs.select("g", "id"), leads.select("g", F.lit(0).alias("j"), F.col("p").alias("id")), sets)
+    to_pivot = cut(away.select("g", "id", "n", (100 * F.col("inter") >= percent * union).alias("taken"), shell.alias("shell")).join(leads, "g"))
 
     # 3. shells with the next shell's documents
-    wide = to_pivot.select("p", "id", "n", "taken", F.col("shell").alias("own"), F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
-    homes = to_pivot.select("p", "shell").distinct()
-    one = wide.join(homes, ["p", "shell"]).groupBy(F.xxhash64("p", "shell").alias("g"), "id").agg(F.max("n").alias("n"), F.max("taken").alias("taken"))
+    wide = to_pivot.select("g", "id", "n", "taken", F.explode(F.array("shell", F.col("shell") - 1)).alias("shell")).filter("shell >= 0")
+    homes = to_pivot.select("g", "shell").distinct()
+    one = wide.join(homes, ["g", "shell"]).groupBy(F.xxhash64("g", "shell").alias("g"), "id").agg(F.max("n").alias("n"), F.max("taken").alias("taken"))
     shells = cut(one.withColumn("stuck", F.lit(False)))
     within = join_shells(shells, sets, percent)
     # a key that stands on rows with different sets joins these
@@ -419,7 +479,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         links = links.union(part)
     label = components(links)
     clean(spark, keep=(*before, made_path))
-    named = firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    named = cut(firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
     whole = made.select("id", "n", "fp").join(named, "fp", "left")
     return whole.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
