@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, mapped, mixed, pieces, scratch, spaced, strings, word_hashes
+from .common import UNSPACED, kept, mapped, mixed, pieces, spaced, strings, word_hashes
 
 SENTENCES, WORDS, LONG = 2, 20, 25
 PASSAGE, ANCHOR = 50, 25
@@ -114,19 +114,14 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
             found = [np.unique(h[a:b][np.isin(least[a:b], x.values.to_numpy().view(np.uint64))]) for a, b, x in zip(ends[:-1], ends[1:], batch.column(2))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["h", "id"])
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch(df.sparkSession, name)
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-
     def later(rows: DataFrame) -> DataFrame:
         """Rows whose hash another key holds too, with the smallest key."""
         return rows.join(rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first"), "h")
 
     bodies = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    found = kept(bodies.transform(mapped, first, "h long, id long, own boolean"), "passage-anchors")
+    found, _ = kept(bodies.transform(mapped, first, "h long, id long, own boolean"), "passage-anchors")
     shared = later(found.filter("not own").select("h", "id")).groupBy("id").agg(F.collect_set("h").alias("anchors"))
-    some = kept(bodies.join(shared, "id").select("id", "t", "anchors").transform(mapped, runs, "h long, id long"), "passage-runs")
+    some, _ = kept(bodies.join(shared, "id").select("id", "t", "anchors").transform(mapped, runs, "h long, id long"), "passage-runs")
     told = later(some).filter("id > first").select("id", "h", F.lit(False).alias("own")).union(found.filter("own").select("id", "h", "own"))
     sets = told.groupBy("id").agg(F.collect_set(F.when(~F.col("own"), F.col("h"))).alias("later"), F.collect_set(F.when(F.col("own"), F.col("h"))).alias("own"))
     return sets.withColumnRenamed("id", key)
@@ -172,7 +167,8 @@ def covered_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
                 columns = [np.concatenate(x) for x in (hashes, keys, ranges, again)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], names=["h", "id", "range", "again"])
 
-    found = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).transform(mapped, find, "h long, id long, range long, again boolean")
+    bodies = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    found, _ = kept(bodies.transform(mapped, find, "h long, id long, range long, again boolean"), "sentence-spans")
     across = found.filter("not again").groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
     later = found.filter("not again").join(across, "h").filter("id > first").select("id", "range")
     within = found.filter("again").select("id", "range")
