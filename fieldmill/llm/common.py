@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.paths import fresh, remove, shared_dir
 
@@ -51,6 +52,22 @@ def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
+#: Rows are sifted by so many cells at most, and at least.
+CELLS, CELLS_LEAST = 1 << 20, 1 << 12
+
+
+def sifted(rows: DataFrame, id: str, keys: DataFrame, outside: bool = False) -> DataFrame:
+    """Rows whose id may be in keys (one column, materialised), or, for outside, those whose id can't
+    be, before any shuffle. Ids fall into hash cells, and the cells of keys, a bounded table, are
+    broadcast; there are eight times as many cells as keys as long as the bound allows it, beyond
+    that more rows pass. Null ids are outside."""
+    many = min(CELLS, max(CELLS_LEAST, 1 << (8 * keys.count()).bit_length()))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(many))
+    cells = keys.select(cell(F.col(keys.columns[0])).alias("__cell")).distinct()
+    at = F.when(F.col(id).isNotNull(), cell(F.col(id).cast(keys.schema[0].dataType)))
+    return rows.join(F.broadcast(cells), at == F.col("__cell"), "left_anti" if outside else "left_semi")
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(fn, schema) in batches of at most BATCH bytes; a worker that has done a task
     gives free memory back, as it may stay for long beside others."""

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, sifted
+
 #: Chosen places of each mask; all masks have the same span.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
 WINDOW, SHARE = 20, 0.75
@@ -63,7 +65,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     is missed, down to items of one word. Null and empty texts hold nothing, and items without words
     are in none; rows with null keys are not joined and give no row; rows that
     repeat a key count as one text; empty tables give no row; other columns are ignored.
-    The items' seeds are broadcast up to BROADCAST_SEEDS of them, else joined by a shuffle.
+    The items' seeds are broadcast up to BROADCAST_SEEDS of them, else joined by a shuffle. Only texts
+    that have a hit are shuffled, to be held against the items.
     """
     span = max(map(max, masks)) + 1
 
@@ -89,18 +92,18 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     short = min(max(SHORT, span) - 1, window)
     sizes = [r[0] for r in tests.filter(F.size("words") <= short).select(F.size("words")).distinct().collect()]
     if sizes:
-        cut = F.lit(None)
+        cuts = F.lit(None)
         for size in sizes:
-            cut = F.when(F.size("words") == size, F.array(*(runs(F.col("words"), F.lit(i), length) for i, length in blocks(size, share)))).otherwise(cut)
-        few = tests.select("id", F.explode(cut).alias("s")).select(F.col("id").alias("item"), F.col("s.at").alias("item_at"), "s.seed").distinct()
+            cuts = F.when(F.size("words") == size, F.array(*(runs(F.col("words"), F.lit(i), length) for i, length in blocks(size, share)))).otherwise(cuts)
+        few = tests.select("id", F.explode(cuts).alias("s")).select(F.col("id").alias("item"), F.col("s.at").alias("item_at"), "s.seed").distinct()
         lengths = sorted({length for size in sizes for _, length in blocks(size, share)})
         of = lambda m: F.when(F.size("words") >= m, F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: runs(F.col("words"), i, m))).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
         ours = texts.select("id", F.explode(F.concat(*map(of, lengths))).alias("s")).select("id", "s.at", "s.seed")
         hits = ours.join(F.broadcast(few) if n <= BROADCAST_SEEDS else few, "seed")
         found = found.union(hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start")))
-    found = found.distinct()
+    found = cut(found.distinct())
 
-    bodies = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    bodies = sifted(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", found.select("id"))
     held = bodies.join(found.groupBy("id").agg(F.collect_set(F.struct("item", "start")).alias("found")), "id")
     held = held.select("id", "found", F.explode(F.array(word_hashes(F.col("text")))).alias("words")).select("id", "words", F.explode("found").alias("f"))
     pairs = held.select("id", "words", "f.item", "f.start").join(tests.select(F.col("id").alias("item"), F.col("words").alias("want")), "item")
@@ -115,9 +118,11 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without the contaminated rows, all columns as they are."""
-    bad = contaminated(docs, items, key=key, **options).select(F.col(key).alias("__leak_key")).distinct()
-    return docs.join(bad, docs[key] == bad["__leak_key"], "left_anti")
+    """docs without the contaminated rows, all columns as they are. Most rows pass without a shuffle;
+    only those that share a cell with a contaminated key are joined with these keys."""
+    bad = cut(contaminated(docs, items, key=key, **options).select(F.col(key).alias("__leak_key")).distinct())
+    doubtful = sifted(docs, key, bad)
+    return sifted(docs, key, bad, outside=True).unionByName(doubtful.join(bad, doubtful[key] == bad["__leak_key"], "left_anti"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
