@@ -2,8 +2,8 @@
 
 The shingle hashes of a text are cut once: the high bits choose one of BINS bins, and a bin keeps
 the least hash that falls into it. An empty bin takes the value of a bin that a hash of (bin,
-attempt) names, with further attempts until that one was filled by a shingle; the table of
-attempts is the same for all texts, so equal sets fill alike. Only the low BITS bits of a bin's
+attempt) names, with further attempts until that one was filled by a shingle, however many it takes;
+attempts are the same for all texts, so equal sets fill alike. Only the low BITS bits of a bin's
 value are kept. Bins of unlike texts then agree by chance once in 2**BITS, so likeness corrects
 for that: (share of equal bins - 2**-BITS) / (1 - 2**-BITS), held to 0..1.
 """
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from .common import mapped, mixed, pieces, runs_hashed, strings, word_hashes
 
 BINS, BITS, SHINGLE = 256, 4, 5
-ATTEMPTS = 64
+TABLE = 1024  # attempts that are held ready; later ones are computed when met
 
 
-def _attempts(bins: int) -> np.ndarray:
-    seeds = np.arange(bins * ATTEMPTS, dtype=np.uint64).reshape(ATTEMPTS, bins)
-    return (mixed(mixed(seeds + np.uint64(0x51ED270B)) ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bins)).astype(np.int64)
+def attempts(bins: int, first: int, many: int) -> np.ndarray:
+    """The bins that attempts first, first + 1, ... name, a row for each."""
+    seeds = np.arange(first * bins, (first + many) * bins, dtype=np.uint64).reshape(many, bins)
+    return (mixed(mixed(seeds + np.uint64(0x51ED270B)) ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bins)).astype(np.int32)
 
 
 class Fingerprints:
@@ -36,7 +37,7 @@ class Fingerprints:
         if bins & (bins - 1) or bits not in (1, 2, 4, 8):
             raise ValueError("bins must be a power of two, and bits 1, 2, 4 or 8")
         self.k, self.bins, self.bits = k, bins, bits
-        self.table = _attempts(bins)
+        self.table = attempts(bins, 0, TABLE)
         self.shift = np.uint64(64 - bins.bit_length() + 1)
 
     def lows(self, texts: list[str]) -> list[np.ndarray | None]:
@@ -53,18 +54,22 @@ class Fingerprints:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         value, full = np.zeros(self.bins, dtype=np.uint64), np.zeros(self.bins, dtype=bool)
         value[at[first]], full[at[first]] = h[first], True
-        empty = np.flatnonzero(~full)
-        for row in self.table:
-            if not len(empty):
-                break
-            donor = row[empty]
-            hit = full[donor]
-            value[empty[hit]] = value[donor[hit]]
-            empty = empty[~hit]
-        if len(empty):  # no attempt met a filled bin
-            value[empty] = value[at[first[0]]]
+        if len(first) == 1:
+            value[:] = h[0]  # whatever the attempts, they end there
+        else:
+            self.densify(value, full)
         return (mixed(value) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
 
+    def densify(self, value: np.ndarray, full: np.ndarray) -> None:
+        """Give every empty bin the value of the first filled bin that its attempts name."""
+        empty, at, many = np.flatnonzero(~full), 0, 8
+        while len(empty):
+            donor = (self.table[at : at + many] if at + many <= TABLE else attempts(self.bins, at, many))[:, empty]
+            hit = full[donor]
+            met = hit.any(axis=0)
+            value[empty[met]] = value[donor[hit.argmax(axis=0), np.arange(len(empty))][met]]
+            empty, at, many = empty[~met], at + many, min(2 * many, 256)
+
     def pack(self, low: np.ndarray | None) -> bytes:
         """Prefixed by a byte that tells whether there were words."""
         if low is None:
@@ -104,7 +109,8 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.stat.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    # the summaries behind the quantiles have a bounded size; a key beyond 2**53 may fall to a neighbouring range
+    cuts = sorted(set(rows.stat.approxQuantile("k", [i / n for i in range(1, n)], max(0.2 / n, 1e-5)))) if n > 1 else []
     cuts = np.array(cuts, dtype=np.int64)
     out_schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -135,8 +141,8 @@ def fingerprint_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(again)).columns, moved, pa.array(np.ones(len(again), dtype=np.int32))], names=names)
 
     sent = rows.transform(mapped, deal, "k long, t string, part long, tail int")
-    # ranges are told apart by the part column, whatever partitions they land in
-    dealt = sent.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", "k", "t")
+    # a range is a partition, and so a task
+    dealt = sent.repartitionById(max(1, len(cuts) + 1), F.col("part").cast("int")).sortWithinPartitions("part", "tail", "k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = Fingerprints(k, bins, bits)
