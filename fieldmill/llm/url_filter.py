@@ -6,6 +6,9 @@ domain. At each level a group's pages are beta-binomial around the mean that the
 it; how strongly they hold together (rho, hence the prior's weight (1 - rho) / rho) is estimated by
 moments from all groups of that level. A host is blocked when the posterior's lower bound, mean
 less Z deviations, is above LIMIT: where labels are few the bound is wide and the page stays.
+
+For reputation a host is taken without user, port and final dots. An IPv4 or bracketed address is its
+own domain and suffix, and so is a host of one label.
 """
 
 from __future__ import annotations
@@ -13,11 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: host, path, action
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 LIMIT, Z, RHO_LEAST, RHO_MOST = 0.5, 1.645, 0.001, 0.9
-#: Labels that, before a country's label, belong to the suffix.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Labels that, before a country's label, belong to the suffix, and names under which hosts of many owners stand.
+SECOND_LEVEL = "ac asn co com edu gob gouv gov gub id info ltd me mil muni ne net nhs nom or org plc sch web".split()
+SHARED = "blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev vercel.app web.app wordpress.com".split()
+SUFFIX = rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|{'|'.join(s.replace('.', chr(92) + '.') for s in SHARED)})$"
+ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)$"
+BARE = r"^[^@]*@|:[0-9]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,16 +49,20 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, action
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label, with the one before for country suffixes such as co.uk."""
-    second = rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$"
-    return F.when(host.rlike(second), F.regexp_extract(host, second, 1)).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+def name_of(host: Column) -> Column:
+    """The host's name without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(host, BARE, ""), r"\.+$", "")
+
+
+def suffix_of(name: Column) -> Column:
+    """The public suffix: the last label, or one of two labels such as co.uk; an address as it is."""
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(SUFFIX), F.regexp_extract(name, SUFFIX, 1)).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The registered domain: the suffix and the label before it, or the host where there is none."""
-    left = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
-    return F.when(F.length(host) > F.length(suffix) + 1, F.concat(F.regexp_extract(left, r"([^.]*)$", 1), F.lit("."), suffix)).otherwise(host)
+def domain_of(name: Column, suffix: Column) -> Column:
+    """The registered domain: the suffix and the label before it, or the name where there is none."""
+    left = F.substring(name, F.lit(1), F.length(name) - F.length(suffix) - 1)
+    return F.when(F.length(name) > F.length(suffix) + 1, F.concat(F.regexp_extract(left, r"([^.]*)$", 1), F.lit("."), suffix)).otherwise(name)
 
 
 def _weight(groups: DataFrame) -> float:
@@ -64,9 +77,11 @@ def _weight(groups: DataFrame) -> float:
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, n, mean and bound (the posterior's lower bound of its share of bad pages) of every host
     of outcomes (host string, bad int, null where a page has no label). A host without labels has its
-    domain's mean. One row of sums a level goes to the driver."""
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    domain's mean. Pages are read once: the levels are summed from the table of hosts, which is
+    written to the shared folder. One row of sums a level goes to the driver."""
+    counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    named = counts.withColumn("name", name_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("name")))
+    hosts = cut(named.withColumn("domain", domain_of(F.col("name"), F.col("suffix"))))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
@@ -89,7 +104,7 @@ def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, key:
     outcomes (key, bad 0 or 1) labels pages; of several rows of a page the worst counts, and null
     labels count nothing. A fitting rule decides (the longest one), otherwise the host's bound.
     Null urls and urls without :// have an empty host and path, fit no rule and are judged as one
-    host. Repeated rows are judged each by itself, an empty table gives no row, and other columns
+    host. Hosts that differ in user, port or final dots are hosts of their own in one domain. Repeated rows are judged each by itself, an empty table gives no row, and other columns
     are ignored.
     """
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -137,12 +152,12 @@ o AS (
   SELECT u.page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
   FROM u JOIN labels l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) GROUP BY 1),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS b FROM u LEFT JOIN o USING (page_id) GROUP BY 1),
+hn AS (SELECT *, regexp_replace(regexp_replace(host, '{BARE}', '', 'g'), '\\.+$', '') AS name FROM h),
 hs AS (
-  SELECT *, CASE WHEN regexp_matches(host, '(?:^|\\.)((?:{'|'.join(SECOND_LEVEL)})\\.[a-z]{{2}})$')
-    THEN regexp_extract(host, '(?:^|\\.)((?:{'|'.join(SECOND_LEVEL)})\\.[a-z]{{2}})$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM h),
+  SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN regexp_matches(name, '{SUFFIX}') THEN regexp_extract(name, '{SUFFIX}', 1) ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix FROM hn),
 hd AS (
-  SELECT *, CASE WHEN length(host) > length(suffix) + 1
-    THEN regexp_extract(left(host, length(host) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix ELSE host END AS domain FROM hs),
+  SELECT *, CASE WHEN length(name) > length(suffix) + 1
+    THEN regexp_extract(left(name, length(name) - length(suffix) - 1), '([^.]*)$', 1) || '.' || suffix ELSE name END AS domain FROM hs),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hd GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
 s_m AS (SELECT s.*, (SELECT (sum(b) + 1) / (sum(n) + 2) FROM s) AS m FROM s),
