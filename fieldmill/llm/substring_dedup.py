@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, kept, mapped, mixed, pieces, spaced, strings, word_hashes
+from .common import UNSPACED, cut, kept, mapped, mixed, pieces, sifted, spaced, strings, word_hashes
 
 SENTENCES, WORDS, LONG = 2, 20, 25
 PASSAGE, ANCHOR = 50, 25
@@ -120,8 +120,8 @@ def covered_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     bodies = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     found, _ = kept(bodies.transform(mapped, first, "h long, id long, own boolean"), "passage-anchors")
-    shared = later(found.filter("not own").select("h", "id")).groupBy("id").agg(F.collect_set("h").alias("anchors"))
-    some, _ = kept(bodies.join(shared, "id").select("id", "t", "anchors").transform(mapped, runs, "h long, id long"), "passage-runs")
+    shared = cut(later(found.filter("not own").select("h", "id")).groupBy("id").agg(F.collect_set("h").alias("anchors")))
+    some, _ = kept(sifted(bodies, "id", shared.select("id")).join(shared, "id").select("id", "t", "anchors").transform(mapped, runs, "h long, id long"), "passage-runs")
     told = later(some).filter("id > first").select("id", "h", F.lit(False).alias("own")).union(found.filter("own").select("id", "h", "own"))
     sets = told.groupBy("id").agg(F.collect_set(F.when(~F.col("own"), F.col("h"))).alias("later"), F.collect_set(F.when(F.col("own"), F.col("h"))).alias("own"))
     return sets.withColumnRenamed("id", key)
