@@ -52,3 +52,39 @@ SELECT a.doc_id, CASE WHEN places IS NULL THEN text ELSE
     rtrim(coalesce(array_to_string(list_transform(list_filter(range(len(parts)), lambda i: NOT list_contains(places, i)), lambda i: parts[i + 1]), ''), ''), ' ' || chr(9) || chr(10) || chr(13)) END AS text,
   coalesce(len(places), 0)::INT AS n_removed FROM a LEFT JOIN c USING (doc_id)
 """
+
+#: The crc32 of a text's UTF-8 bytes, with the table of its bytes' checksums as column crc of table crcs.
+_CRCS = "crcs AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
+
+
+def _crc32(text: str) -> str:
+    digit = "(strpos('0123456789ABCDEF', hex({0})[2 * i + {1}]) - 1)"
+    octets = f"list_transform(range(strlen({text})), lambda i: {digit.format(text, 1)} * 16 + {digit.format(text, 2)})"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+def _features(table: str, key: str) -> str:
+    return f"""SELECT {key}, unnest(list_concat(ws, list_transform(range(len(ws) - 1), lambda i: ws[i + 1] || ' ' || ws[i + 2]))) AS f
+    FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {table})"""
+
+
+RESAMPLE = f"""
+WITH {_CRCS},
+f AS MATERIALIZED ({_features("documents", "doc_id")}),
+g AS MATERIALIZED ({_features("benchmark", "item_id")}),
+h AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM f UNION SELECT f FROM g), crcs),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN h USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN h USING (f) GROUP BY 1),
+n AS (SELECT (SELECT sum(s) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)))) AS gain
+  FROM s FULL JOIN t USING (bucket), n),
+d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight FROM f JOIN h USING (f) JOIN gains USING (bucket) GROUP BY 1),
+e AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1 : 8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score,
+    coalesce(n_features, 0) >= 39 AS rich
+  FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rich ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY rich) AS many FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN rich AND place <= 25 * many // 100 THEN place END AS rank FROM r
+"""
