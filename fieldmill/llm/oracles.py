@@ -88,3 +88,11 @@ e AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY rich ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY rich) AS many FROM e)
 SELECT doc_id, n_features, weight, score, CASE WHEN rich AND place <= 25 * many // 100 THEN place END AS rank FROM r
 """
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
