@@ -96,3 +96,29 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+SPELLING = f"""
+WITH RECURSIVE {_CRCS},
+o AS (
+  SELECT r, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM (
+    SELECT r, list_transform(range(strlen(x)), lambda i: (strpos('0123456789ABCDEF', hex(x)[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(x)[2 * i + 2]) - 1) AS bytes
+    FROM (SELECT r, coalesce(doc_id::VARCHAR, '') || ':' || r AS x
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS r FROM documents))), crcs),
+w AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN r[1 : h % length(r)] || r[h % length(r) + 2 :] ELSE r END AS word FROM o)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING count(*) >= 3),
+d AS MATERIALIZED (SELECT word, n, i, word[1 : i] || word[i + 2 :] AS rest FROM w, unnest(range(length(word))) AS u(i)),
+p AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.rest
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest),
+b AS (SELECT word, count(*) AS n_near, max(n) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 2 * w.n THEN best END AS form_n,
+    (SELECT min(near) FROM p WHERE p.word = w.word AND p.n = best AND best >= 2 * w.n) AS form
+  FROM w LEFT JOIN b USING (word)),
+r(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN e ON e.word = f.word
+"""
