@@ -217,9 +217,10 @@ def near_words(words: DataFrame, meet: int = MEET, part: int = PART) -> DataFram
     parts = -(-rows.count() // part) or 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # about part rows
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]  # about part rows
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         window = np.stack([table[c].to_numpy() for c in ("class", "low", "high")], axis=1)
         kinds, kind = np.unique(window, axis=0, return_inverse=True)
         word, n = table["word"].combine_chunks(), table["n"].to_numpy()
