@@ -6,6 +6,8 @@ import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,32 +19,63 @@ from pyspark.sql import functions as F
 from ..sources.paths import fresh, remove, shared_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
-_SCRATCH: list[str] = []
+class Scope:
+    """What a block of calls has written to the shared folder."""
 
+    def __init__(self):
+        self.paths: list[str] = []
+        self.passed: list[str] = []
+
+    def keep(self, *what: str | DataFrame) -> None:
+        """Leave paths, or tables that cut() made, to the scope around this one."""
+        self.passed += [w if isinstance(w, str) else _checkpoint(w) for w in what]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Owns the tables and checkpoints that calls within the block write, and removes them at its end,
+    so results that read them must be written or collected inside. Scopes nest, and each thread has
+    its own: none touches what another call has written. Without a scope, they stay where they are."""
+    mine, around = Scope(), _OWNED.get()
+    token = _OWNED.set(mine.paths)
+    try:
+        yield mine
+    finally:
+        _OWNED.reset(token)
+        for path in mine.paths:
+            if path not in mine.passed:
+                remove(spark, path)
+            elif around is not None:
+                around.append(path)
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; clean() removes those that were given."""
-    _SCRATCH.append(fresh(spark, name))
-    return _SCRATCH[-1]
 
+def _own(path: str) -> str:
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
+    return path
 
-def scratched() -> tuple[str, ...]:
-    """The scratch paths that are in use."""
-    return tuple(_SCRATCH)
 
+def _checkpoint(df: DataFrame) -> str:
+    """The folder of a table that cut() made."""
+    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
 
-def clean(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Remove the tables written to scratch paths, but for those to keep. Results that read them must
-    be written before."""
-    for path in [p for p in _SCRATCH if p not in keep]:
-        _SCRATCH.remove(path)
-        remove(spark, path)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and drop the lineage."""
+    shared_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    if _OWNED.get() is not None:
+        _own(_checkpoint(out))
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, owned by the scope that is open."""
+    return _own(fresh(spark, name))
 
 
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:

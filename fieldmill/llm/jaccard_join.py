@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean, cut, kept, mapped, pieces, runs_hashed, scratched, word_hashes
+from .common import cut, kept, mapped, pieces, runs_hashed, scope, word_hashes
 from .components import components
 
 CELLS, CHUNK = 1 << 20, 1 << 14
@@ -343,20 +343,9 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined(dealt.join(sets, "id"), ["g", "gi", "gj"], percent)
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles (set size) and component_id (the smallest key reachable by links) per row.
-
-    Two documents link when 100 * intersection >= percent * union of their k-word shingle sets.
-    Words stand between ASCII white space, A-Z in lower case; a text of fewer words is one shingle;
-    texts without words, and null texts, have no shingle and no link. A null key has no link and a
-    null component. Rows that repeat a key count as one document with the links of all of them.
-    Equal texts link. An empty table gives no row; other columns are ignored.
-    """
-    if not 50 <= percent < 100:
-        raise ValueError("percent must be at least 50 and below 100")
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    before = scratched()
+def _named(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, str, DataFrame]:
+    """id, n and fp of every row, the path of that table, and the component of every fp."""
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     made, made_path, weights = survey(rows, k)
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
@@ -478,8 +467,24 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     for part in within:
         links = links.union(part)
     label = components(links)
-    clean(spark, keep=(*before, made_path))
-    named = cut(firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
+    return made, made_path, cut(firsts.select("fp", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")))
+
+
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles (set size) and component_id (the smallest key reachable by links) per row.
+
+    Two documents link when 100 * intersection >= percent * union of their k-word shingle sets.
+    Words stand between ASCII white space, A-Z in lower case; a text of fewer words is one shingle;
+    texts without words, and null texts, have no shingle and no link. A null key has no link and a
+    null component. Rows that repeat a key count as one document with the links of all of them.
+    Equal texts link. An empty table gives no row; other columns are ignored.
+    """
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be at least 50 and below 100")
+    spark = docs.sparkSession
+    with scope(spark) as own:
+        made, made_path, named = _named(docs, k, percent, key, text)
+        own.keep(made_path, named)
     whole = made.select("id", "n", "fp").join(named, "fp", "left")
     return whole.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewise import crcs, shifted, stretches
-from .common import cut, kept, mapped, pieces
+from .common import cut, kept, mapped, pieces, scope
 
 LEAST_LETTERS, LEAST_COUNT, DROPPED, STRONGER = 5, 3, 97, 2
 #: Words are dealt to so many cells; a cell of more than MEET words is dealt anew by halved windows; a task has about PART words.
@@ -271,11 +271,14 @@ def spelling_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", dr
     gives no row. Of near words of equal n the first in code-point order is the form. Other columns are
     left out, whatever their names.
     """
-    words, _ = kept(count_words(docs, key, text, dropped, least_letters, least_count), "words")
-    told = words.join(near_words(words), "word", "left")
-    strong = F.col("best_n") >= STRONGER * F.col("n")
-    table, _ = kept(told.select("word", F.when(strong, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best_n")).alias("form_n")), "forms")
-    return _rooted(table).select("word", "form", "root", "n", "n_near", "form_n")
+    with scope(docs.sparkSession) as own:
+        words, _ = kept(count_words(docs, key, text, dropped, least_letters, least_count), "words")
+        told = words.join(near_words(words), "word", "left")
+        strong = F.col("best_n") >= STRONGER * F.col("n")
+        table, _ = kept(told.select("word", F.when(strong, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best_n")).alias("form_n")), "forms")
+        out, path = kept(_rooted(table).select("word", "form", "root", "n", "n_near", "form_n"), "spelling")
+        own.keep(path)
+    return out
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
