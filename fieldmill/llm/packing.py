@@ -2,8 +2,9 @@
 
 The ids of the documents of an input partition form one stream, in their order. Sequences are
 windows of that stream, so packing only chooses where to cut. Cuts at document ends are free,
-cuts at sentence ends and inside sentences cost a penalty, and a window shorter than the length
-costs its padding, all counted in ids. With f(i) the least cost of a stream cut at candidate i,
+cuts at sentence ends cost a penalty, and a window shorter than the length costs its padding, all
+counted in ids. A cut inside a sentence costs a quarter of a window, so a sentence is cut only where
+its ends would leave as much padding, as where it is longer than a window. With f(i) the least cost of a stream cut at candidate i,
 
     f(i) = cut(i) + min over m, j of f(j) + m * hard + length * (m + 1) - (i - j)
 
@@ -11,9 +12,11 @@ where m full windows between j and i are cut inside sentences. For each m the ca
 length * m < i - j <= length * (m + 1) form a sliding window, whose least f(j) + j stands at the
 head of a monotone queue. The programme runs over a block of ids at a time; what follows the last
 cut but two of a block opens the next one, so memory stays bounded and a cut is never placed blind.
+So the cuts are the best of each block, given where it begins, not of the whole stream at once.
 
-Sequences that are as long as a power of two need no padding: the last window of a partition may
-be split into such lengths where the cuts cost less than its padding.
+Sequences that are as long as a power of two need no padding: the last window of a partition, which
+alone may be far from full, is split into such lengths where the cuts, at TAIL each, cost less than
+its padding.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import mapped, pieces
 from .tokens import Encoder, default_path
 
-LENGTH, SENTENCE, HARD = 2048, 1, 4
+LENGTH, SENTENCE, HARD, TAIL = 2048, 1, 512, 4
 FULL = 2  # at most so many full windows in a row are cut inside sentences, but for longer sentences
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -86,10 +89,10 @@ def cuts(candidates: np.ndarray, penalties: np.ndarray, length: int = LENGTH, ha
     return out[::-1]
 
 
-def powers(rest: int, length: int, hard: int) -> list[int]:
+def powers(rest: int, length: int, tail: int) -> list[int]:
     """Lengths for a last window of rest ids: itself, or powers of two where that costs less."""
     split = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    return split if (len(split) - 1) * hard < length - rest else [rest]
+    return split if (len(split) - 1) * tail < length - rest else [rest]
 
 
 class Packer:
@@ -121,7 +124,7 @@ class Packer:
         chosen = cuts(np.concatenate(spots).astype(np.int64), np.concatenate(costs).astype(np.int64), self.length, self.hard, self.full)
         if last:
             start = chosen[-2] if len(chosen) > 1 else 0
-            chosen = chosen[:-1] + (start + np.cumsum(powers(at - start, self.length, self.hard))).tolist()
+            chosen = chosen[:-1] + (start + np.cumsum(powers(at - start, self.length, TAIL))).tolist()
         else:
             chosen = chosen[:-2]
         self.emit(chosen)

@@ -41,7 +41,9 @@ def default_path() -> str:
 
 
 class Encoder:
-    """ids(text) gives the ids as an array of dtype (two bytes where the vocabulary allows it)."""
+    """The ids that encode(text, add_special_tokens=False) of the library gives, as bytes of dtype (two
+    bytes an id where the vocabulary allows it). As there, an added token that stands in a text, such as
+    <|endoftext|>, is cut out first and becomes its own id."""
 
     def __init__(self, path: str, remembered: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +52,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Whether such a token takes white space or whole words with it; the library then cuts by itself.
+        self.wide = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = self.dtype.char
@@ -70,12 +76,24 @@ class Encoder:
         return _WORKER[path]
 
     def raw(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, self.split(text)))
+        if self.cut is None or not self.cut.search(text):
+            return b"".join(map(self.cache.__getitem__, self.split(text)))
+        if self.wide:
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += map(self.cache.__getitem__, self.split(text[at : m.start()]))
+            out.append(array(self.code, [self.added[m[0]]]).tobytes())
+            at = m.end()
+        return b"".join([*out, *map(self.cache.__getitem__, self.split(text[at:]))])
 
     def batch(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of every text of a column, null as empty, as bytes of dtype."""
         column = pc.fill_null(column, "")
-        plain = pc.invert(pc.match_substring_regex(column, SPACES)).to_pylist()
+        odd = pc.match_substring_regex(column, SPACES)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(column, token))
+        plain = pc.invert(odd).to_pylist()
         lists = pc.split_pattern(column, " ")
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
         coded = lists.flatten().dictionary_encode()
