@@ -7,12 +7,19 @@ both agree, or the nearer one, or the edge of what it stands in (the edge of an
 good and the edge of a page as bad). Good blocks in page order are the text.
 
 Elements that say what they are need no guess: navigation, footers, asides, forms, scripts, styles,
-adverts, notices and reader comments are bad. Where a page marks an article, what stands outside it
-isn't its text, and inside it no long block is bad for its words: one with few stop words is
-ambiguous, as are short ones, and links must make up two thirds of a short block to make it bad.
-
-Where the long blocks of a page together have few stop words, its language isn't among those of
-the list, and they are decided by length and link density alone.
+adverts, notices and reader comments are bad. A name of several words says what its last one does,
+containers apart: google-ad and comment-thread, not notice-board. Where the words before aren't known,
+weaker names (menu, alert, share and the like) only make a block doubtful, which is good if it is long,
+has the stop words of a text and few links. An article isn't bad for its own names, but one that is
+called a comment is, where there are others.
+
+Where a page marks an article, what stands outside it is its text only if it is long, has many stop
+words and hardly a link; inside it no long block is bad for its words: one with few stop words is
+ambiguous, as are short ones, and links must make up four fifths of a short block to make it bad.
+
+Stop words tell nothing about languages that the list doesn't have. Where the long blocks of a page
+together have few of them, or a block is in another script or reads like sentences without one, it is
+decided by length and link density alone.
 """
 
 from __future__ import annotations
@@ -50,17 +57,19 @@ ARTICLE_WORDS = frozenset("articlebody articlecontent articletext entrycontent m
 BAD_WORDS = frozenset(
     "ad ads adslot adbox advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices disclaimer newsletter subscribe "
     "subscription signup login popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments "
-    "commentlist disqus replies reply respond share sharing social related recommended widget toolbar complementary contentinfo search alert dialog alertdialog skiplink".split()
+    "commentlist commenters disqus replies reply respond share sharing social related recommended widget toolbar complementary contentinfo search alert dialog alertdialog skiplink".split()
 )
+# Of these the names that may be an article's subject too, where words beside them aren't known.
+DOUBTFUL_WORDS = frozenset("menu menus search alert dialog share sharing social related recommended widget toolbar reply respond promo promotion promotions sponsor sponsors popup modal overlay cookie cookies consent subscription login signup banner".split())
 # Words that stand beside those in a name and change nothing about it.
 NEUTRAL = frozenset(
-    "area articles aside bar block body bottom box btn button buttons card center col column container content div element form frame global group header heading holder icon icons inner item items label large left "
-    "link links list main mobile module notification outer panel posts primary region right row secondary section site slot small stories sub tag tags text title top unit view wrap wrapper zone".split()
+    "area articles aside bar block body bottom box btn button buttons card center col column container content count div element feed form frame global group header heading holder icon icons inner item items label large left "
+    "link links list main mobile module notification outer panel post posts primary region right row secondary section site slot small stories stream sub tag tags text thread threads title top unit view wrap wrapper zone".split()
 )
 #: A word of an attribute that begins so tells of a page's layout, as in has-sidebar.
 LAYOUT_WORDS = frozenset("no without has with hide full non".split())
 
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS, LINKS_ARTICLE = 70, 200, 0.15, 0.25, 0.3, 0.66
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS, LINKS_ARTICLE, LINKS_OUTSIDE = 70, 200, 0.15, 0.25, 0.3, 0.8, 0.05
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -68,39 +77,57 @@ _WORD = re.compile(r"[a-z0-9]+(?:[-_]+[a-z0-9]+)*", re.I)
 GOOD, BAD, AMBIGUOUS = 1, -1, 0
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes tell of something that isn't article text, and of an article. A name of
-    several words tells so only if all of its words do or are neutral: notice-box, not notice-board."""
-    bad = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
-    good = False
+CERTAIN, DOUBTED, HIDDEN = 1, 2, 3
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def _named(name: str) -> int:
+    """What a name says: CERTAIN, DOUBTED or nothing (0). It says what its last word does, containers
+    and numbers apart, but nothing where it tells of a layout, as has-sidebar."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    joined = "".join(parts)
+    if joined in BAD_WORDS:
+        return CERTAIN
+    if any(p in LAYOUT_WORDS for p in parts):
+        return 0
+    kept = list(parts)
+    while kept and (kept[-1] in NEUTRAL and kept[-1] not in BAD_WORDS or kept[-1].isdigit()):
+        kept.pop()
+    if not kept or kept[-1] not in BAD_WORDS:
+        return 0
+    known = all(p in BAD_WORDS or p in NEUTRAL or p.isdigit() for p in kept)
+    return DOUBTED if kept[-1] in DOUBTFUL_WORDS and not known else CERTAIN
+
+
+def _marks(attributes: str) -> tuple[int, bool]:
+    """What attributes say against a block (HIDDEN, CERTAIN, DOUBTED or 0), and whether they name an article."""
+    bad = HIDDEN if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) else 0
+    good, named = False, 0
     for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop"):
             for word in _WORD.findall(value):
-                parts = re.split(r"[-_]+", word)
-                if parts[0] in LAYOUT_WORDS and len(parts) > 1:
-                    continue
-                joined = "".join(parts)
-                good |= joined in ARTICLE_WORDS or (name == "role" and word in ("main", "article"))
-                bad |= joined in BAD_WORDS or (any(p in BAD_WORDS for p in parts) and all(p in BAD_WORDS or p in NEUTRAL or p.isdigit() for p in parts))
-        elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none", value))
-        elif name == "aria-hidden":
-            bad |= value == "true"
-    return bad and not good, good
+                word = _HUMP.sub("-", word).lower()
+                good |= re.sub(r"[-_]+", "", word) in ARTICLE_WORDS or (name == "role" and word in ("main", "article"))
+                says = _named(word)
+                named = CERTAIN if CERTAIN in (says, named) else says or named
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and value.lower() == "true":
+            bad = HIDDEN
+    return bad or (0 if good else named), good
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "article", "heading", "text")
+    __slots__ = ("parts", "linked", "bad", "doubted", "article", "heading", "text")
 
-    def __init__(self, bad: bool, article: int, heading: bool):
-        self.parts, self.linked, self.bad, self.article, self.heading, self.text = [], 0, bad, article, heading, ""
+    def __init__(self, bad: bool, article: int, heading: bool, doubted: bool = False):
+        self.parts, self.linked, self.bad, self.doubted, self.article, self.heading, self.text = [], 0, bad, doubted, article, heading, ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, bad so far, number of the article (0: outside)
+    stack: list[tuple[str, bool, int, bool]] = []  # element, bad so far, number of the article (0: outside), doubted
+    called: set[int] = set()  # articles whose own names speak against them
     opened: Counter[str] = Counter()  # elements on the stack by name, so that a stray end tag costs nothing
     articles = links = breaks = 0
     now: Block | None = None
@@ -110,8 +137,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal now, breaks
         if raw and (now is not None or not raw.isspace()):
             if now is None:
-                _, bad, article = stack[-1] if stack else ("", False, 0)
-                now = Block(bad, article, heading)
+                _, bad, article, doubted = stack[-1] if stack else ("", False, 0, False)
+                now = Block(bad, article, heading, doubted)
                 out.append(now)
             plain = html.unescape(raw) if "&" in raw else raw
             now.parts.append(plain)
@@ -120,8 +147,8 @@ def blocks_of(page: str) -> list[Block]:
             if not raw.isspace():
                 breaks = 0
 
-    def push(name: str, bad: bool, article: int) -> None:
-        stack.append((name, bad, article))
+    def push(name: str, bad: bool, article: int, doubted: bool) -> None:
+        stack.append((name, bad, article, doubted))
         opened[name] += 1
 
     def pop() -> str:
@@ -168,52 +195,62 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
                 if name == "li" and stack and stack[-1][0] == "li":
                     pop()
-                above = stack[-1] if stack else ("", False, 0)
-                bad, good = _marks(attributes) if attributes.strip() else (False, False)
+                above = stack[-1] if stack else ("", False, 0, False)
+                says, good = _marks(attributes) if attributes.strip() else (0, False)
                 if name in ("html", "body"):
-                    bad = False
-                article = above[2]
-                if (name in ARTICLES or good) and not article and not above[1] and not bad:
+                    says = 0
+                article, doubted = above[2], above[3] or says == DOUBTED
+                bad = says in (CERTAIN, HIDDEN)
+                if (name in ARTICLES or good) and not article and not above[1] and says != HIDDEN:
                     articles += 1
                     article = articles
+                    if says:
+                        called.add(article)
+                    bad, doubted = False, above[3]
                 skip = name in SKIPPED or (name == "header" and not article)
-                push(name, above[1] or bad or skip, article)
-        elif not end and name not in VOID and attributes and _marks(attributes)[0]:
+                push(name, above[1] or bad or skip, article, doubted)
+        elif not end and name not in VOID and attributes and (says := _marks(attributes)[0]):
             now = None
-            push(name, True, stack[-1][2] if stack else 0)
+            above = stack[-1] if stack else ("", False, 0, False)
+            push(name, above[1] or says != DOUBTED, above[2], above[3] or says == DOUBTED)
         elif end and opened[name]:
             now = None
             close(name)
     text(page[at:])
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    if called and any(b.article and b.article not in called and not b.bad for b in out):
+        for b in out:
+            b.bad |= b.article in called
+    return out
 
 
 def labels(blocks: list[Block]) -> list[int]:
     """GOOD or BAD for every block."""
     marked = any(b.article and not b.bad for b in blocks)
-    dense = [stop_words(b) if not b.bad and (b.article or not marked) and len(b.text) >= LENGTH_LOW and b.linked <= LINKS * len(b.text) else (0, 0) for b in blocks]
-    known = sum(n for n, _ in dense) >= STOP_LOW * sum(n for _, n in dense)
+    dense = [stop_words(b) if not b.bad and len(b.text) >= LENGTH_LOW and b.linked <= LINKS * len(b.text) else (0, 0) for b in blocks]
+    inside = [d for b, d in zip(blocks, dense) if b.article or not marked]
+    known = sum(n for n, _ in inside) >= STOP_LOW * sum(n for _, n in inside)
     first = []
     for b, (stops, words) in zip(blocks, dense):
         size = len(b.text)
-        links = b.linked / max(1, size)
-        if b.bad or (marked and not b.article):
+        links, stop = b.linked / max(1, size), stops / max(1, words)
+        if b.bad:
             first.append(BAD)
-        elif links > (LINKS_ARTICLE if b.article else LINKS) and not (b.heading and b.article):
+        elif b.doubted or (marked and not b.article):
+            first.append(GOOD if size >= LENGTH_HIGH and stop >= STOP_HIGH and links <= LINKS_OUTSIDE else BAD)
+        elif links > (LINKS_ARTICLE if b.article or b.heading else LINKS) and not (b.heading and b.article):
             first.append(AMBIGUOUS if b.article and size >= LENGTH_LOW else BAD)
         elif size < LENGTH_LOW:
             first.append(AMBIGUOUS)
+        elif not known or stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LENGTH_HIGH) or (stop < STOP_LOW and foreign(b)):
+            first.append(GOOD)
         else:
-            stop = stops / max(1, words)
-            if not known or stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LENGTH_HIGH):
-                first.append(GOOD)
-            else:
-                first.append(AMBIGUOUS if stop >= STOP_LOW or b.article else BAD)
+            first.append(AMBIGUOUS if stop >= STOP_LOW or b.article else BAD)
     before, seen = [], None
     for i, (b, v) in enumerate(zip(blocks, first)):
-        if v and not (b.bad or links_only(b)):
+        if v and decides(b):
             seen = (i, v, b.article)
         before.append(seen)
     out, seen = [0] * len(blocks), None
@@ -221,7 +258,7 @@ def labels(blocks: list[Block]) -> list[int]:
         b, v = blocks[i], first[i]
         if v:
             out[i] = v
-            if not (b.bad or links_only(b)):
+            if decides(b):
                 seen = (i, v, b.article)
             continue
         edge = GOOD if b.article else BAD
@@ -245,6 +282,21 @@ def stop_words(b: Block) -> tuple[int, int]:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
 
 
+def foreign(b: Block) -> bool:
+    """Whether a block reads like text of a language whose stop words aren't known: most of its letters
+    are of another script than Latin, or it ends as a sentence, with few digits and few capitals."""
+    letters = [c for c in b.text if c.isalpha()]
+    if 2 * sum(c > "\u024f" for c in letters) > len(letters):
+        return True
+    words = b.text.split()
+    return b.text.rstrip("\"')»”")[-1:] in (".", "!", "?", "…") and 20 * sum(c.isdigit() for c in b.text) <= len(b.text) and 4 * sum(w[:1].isupper() for w in words) <= len(words)
+
+
+def decides(b: Block) -> bool:
+    """Whether a block's label says something about its neighbours."""
+    return not (b.bad or b.doubted or links_only(b))
+
+
 def links_only(b: Block) -> bool:
     return b.linked > LINKS_ARTICLE * len(b.text)
 

@@ -181,64 +181,68 @@ def test_a_damaged_index_is_an_error(spark):
 # --- op2 ---------------------------------------------------------------------------------------
 
 
-def plain_labels(blocks):
-    """The two passes block by block, looking for neighbours afresh each time."""
-    h, n = html_extract, len(blocks)
-    marked = any(b.article and not b.bad for b in blocks)
-    share = [b.linked / max(1, len(b.text)) for b in blocks]
-    counted = [not b.bad and (b.article or not marked) and len(b.text) >= h.LENGTH_LOW and share[i] <= h.LINKS for i, b in enumerate(blocks)]
-    stops = [h.stop_words(b) if c else (0, 0) for b, c in zip(blocks, counted)]
-    known = sum(s for s, _ in stops) >= h.STOP_LOW * sum(w for _, w in stops)
-    first = []
-    for i, b in enumerate(blocks):
-        size, stop = len(b.text), stops[i][0] / max(1, stops[i][1])
-        limit = h.LINKS_ARTICLE if b.article else h.LINKS
-        if b.bad or (marked and not b.article):
-            v = h.BAD
-        elif share[i] > limit and not (b.heading and b.article):
-            v = h.AMBIGUOUS if b.article and size >= h.LENGTH_LOW else h.BAD
-        elif size < h.LENGTH_LOW:
-            v = h.AMBIGUOUS
-        elif not known or stop >= h.STOP_HIGH or (stop >= h.STOP_LOW and size >= h.LENGTH_HIGH):
-            v = h.GOOD
-        else:
-            v = h.AMBIGUOUS if stop >= h.STOP_LOW or b.article else h.BAD
-        first.append(v)
-    tells = [bool(v) and not b.bad and not h.links_only(b) for v, b in zip(first, blocks)]
-    out = []
-    for i, b in enumerate(blocks):
-        if first[i]:
-            out.append(first[i])
-            continue
-        edge = h.GOOD if b.article else h.BAD
-        sides = []
-        for where, far in ((range(i - 1, -1, -1), i + 1), (range(i + 1, n), n - i)):
-            j = next((j for j in where if tells[j]), None)
-            sides.append((first[j], abs(i - j)) if j is not None and blocks[j].article == b.article else (edge, far))
-        (left, a), (right, c) = sides
-        if left == right:
-            out.append(left)
-        elif b.heading and right == h.GOOD:
-            out.append(h.GOOD)
-        else:
-            out.append(left if a < c else right if c < a else h.GOOD)
-    if h.GOOD not in out:
-        out = [h.GOOD if not b.bad and not h.links_only(b) and (not v or (w and not marked)) else h.BAD for b, v, (_, w) in zip(blocks, first, stops)]
-    return out
-
-
-def test_labels_against_plain_passes():
+TEXTS = [
+    "The old mill stood by the river for a hundred years, and nobody in the town could say who had built it or why.",
+    "In the summer the children came to play there, and in the evening they told each other stories of the miller and his dog.",
+    "Die alte Mühle stand hundert Jahre am Fluss, und niemand in der Stadt wusste, wer sie gebaut hat und wozu sie gut war.",
+    "Le vieux moulin est resté au bord de la rivière pendant cent ans, et personne dans la ville ne savait qui l'avait construit.",
+    "El viejo molino estuvo junto al río durante cien años, y nadie en el pueblo sabía quién lo había construido ni para qué.",
+    "Старая мельница стояла у реки сто лет, и никто в городе не мог сказать, кто её построил и зачем это было нужно.",
+    "Stary młyn stał nad rzeką przez sto lat i nikt w mieście nie wiedział, kto go zbudował ani po co, lecz dzieci bawiły się tam latem.",
+]
+JUNK = [
+    "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News of the day and of the week</a></li></ul></nav>", "<footer><p>{t}</p></footer>", "<aside><h2>More</h2><p>{t}</p></aside>",
+    "<form><label>Name</label><input><p>{t}</p><button>Send</button></form>", "<script>var x = '<p>{t}</p>';</script>", "<style>p {{ color: red }}</style>", "<!-- <p>{t}</p> -->", "<noscript><p>{t}</p></noscript>",
+    *(f'<div class="{n}"><p>{{t}}</p><p>Short.</p></div>' for n in ("comments", "reader-comments", "user-comments", "comment-thread", "commentSection", "ad", "google-ad", "ad-slot-2", "sidebarAd", "legal-notice", "privacy-notice", "site-notice", "cookie-notice", "newsletter-box", "main-sidebar", "sponsored", "advertisement")),
+    *(f'<section id="{n}"><article class="comment"><p>{{t}}</p></article></section>' for n in ("comments", "comment-list", "readerComments")), '<div class="privacy-banner"><p>We use cookies. <a href="x">More about them</a></p></div>', '<p hidden>{t}</p>', '<div style="display: none"><p>{t}</p></div>',
+]
+
+
+def page_and_text(rng):
+    """A page by the contract, and its article's blocks: what stands in the article, apart from menus,
+    headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader comments."""
+
+    def inline(text):
+        words = []
+        for w in text.split(" "):
+            kind = rng.random()
+            w = w.replace("&", "&amp;")
+            words.append(f"<b>{w}</b>" if kind < 0.04 else f"<em>{w}</em>" if kind < 0.08 else f'<a href="x">{w}</a>' if kind < 0.1 else w.replace("a", "&#97;").replace("é", "&eacute;") if kind < 0.15 and "&" not in w else w)
+        return "".join(w + rng.choice([" ", " ", "\n", "\t ", "&nbsp;"]) for w in words)
+
+    junk = lambda: rng.choice(JUNK).format(t=rng.choice(TEXTS)) if rng.random() < 0.4 else ""
+    marked = rng.choice(["<article>", '<article class="social">', '<article class="menu-story no-ads">', "<main>", '<div class="post-content">', '<div role="main">', None])
+    body, want = "", ["Of mills & men"]
+    for _ in range(rng.randint(2, 7)):
+        text = rng.choice(TEXTS) + rng.choice(["", " R&D."])
+        if marked and rng.random() < 0.3:
+            text = rng.choice(["A caption", "12 July 1987", "Bolts 4 mm", "Of the mill."])
+        form = rng.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<div>{}</div>", "<figure><img src='x'><figcaption>{}</figcaption></figure>"] if marked else ["<p>{}</p>", "<div>{}</div>"])
+        body += form.format(inline(text)) + junk()
+        want.append(" ".join(text.split()))
+    head = f"<h1>{inline(want[0])}</h1>"
+    head = f"<header>{head}</header>" if marked in ("<article>", "<main>") and rng.random() < 0.5 else head
+    end = marked and "</" + marked[1:].split(">")[0].split()[0] + ">"
+    whole = (marked or "") + head + junk() + body + (end or "")
+    top = "<header><p>The name of the site and what it is for, in a few words.</p></header>" if rng.random() < 0.5 else ""
+    return f'<html><head><title>T</title></head><body class="has-sidebar">{top}{junk()}{whole}{junk()}<footer>Imprint</footer></body></html>', "\n\n".join(want)
+
+
+def test_pages_made_by_the_contract():
     rng = random.Random(6)
-    words = ["the", "of", "and", "in", "to", "mill", "river", "bolts", "4mm", "hinges"]
     for _ in range(1500):
-        blocks, article = [], 0
-        for _ in range(rng.randint(0, 14)):
-            article = rng.choice([0, 0, 1, 2, article, article])
-            b = html_extract.Block(rng.random() < 0.15, article, rng.random() < 0.2)
-            b.text = " ".join(rng.choices(words[: rng.choice([5, 10])] if rng.random() < 0.6 else words[5:], k=rng.choice([1, 4, 20, 60])))
-            b.linked = int(len(b.text) * rng.choice([0, 0, 0, 0.2, 0.5, 1]))
-            blocks.append(b)
-        assert html_extract.labels(blocks) == plain_labels(blocks)
+        page, want = page_and_text(rng)
+        assert html_extract.main_text(page) == want, page
+
+
+def test_articles_are_not_lost():
+    body = TEXTS[0]
+    assert html_extract.main_text(f'<article class="social"><p>{body}</p></article>') == body
+    assert html_extract.main_text(f'<article class="comment"><p>{body}</p></article>') == body
+    assert html_extract.main_text(f'<article><p>{body}</p></article><article class="comment"><p>{TEXTS[1]}</p></article>') == body
+    assert html_extract.main_text(f"<p>{body} {TEXTS[1]}</p><main><p>{body}</p></main><p>{body[:80]}</p>") == f"{body} {TEXTS[1]}\n\n{body}"
+    long = f"{body} {TEXTS[1]}"
+    assert html_extract.main_text(f'<div class="dinner-menu"><p>{long}</p><p><a href="x">Soup of the day</a></p></div><p>{body}</p>') == f"{long}\n\n{body}"
 
 
 CLASSES = {"search-history": True, "notice-board": True, "has-sidebar": True, "advert-free": True, "notice-box": False, "comment-list": False, "related-posts": False, "ad-slot-2": False, "cookie-banner": False, "share-buttons": False, "alert": False}
