@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -30,6 +31,58 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder in its file system where the target isn't there; whether this call did. Of
+    several calls at once one does."""
+    fs, p = _at(spark, source)
+    q = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not fs.exists(p) or fs.exists(q):
+        return False
+    try:
+        if fs.getScheme() == "file":
+            os.rename(p.toUri().getPath(), q.toUri().getPath())
+            return True
+        return fs.rename(p, q)
+    except Exception:
+        if fs.exists(p) and not fs.exists(q):
+            raise
+        return False
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file at path unless one is there; whether this call put it. Of several calls at once
+    one succeeds, and nobody sees the file without its text: it is written beside and linked (on a
+    local or mounted file system) or renamed where the target must not exist (elsewhere)."""
+    fs, p = _at(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs.mkdirs(p.getParent())
+    out = fs.create(beside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(beside.toUri().getPath(), p.toUri().getPath())
+        else:
+            spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception:
+        if not fs.exists(p):
+            raise
+        return False
+    finally:
+        fs.delete(beside, False)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see (spark.checkpoint.dir).
 

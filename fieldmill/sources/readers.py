@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -78,9 +79,16 @@ def concatenated(spark: SparkSession, paths: list[str], rows: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("file_index", "example_index").limit(rows)
 
 
-def shards(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """Soft-label shards in example order, the first rows of them if given."""
-    df = spark.read.parquet(path).orderBy("example_index")
+def shards(spark: SparkSession, path: str, rows: int | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """Soft-label shards in example order, the first rows of them if given. With the run's manifest only
+    the shards that hold these are scanned: the row counts, summed in order, tell the last of them."""
+    df = spark.read.parquet(path)
+    if rows is not None and manifest is not None:
+        before = W.orderBy("s.example_start").rowsBetween(W.unboundedPreceding, -1)
+        upto = manifest.select(F.explode("shards").alias("s")).select("s.shard_index", F.coalesce(F.sum("s.row_count").over(before), F.lit(0)).alias("before"))
+        last = upto.filter(F.col("before") < rows).agg(F.max("shard_index")).first()[0]
+        df = df.filter(F.col("shard_index") <= (-1 if last is None else last))
+    df = df.orderBy("example_index")
     return df if rows is None else df.limit(rows)
 
 

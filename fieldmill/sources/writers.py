@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import to_wide, upsert
-from .paths import children, exists, remove
+from .paths import children, claim, exists, move, remove, text_of
+
+
+#: How long a claimed version may lack its place.
+PATIENCE = 60.0
 
 
 class ShardWriter(Protocol):
@@ -63,26 +69,68 @@ def history(new: DataFrame, path: str) -> int:
 
     Every write makes a new version: the long table, and its wide form as CSV with sorted columns.
     What is read is never written over, a version without its mark of success doesn't count, and all
-    but the last two are removed.
+    but the last two are removed. Several may write at once: a version is made aside, from the last
+    one, and claimed by its number; who comes second makes it anew from the version that won. A claim
+    names what was made, so that the next call puts it in place if its writer broke off. Only where a
+    folder without the mark of success is in the way its claimant alone may remove it: if that one broke
+    off too, this fails after PATIENCE seconds and names it.
     """
-    spark = new.sparkSession
-    have = versions(spark, path)
-    old = spark.read.parquet(f"{path}/v={have[-1]}/long") if have else new.limit(0)
-    now = have[-1] + 1 if have else 0
-    upsert(old, new).write.mode("overwrite").parquet(f"{path}/v={now}/long")
-    wide = to_wide(spark.read.parquet(f"{path}/v={now}/long"))
-    wide.select("step", *sorted(c for c in (f"`{x}`" for x in wide.columns if x != "step"))).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/v={now}/wide")
-    for v in have[:-1]:
+    spark, since, last = new.sparkSession, time.monotonic(), None
+    while True:
+        _settle(spark, path)
+        have = versions(spark, path)
+        now, made = have[-1] + 1 if have else 0, f"{path}/made-{uuid.uuid4().hex}"
+        if now != last:
+            since, last = time.monotonic(), now
+        if exists(spark, f"{path}/claims/{now}"):
+            if time.monotonic() - since > PATIENCE:
+                raise RuntimeError(f"{path}/v={now} is claimed and not complete")
+            time.sleep(0.2)
+            continue
+        try:
+            old = spark.read.parquet(f"{path}/v={have[-1]}/long") if have else new.limit(0)
+            upsert(old, new).write.parquet(f"{made}/long")
+            wide = to_wide(spark.read.parquet(f"{made}/long"))
+            wide.select("step", *sorted(c for c in (f"`{x}`" for x in wide.columns if x != "step"))).coalesce(1).write.option("header", True).csv(f"{made}/wide")
+        except Exception:
+            remove(spark, made)
+            if versions(spark, path)[-1:] == have[-1:]:
+                raise
+            continue  # others have gone on, and removed what was read
+        if claim(spark, f"{path}/claims/{now}", made):
+            break
+        remove(spark, made)
+    if exists(spark, f"{path}/v={now}") and now not in versions(spark, path):
+        remove(spark, f"{path}/v={now}")
+    _settle(spark, path)
+    for v in [v for v in versions(spark, path) if v <= now][:-2]:
         remove(spark, f"{path}/v={v}")
     return now
 
 
+def _settle(spark: SparkSession, path: str) -> None:
+    """Put what was claimed after the last complete version in its place."""
+    have = versions(spark, path)
+    for n in sorted(int(c) for c in children(spark, f"{path}/claims") if c.isdigit()):
+        made = text_of(spark, f"{path}/claims/{n}") if n > (have[-1] if have else -1) else None
+        if made:
+            move(spark, made, f"{path}/v={n}")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The complete versions of a history, ascending."""
     found = sorted(int(n[2:]) for n in children(spark, path) if n.startswith("v=") and n[2:].isdigit())
     return [v for v in found if exists(spark, f"{path}/v={v}/wide/_SUCCESS")]
 
 
+def kept_rows(df: DataFrame, length: str, most: int, path: str) -> tuple[int, int]:
+    """Write the rows no longer than most; how many were kept and dropped, as the job that writes counts them."""
+    seen = Observation()
+    told = df.observe(seen, F.count_if(F.col(length) <= most).alias("kept"), F.count_if(F.col(length) > most).alias("dropped"))
+    told.filter(F.col(length) <= most).write.mode("overwrite").parquet(path)
+    return seen.get["kept"], seen.get["dropped"]
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
