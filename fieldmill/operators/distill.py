@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,16 +12,23 @@ from pyspark.sql import types as T
 
 from ..functions.text import let
 from .kd import labels, truncate
+from .scoring import once
 
 IDS = T.ArrayType(T.IntegerType())
 
 
+@lru_cache(maxsize=8)
+def _tokenizer(factory: Callable):
+    """The tokenizer that a worker keeps; a factory is told by what it is, a class or function."""
+    return factory()
+
+
 def encoder(factory: Callable):
-    """An Arrow UDF text -> ids. factory() makes a tokenizer with encode(text) and decode(ids), once a batch."""
+    """An Arrow UDF text -> ids. factory() makes a tokenizer with encode(text) and decode(ids), once a worker."""
 
     @F.pandas_udf(IDS)
     def encode(s: pd.Series) -> pd.Series:
-        tok = factory()
+        tok = _tokenizer(factory)
         return s.map(lambda t: None if t is None else [int(i) for i in tok.encode(t)])
 
     return encode
@@ -31,7 +39,7 @@ def single_id(factory: Callable):
 
     @F.pandas_udf(T.IntegerType())
     def one(s: pd.Series) -> pd.Series:
-        tok = factory()
+        tok = _tokenizer(factory)
         found = [tok.encode(t) if t is not None else [] for t in s]
         return pd.Series([int(f[0]) if len(f) == 1 else None for f in found], dtype="Int64")
 
@@ -43,7 +51,7 @@ def decoder(factory: Callable):
 
     @F.pandas_udf(T.StringType())
     def decode(s: pd.Series) -> pd.Series:
-        tok = factory()
+        tok = _tokenizer(factory)
         return s.map(lambda i: "" if pd.isna(i) else tok.decode([int(i)]))
 
     return decode
@@ -77,11 +85,11 @@ def distillation_examples(df: DataFrame, targets: DataFrame, key: str, k: int, l
     def wide(values: Column, pad) -> Column:
         return F.slice(F.concat(F.coalesce(values, F.array().cast(IDS if pad == -1 else T.ArrayType(T.DoubleType()))), F.array_repeat(F.lit(pad), k)), 1, k)
 
-    hard = hard_examples(df, key, length)
-    found = all_.select(key, soft.alias("soft_input_ids"), F.transform(soft, lambda _: F.lit(1)).alias("soft_attention_mask"), F.transform(places, at).alias("t"))
-    made = found.select(
-        key, "soft_input_ids", "soft_attention_mask", F.transform("t", lambda c: wide(F.transform(c, lambda x: x["token_id"]), -1)).alias("soft_target_ids"),
+    hard = once(all_, soft_input_ids=soft, hard_input_ids=truncate(F.col("hard_ids"), length), t=F.transform(places, at))
+    ones = lambda c: F.transform(c, lambda _: F.lit(1))
+    return hard.select(
+        key, "hard_input_ids", ones("hard_input_ids").alias("hard_attention_mask"), labels(F.col("hard_input_ids"), prompt).alias("hard_labels"),
+        "soft_input_ids", ones("soft_input_ids").alias("soft_attention_mask"), F.transform("t", lambda c: wide(F.transform(c, lambda x: x["token_id"]), -1)).alias("soft_target_ids"),
         F.transform("t", lambda c: let(F.aggregate(c, F.lit(0.0), lambda s, x: s - x["m"]), lambda total: wide(F.transform(c, lambda x: -x["m"] / total), 0.0))).alias("soft_target_probs"),
         F.transform("t", lambda c: c.isNotNull().cast("int")).alias("soft_target_mask"),
     )
-    return hard.join(made, key)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .scoring import once
 
 MISSING = -1e30
 IGNORED = -100
@@ -195,6 +196,7 @@ def training_batch(df: DataFrame, batch: str, pad: int, k: int, label_pad: int =
 
     A span that begins before 1 or ends beyond the ids, or candidates that aren't k wide, fail the job.
     """
+    df = once(df, **{c: F.col(c) for c in df.columns})
     length, start, n = F.size("input_ids"), F.col("assistant_start"), F.col("assistant_len")
     fault = (
         F.when(start < 1, "span begins before 1").when(start + n > length, "span ends beyond the ids").when(F.exists("topk_ids", lambda r: F.size(r) != k), "candidates of another width")
@@ -220,7 +222,7 @@ def distillation_batch(df: DataFrame, batch: str, pad: int, k: int, label_pad: i
     hard = {"hard_input_ids": F.lit(pad), "hard_attention_mask": F.lit(0), "hard_labels": F.lit(label_pad)}
     soft = {"soft_input_ids": F.lit(pad), "soft_attention_mask": F.lit(0), "soft_target_ids": F.array_repeat(F.lit(-1), k), "soft_target_probs": F.array_repeat(F.lit(0.0), k), "soft_target_mask": F.lit(0)}
     pads = hard | soft if "soft_input_ids" in df.columns else hard
-    out = df
+    out = once(df, **{c: F.col(c) for c in df.columns})
     for name, fill in (("soft_target_ids", -1), ("soft_target_probs", 0.0)):
         if name in pads:
             out = out.withColumn(name, F.transform(name, lambda r, f=fill: _filled(r, F.lit(f), F.lit(k))))

@@ -25,9 +25,11 @@ PAIRS = struct(gt_error=TEXT, error=TEXT, used_repair=FLAG, fields=T.ArrayType(F
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that later expressions read and don't compute anew."""
+    """df with columns that later expressions read and don't compute anew; a column of df may be made
+    anew under its name."""
     made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
-    return df.select("*", made.alias("_once")).select(*df.columns, "_once.*")
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, made.alias("_once")).select(*(f"_once.{c}" if c in columns else c for c in df.columns), *(f"_once.{c}" for c in columns if c not in df.columns))
 
 
 def parse_column(df: DataFrame, column: str, out: str = "parsed") -> DataFrame:

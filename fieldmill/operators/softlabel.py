@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import printable_token
+from .scoring import once
 
 CANDIDATE = "struct<id:int,text:string,logprob:double>"
 
@@ -53,7 +54,7 @@ def gold_in_top(candidates: Column, gold: Column) -> Column:
 def records(df: DataFrame, k: int) -> DataFrame:
     """Soft-label columns from candidates (array by position of arrays) and assistant_token_ids."""
     top = F.transform("candidates", lambda c: padded(ranked(c, k), k))
-    out = df.withColumn("_top", top)
+    out = once(df, _top=top)
     return out.select(
         "*", F.transform("_top", lambda c: F.transform(c, lambda x: x["id"])).alias("topk_token_ids"), F.transform("_top", lambda c: F.transform(c, lambda x: x["text"])).alias("topk_token_text"),
         F.transform("_top", lambda c: F.transform(c, lambda x: x["logprob"])).alias("topk_logprobs"), gold_in_top(F.col("_top"), F.col("assistant_token_ids")).alias("hard_label_in_topk"),
@@ -69,7 +70,7 @@ def soft_label_records(df: DataFrame, k: int, source: str, digest: str, teacher:
     prompt that isn't a proper prefix, and a position of the answer without candidates fail the job.
     """
     span = assistant_span(F.col("full_token_ids"), F.col("prompt_token_ids"))
-    lined = df.withColumn("_s", span).withColumn("_c", aligned(F.col("prompt_logprobs"), F.col("full_token_ids")))
+    lined = once(once(df, **{c: F.col(c) for c in df.columns}), _s=span, _c=aligned(F.col("prompt_logprobs"), F.col("full_token_ids")))
     answer = F.slice("_c", F.col("_s.start") + 1, F.col("_s.length"))
     fault = F.when(F.col("_s").isNull(), "the prompt is no proper prefix").when(F.exists(answer, lambda c: c.isNull()), "a position without candidates")
     if "teacher_token_ids" in df.columns:

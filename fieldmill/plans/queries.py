@@ -171,9 +171,8 @@ SELECT conv_id, CAST(length(front) AS INT) AS start, CAST(length(whole) - length
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    c = conversations(spark, sf).withColumn("ids", text.chars(text.chat(F.col("turns"))))
-    front = text.chars(text.chat(F.slice("turns", 1, F.size("turns") - 1)))
-    return c.withColumn("span", softlabel.assistant_span(F.col("ids"), front))
+    c = scoring.once(conversations(spark, sf), ids=text.chars(text.chat(F.col("turns"))), _front=text.chars(text.chat(F.slice("turns", 1, F.size("turns") - 1))))
+    return scoring.once(c, span=softlabel.assistant_span(F.col("ids"), F.col("_front"))).drop("_front")
 
 
 @query(_SPAN.format(more=""))

@@ -311,7 +311,8 @@ def soft_label_records(spark, sf):
 
 
 def kd_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return kd.kd_records(soft_labels(spark, sf).withColumn("input_ids", text.chars(F.col("full_chat_text"))))
+    made = soft_labels(spark, sf)
+    return kd.kd_records(scoring.once(made, **{c: F.col(c) for c in made.columns}, input_ids=text.chars(F.col("full_chat_text"))))
 
 
 @query(f"""WITH {_CHATS} SELECT conv_id AS example_index, CAST(any_value(length(whole)) AS INT) AS n_ids, CAST(any_value(start) AS INT) AS assistant_start, CAST(any_value(n) AS INT) AS assistant_len, CAST(count(*) AS INT) AS valid, CAST(2 * count(*) AS INT) AS zeros,
