@@ -40,3 +40,13 @@ def batch_faults(df: DataFrame, batch: str, k: int) -> DataFrame:
         F.count_if(F.exists("topk_ids", lambda r: F.size(r) != k)).alias("bad_width"), F.count_if(F.col("assistant_len") <= 0).alias("empty_span"),
         F.count_if((F.col("assistant_start") < 1) | (F.col("assistant_start") + F.col("assistant_len") > F.size("input_ids"))).alias("bad_span"),
     ).filter("bad_width + empty_span + bad_span > 0")
+
+
+def setting_faults(s: Column) -> Column:
+    """What is wrong with the settings of a run (struct of top_k, shard_size, batch_size, alpha,
+    temperature, overwrite, resume), as an array of names in order; null settings aren't wrong."""
+    rules = {
+        "alpha": (s["alpha"] < 0) | (s["alpha"] > 1), "batch_size": s["batch_size"] <= 0, "overwrite and resume": s["overwrite"] & s["resume"], "shard_size": s["shard_size"] <= 0,
+        "temperature": s["temperature"] <= 0, "top_k": s["top_k"] <= 0,
+    }
+    return F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())), lambda x: x.isNotNull())

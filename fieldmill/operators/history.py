@@ -58,3 +58,9 @@ def missing_from_cache(samples: DataFrame, cache: DataFrame, key: str) -> DataFr
 def with_cache(samples: DataFrame, cache: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Samples with the last cached row of their key, in the samples' order."""
     return samples.join(last_wins(cache, [key], order), key).orderBy(key)
+
+
+def last_checkpoints(df: DataFrame, run: str, name: str) -> DataFrame:
+    """run and last, the checkpoint- name of the greatest number, for runs that have one."""
+    number = F.regexp_extract(name, r"^checkpoint-([0-9]+)$", 1).try_cast("decimal(38,0)")
+    return df.select(run, F.col(name).alias("last"), number.alias("_n")).filter("_n is not null").groupBy(run).agg(F.max_by("last", "_n").alias("last"))

@@ -6,13 +6,14 @@ and read back by its readers; the SQL beside knows only the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import checks, distill, history, kd, sample, scoring, softlabel
 from ..sources import paths, readers, writers
-from ..streaming import inline
+from ..streaming import inline, teacher
 from . import sql
 from .queries import GT, PRED, orders, positions, query, spans, table
 
@@ -175,15 +176,15 @@ def file_digests(spark, sf):
     return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("long").alias("n_nationkey"), "sha256")
 
 
-_LITTLE = f"SELECT o_orderkey % 3 AS step, 'c' || o_orderkey % 2 AS corpus, o_orderkey AS sample_idx, {GT} AS gt, {PRED} AS pred FROM orders WHERE o_orderkey < 600"
+_GENERATED = f"SELECT o_orderkey % 3 AS step, 'c' || o_orderkey % 2 AS corpus, o_orderkey AS sample_idx, {GT} AS gt, {PRED} AS pred FROM orders"
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    o = orders(spark, sf, gt=GT, pred=PRED).filter("o_orderkey < 600")
+    o = orders(spark, sf, gt=GT, pred=PRED)
     return o.select((F.col("o_orderkey") % 3).alias("step"), F.concat(F.lit("c"), (F.col("o_orderkey") % 2).cast("string")).alias("corpus"), F.col("o_orderkey").alias("sample_idx"), "gt", "pred")
 
 
-_STEPS = f"""WITH {sql.scores(_LITTLE, 'step, corpus, sample_idx')},
+_STEPS = f"""WITH {sql.scores(_GENERATED, 'step, corpus, sample_idx')},
 s AS (SELECT sample_idx, count(*) FILTER (kind <> 'mismatch') AS correct, count(*) AS total FROM v GROUP BY 1),
 q AS (SELECT step, corpus, sample_idx, coalesce(correct, 0) AS correct, coalesce(total, 0) AS total, gok AND obj IS NOT NULL AS valid FROM j LEFT JOIN s USING (sample_idx))"""
 
@@ -228,14 +229,10 @@ def slugs(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", text.slug(F.concat(F.lit("Run  "), "n_name", F.lit("/"), F.col("n_regionkey").cast("string"), F.lit(" !"))).alias("slug"))
 
 
-@query("SELECT 'checkpoint-' || max(n_nationkey) AS last FROM nation")
+@query("SELECT o_custkey AS run, 'checkpoint-' || max(o_orderkey) AS last FROM orders GROUP BY 1")
 def last_checkpoint(spark, sf):
-    path = paths.fresh(spark, "run")
-    table(spark, sf, "nation").select(F.concat(F.lit("checkpoint-"), F.col("n_nationkey").cast("string")).alias("d"), F.lit("x").alias("value")).write.partitionBy("d").text(f"{path}/d")
-    for name in paths.children(spark, f"{path}/d"):
-        if name.startswith("d="):
-            spark.range(1).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{path}/{name[2:]}")
-    return spark.createDataFrame([(paths.last_checkpoint(spark, path).rpartition("/")[2],)], "last string")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.explode(F.array(F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")), F.lit("runs"), F.lit("checkpoint-x"))).alias("name"))
+    return history.last_checkpoints(o, "run", "name")
 
 
 # --- rendering, spans, soft labels -------------------------------------------------------------
@@ -297,7 +294,8 @@ i AS (SELECT *, unicode(whole[o + 1]) AS id FROM a)"""
 
 
 @query(f"""WITH {_CHATS} SELECT conv_id AS example_index, 'conversations' AS source_path, 'next' AS teacher_model, CAST({K} AS BIGINT) AS top_k, any_value(md5(whole)) AS chat, CAST(any_value(start) AS BIGINT) AS start, CAST(any_value(n) AS BIGINT) AS n,
- CAST(sum(id) AS BIGINT) AS ids, CAST(sum(CASE WHEN id % 2 = 1 THEN id ELSE id + 1 END) AS BIGINT) AS candidates, CAST(2 * count(*) AS INT) AS empty_slots, CAST(count(*) FILTER (id % 2 = 1) AS INT) AS inside, round(sum(-1.0 / (1 + id % 5)), 6) AS best, any_value(sha256('chat')) AS template FROM i GROUP BY conv_id""")
+ CAST(sum(id) AS BIGINT) AS ids, CAST(sum(CASE WHEN id % 2 = 1 THEN id ELSE id + 1 END) AS BIGINT) AS candidates, CAST(2 * count(*) AS INT) AS empty_slots, CAST(count(*) FILTER (id % 2 = 1) AS INT) AS inside, round(sum(-1.0 / (1 + id % 5)), 6) AS best, any_value(sha256('chat')) AS template,
+ md5(concat_ws('|', string_agg(id::VARCHAR, ',' ORDER BY o), string_agg((CASE WHEN id % 2 = 1 THEN id ELSE id + 1 END) || ':-:-', ',' ORDER BY o), string_agg('c:?:', ',' ORDER BY o), string_agg(round(-1000000.0 / (1 + id % 5))::BIGINT || ':-3000000:-', ',' ORDER BY o), string_agg(CASE WHEN id % 2 = 1 THEN 'true' ELSE 'false' END, ',' ORDER BY o))) AS arrays FROM i GROUP BY conv_id""")
 def soft_label_records(spark, sf):
     r = soft_labels(spark, sf)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -307,19 +305,38 @@ def soft_label_records(spark, sf):
     return r.select(
         "example_index", "source_path", "teacher_model", "top_k", F.md5("full_chat_text").alias("chat"), F.col("assistant_token_start").alias("start"), F.col("assistant_token_count").alias("n"), total(F.transform("assistant_token_ids", lambda i: i.cast("long"))).alias("ids"),
         total(first).alias("candidates"), empty.alias("empty_slots"), F.size(F.filter("hard_label_in_topk", lambda x: x)).alias("inside"), F.round(best, 6).alias("best"), F.col("chat_template_fingerprint").alias("template"),
+        digest("assistant_token_ids", "topk_token_ids", "topk_token_text", "topk_logprobs", "hard_label_in_topk", schema=r.schema).alias("arrays"),
     )
 
 
+def digest(*names: str, schema) -> Column:
+    """md5 of whole arrays as text: entries by comma, those of inner arrays by colon, null as -, floats in millionths."""
+
+    def shown(c: Column, kind) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.array_join(F.transform(c, lambda x: shown(x, kind.elementType)), ":")
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            c = F.when(c < -1e29, "least").otherwise(F.round(c.cast("double") * 1e6).cast("long").cast("string"))
+        return F.coalesce(c.cast("string"), F.lit("-"))
+
+    entries = lambda kind: lambda x: shown(x, kind)
+    return F.md5(F.concat_ws("|", *(F.array_join(F.transform(n, entries(schema[n].dataType.elementType)), ",") for n in names)))
+
+
 def kd_rows(spark: SparkSession, sf: str) -> DataFrame:
     made = soft_labels(spark, sf)
     return kd.kd_records(scoring.once(made, **{c: F.col(c) for c in made.columns}, input_ids=text.chars(F.col("full_chat_text"))))
 
 
 @query(f"""WITH {_CHATS} SELECT conv_id AS example_index, CAST(any_value(length(whole)) AS INT) AS n_ids, CAST(any_value(start) AS INT) AS assistant_start, CAST(any_value(n) AS INT) AS assistant_len, CAST(count(*) AS INT) AS valid, CAST(2 * count(*) AS INT) AS zeros,
- CAST(count(*) AS INT) AS least FROM i GROUP BY conv_id""")
+ CAST(count(*) AS INT) AS least, md5(concat_ws('|', any_value(input), string_agg(id::VARCHAR, ',' ORDER BY o), string_agg((CASE WHEN id % 2 = 1 THEN id ELSE id + 1 END) || ':0:0', ',' ORDER BY o),
+ string_agg(round(-1000000.0 / (1 + id % 5))::BIGINT || ':-3000000:least', ',' ORDER BY o), string_agg('true:false:false', ',' ORDER BY o), string_agg(CASE WHEN id % 2 = 1 THEN 'true' ELSE 'false' END, ',' ORDER BY o))) AS arrays
+ FROM i JOIN (SELECT conv_id, array_to_string(list_transform(range(length(whole)), lambda j: unicode(whole[j + 1])), ',') AS input FROM g) USING (conv_id) GROUP BY conv_id""")
 def kd_records(spark, sf):
     count = lambda c, f: F.aggregate(F.transform(c, lambda x: F.size(F.filter(x, f))), F.lit(0), lambda s, x: s + x)
-    return kd_rows(spark, sf).select("example_index", F.size("input_ids").alias("n_ids"), "assistant_start", "assistant_len", count("topk_valid_mask", lambda v: v).alias("valid"), count("topk_ids", lambda i: i == 0).alias("zeros"), count("topk_logprobs", lambda p: p < -1e29).alias("least"))
+    rows = kd_rows(spark, sf)
+    arrays = digest("input_ids", "gold_ids", "topk_ids", "topk_logprobs", "topk_valid_mask", "hard_label_in_topk", schema=rows.schema)
+    return rows.select(arrays.alias("arrays"), "example_index", F.size("input_ids").alias("n_ids"), "assistant_start", "assistant_len", count("topk_valid_mask", lambda v: v).alias("valid"), count("topk_ids", lambda i: i == 0).alias("zeros"), count("topk_logprobs", lambda p: p < -1e29).alias("least"))
 
 
 @query("SELECT conv_id AS example_index, unnest(CASE conv_id % 4 WHEN 1 THEN ['gold'] WHEN 2 THEN ['start', 'gold'] WHEN 3 THEN ['width'] ELSE [] END) AS rule FROM (SELECT DISTINCT conv_id FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn <> c.turn))")
@@ -339,24 +356,30 @@ def batch_faults(spark, sf):
     return checks.batch_faults(wrong, "batch", K)
 
 
-@query(f"""WITH {_CHATS}, e AS (SELECT conv_id, any_value(start) AS start, any_value(n) AS n, any_value(length(whole)) AS t, sum(id) AS s FROM i GROUP BY 1),
+@query(f"""WITH {_CHATS}, e AS (SELECT conv_id, any_value(whole) AS whole, any_value(start) AS start, any_value(n) AS n, any_value(length(whole)) AS t, sum(id) AS s FROM i GROUP BY 1),
 w AS (SELECT *, max(t) OVER p AS wt, max(n) OVER p AS wn FROM e WINDOW p AS (PARTITION BY conv_id // 8))
-SELECT conv_id AS example_index, CAST(wt AS INT) AS width, CAST(wn AS INT) AS span_width, CAST(t AS INT) AS attended, CAST(s AS BIGINT) AS label_sum, CAST(wt - n AS INT) AS ignored, CAST(n AS INT) AS in_span, CAST(n AS INT) AS valid, CAST({K} * wn - n AS INT) AS masked FROM w""")
+SELECT conv_id AS example_index, CAST(wt AS INT) AS width, CAST(wn AS INT) AS span_width, CAST(t AS INT) AS attended, CAST(s AS BIGINT) AS label_sum, CAST(wt - n AS INT) AS ignored, CAST(n AS INT) AS in_span, CAST(n AS INT) AS valid, CAST({K} * wn - n AS INT) AS masked,
+ md5(concat_ws('|', array_to_string(list_transform(range(wt), lambda j: CASE WHEN j < t THEN unicode(whole[j + 1]) ELSE 0 END), ','), array_to_string(list_transform(range(wt), lambda j: CASE WHEN j < t THEN 1 ELSE 0 END), ','),
+  array_to_string(list_transform(range(wt), lambda j: CASE WHEN j >= start AND j < t THEN unicode(whole[j + 1]) ELSE -100 END), ','), array_to_string(list_transform(range(wn), lambda j: CASE WHEN j < n THEN unicode(whole[start + j + 1]) ELSE 0 END), ','),
+  array_to_string(list_transform(range(wn), lambda j: CASE WHEN j >= n THEN '0:0:0' WHEN unicode(whole[start + j + 1]) % 2 = 1 THEN unicode(whole[start + j + 1]) || ':0:0' ELSE unicode(whole[start + j + 1]) + 1 || ':0:0' END), ','),
+  array_to_string(list_transform(range(wn), lambda j: CASE WHEN j < n THEN round(-1000000.0 / (1 + unicode(whole[start + j + 1]) % 5))::BIGINT || ':least:least' ELSE 'least:least:least' END), ','),
+  array_to_string(list_transform(range(wn), lambda j: CASE WHEN j < n THEN 'true:false:false' ELSE 'false:false:false' END), ','), array_to_string(list_transform(range(wn), lambda j: CASE WHEN j < n THEN 'true' ELSE 'false' END), ','))) AS arrays FROM w""")
 def training_batch(spark, sf):
     b = kd.training_batch(kd_rows(spark, sf).withColumn("batch", kd.batch_of(F.col("example_index"), 8)), "batch", 0, K)
     inner = lambda c, f: F.aggregate(F.transform(c, lambda x: F.size(F.filter(x, f))), F.lit(0), lambda s, x: s + x)
     good = F.filter("labels", lambda x: x != kd.IGNORED)
-    return b.filter("size(input_ids) = size(attention_mask) and size(input_ids) = size(labels) and size(gold_ids) = size(topk_ids)").select(
-        "example_index", F.size("input_ids").alias("width"), F.size("gold_ids").alias("span_width"), F.size(F.filter("attention_mask", lambda x: x == 1)).alias("attended"),
+    arrays = digest("input_ids", "attention_mask", "labels", "gold_ids", "topk_ids", "topk_logprobs", "topk_valid", "span_mask", schema=b.schema)
+    return scoring.once(b, **{c: F.col(c) for c in b.columns}).select(
+        arrays.alias("arrays"), "example_index", F.size("input_ids").alias("width"), F.size("gold_ids").alias("span_width"), F.size(F.filter("attention_mask", lambda x: x == 1)).alias("attended"),
         F.aggregate(F.transform(good, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"), F.size(F.filter("labels", lambda x: x == kd.IGNORED)).alias("ignored"),
         F.size(F.filter("span_mask", lambda x: x)).alias("in_span"), inner("topk_valid", lambda v: v).alias("valid"), inner("topk_logprobs", lambda p: p < -1e29).alias("masked"),
     )
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1 AND conv_id < 10")
+@query("SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1")
 def render_equality(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("a", F.col("text")).withColumn("b", F.when(F.col("turn") % 2 == 1, F.concat(F.col("text"), F.lit(" "))).otherwise(F.col("text")))
-    return checks.differing(rows.filter("conv_id < 10"), "a", "b", "conv_id", 1000).select("conv_id", "turn")
+    return checks.differing(rows, "a", "b", "conv_id").select("conv_id", "turn")
 
 
 # --- distillation from a cached teacher --------------------------------------------------------
@@ -369,10 +392,10 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("t"), i.cast("string")).alias("token"), F.when(i % 5 != 4, -F.abs(z.cast("double"))).alias("logprob"),
         F.array(F.struct(F.lit("a\n").alias("token"), (-F.abs(z.cast("double"))).alias("logprob")), F.struct(F.lit("").alias("token"), F.when(i % 2 == 0, F.lit(-2.0)).alias("logprob"))).alias("top_logprobs"),
     )
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 30), step).alias("steps"))
+    return e.select("vec_id", F.transform("embedding", step).alias("steps"))
 
 
-_ENTRIES = "e AS (SELECT vec_id, CAST(i AS INT) AS position, -abs(CAST(embedding[i + 1] AS DOUBLE)) AS logprob FROM embeddings, unnest(range(30)) u(i)), s AS (SELECT * FROM e WHERE position % 5 <> 4)"
+_ENTRIES = "e AS (SELECT vec_id, CAST(i AS INT) AS position, -abs(CAST(embedding[i + 1] AS DOUBLE)) AS logprob FROM embeddings, unnest(range(len(embedding))) u(i)), s AS (SELECT * FROM e WHERE position % 5 <> 4)"
 
 
 @query(f"WITH {_ENTRIES} SELECT vec_id, position, 't' || position AS token, round(logprob, 6) AS logprob, round(exp(logprob), 6) AS prob, CAST(CASE WHEN position % 2 = 0 THEN 2 ELSE 1 END AS INT) AS n_top FROM s")
@@ -409,17 +432,22 @@ def distilled(spark: SparkSession, sf: str) -> DataFrame:
     return distill.distillation_examples(rows, kd.merged_candidates(mass, ["_sample_id", "step"], 2), "_sample_id", 2, 700)
 
 
-_DISTILLED = f"""WITH {_CHATS}, d AS (SELECT conv_id, any_value(length(whole)) AS t, any_value(start) AS start FROM i GROUP BY 1), l AS (SELECT *, least(t, 700) AS u FROM d),
+_DISTILLED = f"""WITH {_CHATS}, d AS (SELECT conv_id, any_value(whole) AS whole, any_value(length(whole)) AS t, any_value(start) AS start FROM i GROUP BY 1), l AS (SELECT *, least(t, 700) AS u FROM d),
 m AS (SELECT conv_id, count(*) AS n, sum(id) AS s FROM i WHERE (o - start) % 2 = 0 AND o < 700 GROUP BY 1)"""
 
 
 @query(_DISTILLED + """ SELECT conv_id AS _sample_id, CAST(u AS INT) AS n_ids, CAST(least(start, u) AS INT) AS ignored, CAST(greatest(u - 1, 0) AS INT) AS n_targets, CAST(coalesce(n, 0) AS INT) AS selected, CAST(coalesce(2 * s + n, 0) AS BIGINT) AS ids,
- round(coalesce(n, 0) * 1.0, 6) AS mass, round(coalesce(n, 0) * 2 / 3.0, 4) AS top FROM l LEFT JOIN m USING (conv_id)""")
+ round(coalesce(n, 0) * 1.0, 6) AS mass, round(coalesce(n, 0) * 2 / 3.0, 4) AS top,
+ md5(concat_ws('|', array_to_string(list_transform(range(u), lambda j: unicode(whole[j + 1])), ','), array_to_string(list_transform(range(u), lambda j: CASE WHEN j < start THEN -100 ELSE unicode(whole[j + 1]) END), ','),
+  array_to_string(list_transform(range(u - 1), lambda j: CASE WHEN j + 1 >= start AND start <= u AND (j + 1 - start) % 2 = 0 THEN unicode(whole[j + 2]) || ':' || unicode(whole[j + 2]) + 1 ELSE '-1:-1' END), ','),
+  array_to_string(list_transform(range(u - 1), lambda j: CASE WHEN j + 1 >= start AND start <= u AND (j + 1 - start) % 2 = 0 THEN '666667:333333' ELSE '0:0' END), ','))) AS arrays FROM l LEFT JOIN m USING (conv_id)""")
 def distillation_examples(spark, sf):
     flat = F.flatten("soft_target_ids")
     total = lambda c, zero: F.aggregate(c, zero, lambda s, x: s + x)
-    return distilled(spark, sf).select(
-        "_sample_id", F.size("soft_input_ids").alias("n_ids"), F.size(F.filter("hard_labels", lambda x: x == kd.IGNORED)).alias("ignored"), F.size("soft_target_ids").alias("n_targets"), total("soft_target_mask", F.lit(0)).alias("selected"),
+    rows = distilled(spark, sf)
+    arrays = digest("soft_input_ids", "hard_labels", "soft_target_ids", "soft_target_probs", schema=rows.schema)
+    return rows.select(
+        arrays.alias("arrays"), "_sample_id", F.size("soft_input_ids").alias("n_ids"), F.size(F.filter("hard_labels", lambda x: x == kd.IGNORED)).alias("ignored"), F.size("soft_target_ids").alias("n_targets"), total("soft_target_mask", F.lit(0)).alias("selected"),
         total(F.transform(F.filter(flat, lambda i: i >= 0), lambda i: i.cast("long")), F.lit(0).cast("long")).alias("ids"), F.round(total(F.flatten("soft_target_probs"), F.lit(0.0)), 6).alias("mass"),
         F.round(total(F.transform("soft_target_probs", lambda p: F.get(p, F.lit(0))), F.lit(0.0)), 4).alias("top"),
     )
@@ -523,18 +551,14 @@ def resume_with_files(spark, sf):
     return left.select(*(F.col(c).cast("int").alias(c) for c in ("shard_index", "example_start", "example_end", "row_count")))
 
 
-@query("SELECT r_regionkey, r_regionkey <= 0 AS sizes, r_regionkey > 1 AS alpha, r_regionkey IN (0, 4) AS modes FROM region")
+@query("SELECT o_orderkey, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['top_k'] WHEN 1 THEN ['alpha', 'overwrite and resume'] WHEN 2 THEN ['temperature'] WHEN 3 THEN ['batch_size', 'shard_size'] ELSE [] END) AS fault FROM orders")
 def refused_settings(spark, sf):
-    def refused(f, *a, **b):
-        try:
-            f(*a, **b)
-        except ValueError:
-            return True
-        return False
-
-    p = positions(spark, sf)
-    rows = [(r, refused(checks.positive, top_k=r), refused(kd.losses, p, ["label"], r, 1.0), refused(checks.one_mode, r in (0, 4), True)) for (r,) in table(spark, sf, "region").select("r_regionkey").collect()]
-    return spark.createDataFrame(rows, "r_regionkey long, sizes boolean, alpha boolean, modes boolean")
+    which = F.col("o_orderkey") % 5
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(which == 0, 0).otherwise(8).alias("top_k"), F.when(which == 3, -1).otherwise(64).alias("shard_size"), F.when(which == 3, 0).otherwise(4).alias("batch_size"),
+        F.when(which == 1, 1.5).otherwise(1.0).alias("alpha"), F.when(which == 2, 0.0).otherwise(2.0).alias("temperature"), (which == 1).alias("overwrite"), F.col("o_orderkey").isNotNull().alias("resume"),
+    )
+    return rows.select("o_orderkey", F.explode(checks.setting_faults(F.struct(*rows.columns[1:]))).alias("fault"))
 
 
 # --- subsets -----------------------------------------------------------------------------------
@@ -619,10 +643,7 @@ def teacher_backend(spark, sf):
     return inline.teacher_rows(c, c.filter("_sample_id % 2 = 0"), "_sample_id", ask, "_sample_id long, teacher_output string")
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'http://h' || n_nationkey || '/v1/chat/completions' WHEN 1 THEN 'http://h' || n_nationkey || '/v1/chat/completions' ELSE 'http://h' || n_nationkey || '/x/v1/chat/completions' END AS url FROM nation")
+@query("SELECT c_custkey, 'http://h' || c_custkey || CASE WHEN c_custkey % 4 = 2 THEN '/x' ELSE '' END || '/v1/chat/completions' AS url FROM customer")
 def teacher_urls(spark, sf):
-    from ..streaming.teacher import Teacher
-
-    tails = ("/", "/v1/", "/x/v1/chat/completions")
-    rows = [(k, Teacher(f"http://h{k}{tails[k % 3]}", "", "m").url()) for (k,) in table(spark, sf, "nation").select("n_nationkey").collect()]
-    return spark.createDataFrame(rows, "n_nationkey long, url string")
+    tails = F.element_at(F.array(*map(F.lit, ("/", "/v1/", "/x/v1/chat/completions", ""))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", teacher.completions_url(F.concat(F.lit("http://h"), F.col("c_custkey").cast("string"), tails)).alias("url"))

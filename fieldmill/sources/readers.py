@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,10 +111,25 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def jsonl_cache(spark: SparkSession, path: str, schema: str = CACHE, key: str = "_sample_id") -> DataFrame:
     """A JSON-lines cache; of rows with the same key the last one wins: that of the file written last,
-    in it the one that stands last (files are read in splits, hence by split and place in it)."""
+    in it the one that stands last (files are read in splits, hence by where a split begins and the
+    line's place in it, which doesn't depend on how splits are dealt to tasks)."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_modification_time").alias("_t"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    m = lambda name: F.col(f"_metadata.{name}")
+    lines = spark.read.text(path).select("value", m("file_modification_time").cast("timestamp_ntz").alias("_t"), m("file_path").alias("_f"), m("file_block_start").alias("_b"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With the place of a line in its split, _i, counted as the split is read."""
+        now, count = None, 0
+        for batch in batches:
+            places = []
+            for split in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                now, count = split, count + 1 if split == now else 0
+                places.append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, type=pa.int64())], names=[*batch.schema.names, "_i"])
+
+    read = lines.mapInArrow(placed, "value string, _t timestamp_ntz, _f string, _b long, _i long").filter(F.trim("value") != "")
+    df = read.select(F.from_json("value", schema).alias("r"), "_t", "_f", "_b", "_i").select("r.*", "_t", "_f", "_b", "_i")
     return last_wins(df, [key], ["_t", "_f", "_b", "_i"]).drop("_t", "_f", "_b", "_i")
 
 

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 ANSWER = "_sample_id long, teacher_output string, raw_response string"
 
@@ -58,6 +60,12 @@ class Teacher:
         raise ValueError("tries must be positive")
 
 
+def completions_url(base: Column) -> Column:
+    """Teacher.url of a column of base addresses."""
+    end = F.regexp_replace(base, "/+$", "")
+    return F.when(end.endswith("/chat/completions"), end).when(end.endswith("/v1"), F.concat(end, F.lit("/chat/completions"))).otherwise(F.concat(end, F.lit("/v1/chat/completions")))
+
+
 def backend(teacher: Teacher) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For inline.teacher_rows: frames of _sample_id, instruction, input to frames of ANSWER. The
     answer stays raw; fieldmill.functions.text.message_text and softlabel.logprob_steps read it."""
