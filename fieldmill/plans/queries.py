@@ -273,12 +273,32 @@ def foreign_forms(spark, sf):
     return rows.select("doc_id", text.normalize_string(F.col("t")).alias("plain"), text.normalize_key(F.col("t")).alias("key"), values.compare_texts(F.col("w"), F.col("o"))["match_type"].alias("verdict"))
 
 
-@query(None)
+_TYPO = "concat(substring(p_name, 1, 3), substring(p_name, 5))"
+_KEY_OF = "regexp_replace(strip_accents(lower({})), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE {sql.gestalt(f"SELECT p_partkey * 2 AS id, {sql.plain('p_name')} AS a, {sql.plain(_TYPO)} AS b FROM part UNION ALL SELECT p_partkey * 2 + 1, {_KEY_OF.format(_TYPO)}, {_KEY_OF.format('p_name')} FROM part")}
+SELECT p_partkey, round(s.ratio, 6) AS ratio, CASE WHEN k.ratio >= 0.8 THEN {_TYPO} END AS key FROM part JOIN likeness s ON s.id = p_partkey * 2 JOIN likeness k ON k.id = p_partkey * 2 + 1""")
 def fuzzy_match(spark, sf):
-    parts = table(spark, sf, "part").select("p_partkey", "p_name", F.expr("concat(substring(p_name, 1, 3), substring(p_name, 5))").alias("typo"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", F.expr(_TYPO).alias("typo"))
     return parts.select("p_partkey", F.round(similarity("p_name", "typo"), 6).alias("ratio"), closest_key("p_name", F.array(F.lit("zzz"), "typo", F.lit("unlike"))).alias("key"))
 
 
+_NAMED = "concat(p_name, ' and ', p_name)"
+_MISNAMED = f"CASE p_partkey % 5 WHEN 0 THEN {_NAMED} WHEN 1 THEN concat(substring({_NAMED}, 1, 3), substring({_NAMED}, 5)) WHEN 2 THEN p_name WHEN 3 THEN reverse({_NAMED}) ELSE concat(p_name, ' und ', p_name) END"
+_KEYED = "CASE p_partkey % 3 WHEN 0 THEN 'product_name' WHEN 1 THEN 'Product Nam' ELSE 'title' END"
+
+
+@query(f"""WITH RECURSIVE {sql.gestalt(f"SELECT p_partkey AS id, {sql.plain(_NAMED)} AS a, {sql.plain(_MISNAMED)} AS b FROM part")},
+v AS (SELECT p_partkey, ratio, CASE WHEN p_partkey % 3 = 2 THEN 'mismatch' WHEN {_NAMED} = {_MISNAMED} THEN 'exact' WHEN ratio >= {values.FUZZY} THEN 'fuzzy' ELSE 'mismatch' END AS match_type, {_KEYED} AS k FROM part JOIN likeness ON id = p_partkey)
+SELECT p_partkey, CASE WHEN k <> 'title' THEN k END AS pred_key, match_type <> 'mismatch' AS matched, match_type, CASE WHEN match_type = 'fuzzy' THEN round(ratio, 6) END AS similarity FROM v""")
+def fuzzy_verdicts(spark, sf):
+    """Values with typos, under keys with typos: the branches that only likeness decides."""
+    text_of = lambda key, value: F.concat(F.lit('{"'), key, F.lit('": "'), value, F.lit('"}'))
+    rows = table(spark, sf, "part").select("p_partkey", text_of(F.lit("product_name"), F.expr(_NAMED)).alias("gt"), text_of(F.expr(_KEYED), F.expr(_MISNAMED)).alias("pred"))
+    return scoring.field_verdicts(rows, ["p_partkey"]).select("p_partkey", "pred_key", "matched", "match_type", F.round("similarity", 6).alias("similarity"))
+
+
 # --- scoring -----------------------------------------------------------------------------------
 
 _RECORDS = f"SELECT o_orderkey, o_orderpriority AS corpus, {GT} AS gt, {PRED} AS pred FROM orders"

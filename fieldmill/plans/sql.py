@@ -117,3 +117,17 @@ k AS (SELECT {keys}, gt, obj, unnest(json_keys(gt)) AS key FROM j WHERE gok),
 p AS (SELECT *, list_filter(json_keys(obj), lambda q: {key('q')} = {key('key')})[1] AS pk FROM k),
 w AS (SELECT *, json_extract_string(gt, '$."' || key || '"') AS a, json_extract_string(obj, '$."' || pk || '"') AS b FROM p),
 v AS (SELECT {keys}, key, a, b, obj, pk, CASE WHEN obj IS NULL THEN 'mismatch' WHEN pk IS NULL THEN CASE WHEN {empty('a')} THEN 'missing_ok' ELSE 'mismatch' END ELSE {verdict('a', 'b')} END AS kind FROM w)"""
+
+
+def gestalt(rows: str) -> str:
+    """CTEs (after WITH RECURSIVE) from rows (id, a, b): likeness (id, ratio), twice the letters in common
+    blocks over all letters. The longest common block comes first, of these the first in a, then the
+    first in b; then what stands on its left in both, and on its right."""
+    block = "list_transform(range(length(a)), lambda i: list_transform(range(1, length(a) - i + 1), lambda k: CASE WHEN contains(b, a[i + 1 : i + k]) THEN k * 100000 - i ELSE 0 END))"
+    cut = f"SELECT id, a, b, best, (best + 99999) // 100000 AS k, (100000 - best % 100000) % 100000 AS i FROM (SELECT id, a, b, coalesce(list_max(flatten({block})), 0) AS best FROM {{}})"
+    return f"""gs_rows AS (SELECT * FROM ({rows})),
+gs_parts(id, a, b) AS (
+  SELECT id, a, b FROM gs_rows UNION ALL
+  SELECT id, unnest([a[1 : i], a[i + k + 1 :]]), unnest([b[1 : j], b[j + k + 1 :]]) FROM (SELECT *, strpos(b, a[i + 1 : i + k]) - 1 AS j FROM ({cut.format("gs_parts WHERE a <> '' AND b <> ''")})) WHERE k > 0),
+gs_blocks AS (SELECT id, k FROM ({cut.format("gs_parts")})),
+likeness AS (SELECT g.id, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * sum(k) / (length(a) + length(b)) END AS ratio FROM gs_blocks JOIN gs_rows g USING (id) GROUP BY g.id, a, b)"""
