@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.history import last_wins
+from . import arrays
 from .paths import children, exists
 
 EXAMPLE = "instruction string, input string, output string, _meta struct<sample_id:string,document_name:string,source_file:string>"
@@ -26,13 +27,16 @@ MANIFEST = (
 
 
 def json_array(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
-    """A file that holds one JSON array of records; anything else fails."""
+    """A file that holds one JSON array of records; anything else fails. Large files are read in splits."""
+    return _array(spark, path, schema).select("r.*")
+
+
+def _array(spark: SparkSession, path: str, schema: str, index: bool = False) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", "^\\s+", "")), 1, 1).alias("c")).filter("c <> '['").limit(1)
-    if not first.isEmpty():
-        raise ValueError(f"{path} holds no JSON array")
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = arrays.records(spark, path)
+    parsed = F.from_json("text", StructType.fromDDL(schema), {"mode": "FAILFAST"}).alias("r")
+    return arrays.numbered(rows).select("example_index", parsed) if index else rows.select(parsed)
 
 
 def eval_dataset(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
@@ -49,15 +53,7 @@ def raw_json(spark: SparkSession, path: str) -> DataFrame:
 
 def indexed(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
     """The records of a JSON array with their place in it, example_index."""
-    if not exists(spark, path):
-        raise FileNotFoundError(path)
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_fields(schema)}>>", {"mode": "FAILFAST"}).alias("v"))
-    return whole.select(F.posexplode("v").alias("example_index", "r")).select(F.col("example_index").cast("long").alias("example_index"), "r.*")
-
-
-def _fields(schema: str) -> str:
-    """A table's columns as those of a struct type."""
-    return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+    return _array(spark, path, schema, index=True).select("example_index", "r.*")
 
 
 def corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

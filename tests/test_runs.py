@@ -1,6 +1,8 @@
 """Runs that break off and go on, writers at once, scans that prune, losses in blocks."""
 
+import json
 import os
+import random
 import time
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -185,3 +187,38 @@ def test_losses_in_blocks(spark, sf):
     assert {r.hard_loss for r in lone} <= {None, 0.0}
     with pytest.raises(ValueError):
         blocked.losses(p, p, ["vec_id"], ["label"], 16, 2.0, 1.0, 64)
+
+
+# --- JSON arrays in splits ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_arrays_in_splits(spark, tmp_path, size):
+    """One file in many tasks, with brackets, quotes and escapes inside strings, nested and empty records, records longer than splits."""
+    rng = random.Random(size)
+    odd = ['"', "\\", "}", "{", "[", "]", ",", "\n", "é", "漢", "x", " ", '\\"}', "\\\\", "\u2028"]
+    rows = [{"a": i, "s": "".join(rng.choice(odd) for _ in range(rng.choice([0, 1, 5, 40]))), "o": {"k": [{"z": "}]{"}, {}] if i % 3 else [], "e": {}}} for i in range(24)]
+    rows[7]["s"] = "}{" * 300
+    for k, text in enumerate((json.dumps(rows, ensure_ascii=False), json.dumps(rows, indent=2), "\ufeff \n" + json.dumps(rows) + "\n\n")):
+        (tmp_path / f"f{k}.json").write_text(text, encoding="utf-8")
+    schema = "a long, s string, o struct<k:array<struct<z:string>>,e:struct<z:string>>"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        for k in range(3):
+            df = readers.indexed(spark, f"{tmp_path}/f{k}.json", schema).orderBy("example_index")
+            got = df.collect()
+            assert [(r.example_index, r.a, r.s, [x.z for x in r.o.k]) for r in got] == [(i, i, r["s"], [x.get("z") for x in r["o"]["k"]]) for i, r in enumerate(rows)]
+        whole = readers.json_array(spark, str(tmp_path), schema)
+        assert whole.count() == 72 and (size > 1000 or readers.arrays._pieces(spark, str(tmp_path)).rdd.getNumPartitions() > 8)
+        for k, text in enumerate(() if size < 1000 else ('{"a": 1}', "", "[1, 2]", '[{"a": 1}, 5]', '[{"a": 1}', '[{"a": "x}]', '[{"a": 1}] 7', "[[{}]]")):
+            (tmp_path / "bad").mkdir(exist_ok=True)
+            (tmp_path / "bad" / f"{k}.json").write_text(text)
+            with pytest.raises(Exception):
+                readers.json_array(spark, f"{tmp_path}/bad/{k}.json", schema).collect()
+        (tmp_path / "none.json").write_text(" [ ]\n")
+        assert readers.json_array(spark, f"{tmp_path}/none.json", schema).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
