@@ -7,7 +7,8 @@ against the text's, place by place, and the text is contaminated if in some wind
 enough words are equal.
 
 Masks can miss an item of few words. Such an item is cut into one block more than it may have
-substitutions, so that one block at least is whole in any match, and the blocks are seeds too.
+substitutions, so that one block at least is whole in any match, and the blocks are seeds too. An
+item of one word is joined with the words of the texts, each at its first place.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, sifted
@@ -25,6 +27,8 @@ WINDOW, SHARE = 20, 0.75
 #: Items of fewer words are looked for by blocks.
 SHORT = 15
 BROADCAST_SEEDS = 1_000_000
+#: About so many places of a text are held against items in one row; a text with more hits has several.
+HITS = 1000
 #: A character of a script without spaces between words.
 UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}]"
 
@@ -90,7 +94,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     # short items: each length has its own blocks, and the texts need seeds of the lengths of these only
     short = min(max(SHORT, span) - 1, window)
-    sizes = [r[0] for r in tests.filter(F.size("words") <= short).select(F.size("words")).distinct().collect()]
+    sizes = [r[0] for r in tests.filter((F.size("words") <= short) & (F.size("words") > 1)).select(F.size("words")).distinct().collect()]
     if sizes:
         cuts = F.lit(None)
         for size in sizes:
@@ -104,7 +108,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     found = cut(found.distinct())
 
     bodies = sifted(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", found.select("id"))
-    held = bodies.join(found.groupBy("id").agg(F.collect_set(F.struct("item", "start")).alias("found")), "id")
+    lots = F.ceil(F.count(F.lit(1)).over(W.partitionBy("id")) / F.lit(HITS))
+    lot = F.pmod(F.xxhash64("item", "start"), lots).alias("lot")
+    held = bodies.join(found.select("*", lot).groupBy("id", "lot").agg(F.collect_set(F.struct("item", "start")).alias("found")).drop("lot"), "id")
     held = held.select("id", "found", F.explode(F.array(word_hashes(F.col("text")))).alias("words")).select("id", "words", F.explode("found").alias("f"))
     pairs = held.select("id", "words", "f.item", "f.start").join(tests.select(F.col("id").alias("item"), F.col("words").alias("want")), "item")
     place = F.sequence(F.lit(0), F.size("want") - 1)
@@ -113,6 +119,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - F.col("wide")), lambda i: total(F.slice("same", i + 1, F.col("wide")))))
     kept = pairs.filter(best >= F.ceil(F.col("wide") * share)).select("id", "item", "start", total(F.col("same")).alias("n_equal"))
+
+    # an item of one word is in every text that has it, first where the word first stands
+    lone = tests.filter(F.size("words") == 1).select(F.col("id").alias("item"), F.get("words", F.lit(0)).alias("word"))
+    asked = lone.select("word").distinct()
+    stands = texts.select("id", F.posexplode("words").alias("at", "word")).join(F.broadcast(asked) if n <= BROADCAST_SEEDS else asked, "word", "left_semi")
+    first = stands.groupBy("id", "word").agg(F.min("at").alias("start")).join(lone, "word")
+    kept = kept.unionByName(first.select("id", "item", "start", F.lit(1).alias("n_equal"))) if not lone.isEmpty() else kept
     top = kept.groupBy("id", "item").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("start"))).alias("x"))
     return top.select(F.col("id").alias(key), F.col("item").alias(item_key), (-F.col("x.start")).alias("start"), F.col("x.n_equal").alias("n_equal"))
 

@@ -92,3 +92,13 @@ def test_pages_in_other_languages_and_references():
     assert main_text(f"<p>{english}</p><p>{low}</p><p>{english}</p>") == f"{english}\n\n{english}"
     reference = "A. Smith and B. Jones: On the mills of the northern rivers, Journal of Old Engines 12, 1987"
     assert main_text(f'<article><p>{english}</p><ul><li><a href="r">{reference}</a></li></ul><ul><li><a href="m">More</a></li></ul></article>') == f"{english}\n\n{reference}"
+
+
+def test_items_of_one_word_and_texts_of_many_hits(spark, monkeypatch):
+    """A common word is found in every text that has it, and a text with many hits is held in several lots."""
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    docs = [(i, ("of the mill " * 40 if i % 3 else "a river ") + f"x{i}") for i in range(60)] + [(None, "the"), (61, None)]
+    items = [(1, "The"), (2, "absent"), (3, "of the mill of the old of the"), (4, "river!"), (5, "the")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, k, at, 1) for i, _ in docs[:60] for k, at in (((1, 1), (5, 1)) if i % 3 else ((4, 1),))} | {(i, 3, 0, 7) for i in range(60) if i % 3}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
