@@ -45,6 +45,12 @@ def likeness_from(a: str, b: str, least: float) -> float | None:
 def choose_key(target: str, candidates: list[str], cutoff: float = 0.8) -> str | None:
     """The first candidate with the same plain key, else the first of the one most like it (ties by
     the greater plain key) if it reaches the cutoff."""
+    return _chosen(target, tuple(candidates), cutoff)
+
+
+@lru_cache(maxsize=1 << 16)
+def _chosen(target: str, candidates: tuple[str, ...], cutoff: float) -> str | None:
+    """Records of one kind have the same keys, so a worker remembers what it has chosen among them."""
     want, plain = plain_key(target), [plain_key(c) for c in candidates]
     if want not in plain:
         near = difflib.get_close_matches(want, plain, 1, cutoff)

@@ -8,10 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocked, history
+from ..functions import jsonfix
+from ..operators import blocked, history, keymatch, scoring
 from ..sources import paths, readers, shardsource, writers
 from ..streaming import asked, shardrun
-from .queries import _CE, positions, query, table
+from . import sql
+from .queries import _CE, _KEYED, _RECORDS, GT, PRED, orders, positions, query, table
 
 # --- losses from logits in blocks ---------------------------------------------------------------
 
@@ -133,3 +135,24 @@ def length_filter_written(spark, sf):
     path = paths.fresh(spark, "short")
     kept, dropped = writers.kept_rows(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 2000, path)
     return spark.read.parquet(path).select("doc_id", F.lit(kept).cast("long").alias("kept"), F.lit(dropped).cast("long").alias("dropped"))
+
+
+# --- keys by dictionary ---------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.scores(_RECORDS, 'o_orderkey, corpus')} SELECT o_orderkey, key AS gt_key, pk AS pred_key FROM v")
+def dictionary_keys(spark, sf):
+    """The keys that field_verdicts pairs, matched once for each distinct key and set of keys."""
+    rows = orders(spark, sf, gt=GT, pred=PRED)
+    both = scoring.once(rows, g=jsonfix.parse_output(F.col("gt")), p=jsonfix.parse_output(F.col("pred")))
+    keys = lambda c: F.transform(f"{c}.fields", lambda f: f["key"])
+    each = both.select("o_orderkey", F.explode(keys("g")).alias("gt_key"), F.coalesce(keys("p"), F.array().cast("array<string>")).alias("names"))
+    return keymatch.with_matched_keys(each, "gt_key", "names").select("o_orderkey", "gt_key", "pred_key")
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN {_KEYED} END AS pred_key FROM part")
+def dictionary_typos(spark, sf):
+    """A key among others with typos, case and accents: one equal in plain form, one alike, none."""
+    names = F.array(F.lit("other"), F.expr(_KEYED), F.lit("id"))
+    rows = table(spark, sf, "part").select("p_partkey", F.lit("pröduct-name").alias("target"), names.alias("names"))
+    return keymatch.with_matched_keys(rows, "target", "names").select("p_partkey", "pred_key")

@@ -10,7 +10,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmill.operators import blocked, kd
+from fieldmill.functions.similarity import choose_key
+from fieldmill.operators import blocked, kd, keymatch
 from fieldmill.plans.queries import positions
 from fieldmill.sources import paths, readers, shardsource, writers
 from fieldmill.streaming import asked, inline, listener, shardrun
@@ -222,3 +223,22 @@ def test_arrays_in_splits(spark, tmp_path, size):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+# --- keys by dictionary ------------------------------------------------------------------------
+
+
+def test_keys_by_dictionary(spark):
+    """Equal to choosing for each record anew; likeness sees the distinct pairs that bounds leave."""
+    rng = random.Random(2)
+    words = ["total_ht", "Total HT", "tötal-ht", "total_tcc", "totals", "date", "Datum", "d\u00e0te", "", "!!", "sender", "sendr", "a", "ab", "x1", "1x", "recipient_name"]
+    sets = [[rng.choice(words) for _ in range(rng.randint(0, 5))] for _ in range(40)] + [None]
+    rows = [(i, rng.choice([*words, None]), sets[rng.randrange(41)], "theirs") for i in range(1500)]
+    df = spark.createDataFrame(rows, "i long, target string, names array<string>, want string")
+    got = {r.i: r.pred_key for r in keymatch.with_matched_keys(df, "target", "names").collect()}
+    assert got == {i: choose_key(t, n) if t is not None and n is not None else None for i, t, n, _ in rows}
+    pairs = keymatch.pairs_of(df, "target", "names")
+    assert pairs.count() == len({(t, tuple(n)) for _, t, n, _ in rows if t is not None and n is not None})
+    left = keymatch.open_pairs(pairs).filter("open").count()
+    assert 0 < left < pairs.count() / 3
+    assert keymatch.with_matched_keys(df.limit(0), "target", "names").count() == 0
