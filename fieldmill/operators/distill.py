@@ -57,6 +57,31 @@ def decoder(factory: Callable):
     return decode
 
 
+def _looked_up(df: DataFrame, column: str, known: DataFrame, rest: Callable[[], Column], out: str) -> DataFrame:
+    """df with out, known's value for column; the distinct values that known lacks go through rest. Where
+    it lacks none, the plan has no Python in it."""
+    distinct = df.select(F.col(column).alias("_c")).filter("_c IS NOT NULL").distinct()
+    lacking = distinct.join(known, "_c", "left_anti")
+    told = distinct.join(known, "_c")
+    if not lacking.isEmpty():
+        told = told.unionByName(lacking.withColumn("_v", rest()))
+    return df.join(told, F.col(column) == F.col("_c"), "left").select(*df.columns, F.col("_v").alias(out))
+
+
+def ids_by_vocabulary(df: DataFrame, column: str, vocabulary: DataFrame, factory: Callable, out: str = "token_id") -> DataFrame:
+    """df with the id of column where it is one token: from vocabulary (id, token; a token once), and
+    from the tokenizer that factory makes for the distinct texts that it lacks. As single_id has it."""
+    known = vocabulary.select(F.col("token").alias("_c"), F.col("id").cast("int").alias("_v"))
+    return _looked_up(df, column, known, lambda: single_id(factory)("_c"), out)
+
+
+def texts_by_vocabulary(df: DataFrame, column: str, vocabulary: DataFrame, factory: Callable, out: str = "token") -> DataFrame:
+    """df with the text of the id in column, as decoder has it: from vocabulary, and from the tokenizer
+    for the distinct ids that it lacks; null as empty."""
+    known = vocabulary.select(F.col("id").cast("int").alias("_c"), F.col("token").alias("_v"))
+    return _looked_up(df, column, known, lambda: decoder(factory)("_c"), out).withColumn(out, F.coalesce(out, F.lit("")))
+
+
 def hard_examples(df: DataFrame, key: str, length: int, prompt: str = "prompt_ids", full: str = "hard_ids") -> DataFrame:
     """key, hard_input_ids, hard_attention_mask, hard_labels (nothing to learn in the prompt), cut to length."""
     ids = truncate(F.col(full), length)

@@ -147,11 +147,14 @@ def cached_soft_loss(df: DataFrame, by: list[str], temperature: float) -> DataFr
     return each.groupBy(*by).agg((F.coalesce(F.avg(F.when(F.col("ok"), F.col("s"))), F.lit(0.0)) * temperature**2).alias("soft_loss"))
 
 
-def merged_candidates(df: DataFrame, by: list[str], k: int) -> DataFrame:
+def merged_candidates(df: DataFrame, by: list[str], k: int, order: str | None = None) -> DataFrame:
     """Candidate mass by token id at each position, the k greatest, renormalised to 1 (by, token_id,
-    prob); null ids and positions without mass give nothing. Repeated ids add up."""
-    mass = df.filter("token_id is not null").groupBy(*by, "token_id").agg(F.sum("prob").alias("mass"))
-    top = mass.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mass"), "token_id"))).filter(F.col("_r") <= k)
+    prob); null ids and positions without mass give nothing. Repeated ids add up. Of equal masses the
+    id that was met first wins, by the column order, or the smaller id where none is given."""
+    first = [F.min(order).alias("_o")] if order else []
+    mass = df.filter("token_id is not null").groupBy(*by, "token_id").agg(F.sum("prob").alias("mass"), *first)
+    ties = ["_o"] if order else []
+    top = mass.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("mass"), *ties, "token_id"))).filter(F.col("_r") <= k)
     total = F.sum("mass").over(W.partitionBy(*by))
     return top.withColumn("_t", total).filter("_t > 0").select(*by, "token_id", (F.col("mass") / F.col("_t")).alias("prob"))
 

@@ -30,14 +30,9 @@ def aligned(logprobs: Column, tokens: Column) -> Column:
 
 
 def ranked(candidates: Column, k: int) -> Column:
-    """The k candidates of greatest logprob, null the least, ties by id."""
-    least = F.lit(float("-inf"))
-
-    def order(a: Column, b: Column) -> Column:
-        x, y = F.coalesce(a["logprob"], least), F.coalesce(b["logprob"], least)
-        return F.when(x > y, -1).when(x < y, 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-
-    return F.slice(F.array_sort(candidates, order), 1, k)
+    """The k candidates of greatest logprob, null the least; of equal ones those that were given first."""
+    keyed = F.transform(candidates, lambda c, i: F.struct(F.coalesce(-c["logprob"], F.lit(float("inf"))).alias("least"), i.alias("at"), c.alias("c")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["c"])
 
 
 def padded(candidates: Column, k: int) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonfix
-from ..operators import blocked, history, keymatch, scoring
+from ..operators import blocked, distill, history, keymatch, scoring
 from ..sources import paths, readers, shardsource, writers
 from ..streaming import asked, shardrun
 from . import sql
+from .records import Chars
 from .queries import _CE, _KEYED, _RECORDS, GT, PRED, orders, positions, query, table
 
 # --- losses from logits in blocks ---------------------------------------------------------------
@@ -156,3 +157,17 @@ def dictionary_typos(spark, sf):
     names = F.array(F.lit("other"), F.expr(_KEYED), F.lit("id"))
     rows = table(spark, sf, "part").select("p_partkey", F.lit("pröduct-name").alias("target"), names.alias("names"))
     return keymatch.with_matched_keys(rows, "target", "names").select("p_partkey", "pred_key")
+
+
+# --- vocabulary -----------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT doc_id, unnest([left(text, 1), left(text, 2), right(text, 1), 'é']) AS token FROM documents)
+SELECT token, CASE WHEN length(token) = 1 THEN unicode(token) END AS token_id, CASE WHEN length(token) = 1 THEN token ELSE '' END AS back, count(*) AS n FROM t GROUP BY token""")
+def vocabulary_join(spark, sf):
+    """Tokens by a vocabulary of ASCII, and by the tokenizer for what it lacks; and back."""
+    ascii_ = spark.range(128).select("id", F.char("id").alias("token"))
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.explode(F.array(F.left("text", F.lit(1)), F.left("text", F.lit(2)), F.right("text", F.lit(1)), F.lit("é"))).alias("token"))
+    there = distill.texts_by_vocabulary(distill.ids_by_vocabulary(rows, "token", ascii_, Chars), "token_id", ascii_, Chars, "back")
+    return there.groupBy("token", "token_id", "back").agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmill.functions.similarity import choose_key
-from fieldmill.operators import blocked, kd, keymatch
+from fieldmill.operators import blocked, distill, kd, keymatch, softlabel
+from fieldmill.plans.records import Chars
 from fieldmill.plans.queries import positions
 from fieldmill.sources import paths, readers, shardsource, writers
 from fieldmill.streaming import asked, inline, listener, shardrun
@@ -242,3 +243,25 @@ def test_keys_by_dictionary(spark):
     left = keymatch.open_pairs(pairs).filter("open").count()
     assert 0 < left < pairs.count() / 3
     assert keymatch.with_matched_keys(df.limit(0), "target", "names").count() == 0
+
+
+# --- vocabulary and ties -----------------------------------------------------------------------
+
+
+def test_vocabulary_and_tokenizer_agree(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "é", "ab", "", None, "a", "漢", "~"])], "i int, t string")
+    words = spark.range(128).select("id", F.char("id").alias("token"))
+    got = distill.texts_by_vocabulary(distill.ids_by_vocabulary(rows, "t", words, Chars), "token_id", words, Chars)
+    want = rows.withColumn("token_id", distill.single_id(Chars)("t")).withColumn("token", distill.decoder(Chars)("token_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plain = distill.ids_by_vocabulary(rows.filter("t IN ('a', '~')"), "t", words, Chars)
+    assert "Python" not in plain._jdf.queryExecution().executedPlan().toString() and {r.token_id for r in plain.collect()} == {97, 126}
+
+
+def test_ties_go_to_the_first_met(spark):
+    c = "array<struct<id:int,text:string,logprob:double>>"
+    df = spark.createDataFrame([([(9, "a", -1.0), (3, "b", -1.0), (7, "c", None), (5, "d", -0.5), (1, "e", None)],)], f"c {c}")
+    assert [x.id for x in df.select(softlabel.ranked(F.col("c"), 4).alias("r")).first().r] == [5, 9, 3, 7]
+    mass = spark.createDataFrame([(0, 9, 0.2, 1), (0, 3, 0.2, 2), (0, 4, 0.1, 0), (0, 4, 0.1, 5), (0, None, 1.0, 0)], "p int, token_id int, prob double, at int")
+    assert {r.token_id for r in kd.merged_candidates(mass, ["p"], 2, order="at").collect()} == {4, 9}
+    assert {r.token_id for r in kd.merged_candidates(mass, ["p"], 2).collect()} == {3, 4}
