@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from compare import rows_of
 from pyspark.sql import functions as F
 
 from fieldmill.llm import decontaminate, fingerprint, html_extract, jaccard_join, langid, substring_dedup, token_store, url_filter
@@ -304,6 +305,32 @@ def test_repeated_and_long_urls(spark):
     assert sorted((r.page_id or 0, r.host, len(r.path)) for r in got) == [(0, "", 0), (1, "a.example.com", 200_001), (1, "a.example.com", 200_001), (2, "a.example.com:80", 2)]
 
 
+def test_outcomes_that_block_some_hosts(spark, tmp_path):
+    """The query and its SQL on labels that decide: bad hosts, bad domains, and hosts too small to tell."""
+    rng, pages, labels = random.Random(12), [], []
+    for h in range(40):
+        for _ in range(rng.choice([1, 2, 30])):
+            i = len(pages)
+            pages.append((i, f"http://h{h}.d{h % 8}.example.{'com' if h % 2 else 'org'}:{80 + h % 2}/en/{i}", "x"))
+            if rng.random() < 0.8:
+                labels.append((i, int(rng.random() > (0.95 if h % 8 < 2 else 0.1)), int(rng.random() < 0.05)))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names, got = rows_of(url_filter.op5_url_filters(spark, str(tmp_path)))
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = con.execute(url_filter.ORACLE)
+    have = [d[0] for d in found.description]
+    assert got == Counter(tuple(r[have.index(c)] for c in names) for r in found.fetchall())
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault(r[names.index("host")], set()).add(r[names.index("verdict")])
+    assert sum(v == {"block"} for v in verdicts.values()) >= 3 and sum(v == {"allow"} for v in verdicts.values()) >= 20
+
+
 # --- op10 --------------------------------------------------------------------------------------
 
 
