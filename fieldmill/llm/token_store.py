@@ -34,6 +34,7 @@ from .tokens import Encoder, default_path
 MAGIC = b"FMIX0001"
 NULL_KEY = 0x5BD1E995  # stands in for a null key in hashes
 TRIED = 64
+FRONT = 32  # characters of a text that order rows of one key into shards
 READ = 500  # documents that a scan reads at once
 _MANIFEST = "shard long, low long, high long, nulls long, n_docs long, n_tokens long"
 
@@ -196,13 +197,14 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     """Encode every whole text, append end_id and write the shards of a store; return its manifest.
 
     Null texts count as empty, null keys come first, rows with equal keys are ordered by text, and
-    an empty table gives no shard. Other columns are ignored, whatever their names. One row per
-    shard comes back to the driver. A task writes under a name of its own and then renames, so a
+    an empty table gives no shard. Rows of one key, or without one, fall to several shards where they
+    are many. Other columns are ignored, whatever their names. One row per shard comes back to the driver. A task writes under a name of its own and then renames, so a
     repeated task replaces the same file by the same bytes.
     """
     tokenizer, folder = tokenizer or default_path(), qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"))
-    rows = (rows.repartitionByRange(shards, "_k") if shards else rows.repartitionByRange("_k")).sortWithinPartitions("_k", "_t")
+    ranges = [F.col("_k"), F.left("_t", F.lit(FRONT))]  # a key on many rows is split by how their texts begin
+    rows = (rows.repartitionByRange(shards, *ranges) if shards else rows.repartitionByRange(*ranges)).sortWithinPartitions("_k", "_t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, enc = TaskContext.get().partitionId(), Encoder.of(tokenizer)

@@ -77,6 +77,20 @@ def test_store_with_null_and_repeated_keys(spark, odd):
     assert len(opened.get(None)) == 2 and len(opened.get(11)) == 2 and len(opened.get(12)) == 2 and len(opened.get(1)) == 1
 
 
+def test_store_with_a_hot_key(spark, tokenizer):
+    """Keys that a third of all rows have, and none, are split over shards, in order."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i * 37 % 1000} of a row") for i in range(900)] + [(None, None)]
+    folder = scratch(spark, "store")
+    manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder, shards=6)
+    assert sum(m["nulls"] > 0 for m in manifest) >= 2 and sum((m["low"] or 0) <= 7 <= (m["high"] or 0) for m in manifest) >= 2
+    opened = token_store.TokenStore(folder, manifest)
+    for key in (None, 7, 8, 899):
+        want = sorted((t or "") for k, t in rows if k == key)
+        assert [x.tolist() for x in opened.get(key)] == [[*tokenizer(t), 0] for t in want]
+    got = token_store.read_store(spark, folder, manifest).collect()
+    assert len(got) == 901 and sorted(r.start for r in got)[0] == 0 and sum(r.n_tokens for r in got) == sum(m["n_tokens"] for m in manifest)
+
+
 def test_perfect_hash_is_minimal():
     for n in (1, 2, 3, 50, 3000):
         h = token_store.key_hashes(np.arange(n) * 7, np.zeros(n, dtype=bool))
