@@ -143,7 +143,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         chosen = F.when(F.col("l") == l, F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / many[l]))).otherwise(chosen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in pieces(batch, 1)):
+        for batch in (part for batch in batches for part in pieces(batch, 1, 1 << 20)):
             lists = pc.ascii_split_whitespace(pc.utf8_lower(batch.column(1)))
             words = lists.flatten().to_pylist()
             cells, owner, scripts = trigrams(words)
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     place, names = docs.columns.index(text), [*docs.columns, *new]
     schema = docs.select("*", F.lit("").alias(new[0]), F.lit(0.0).alias(new[1]), F.array().cast(SPANS).alias(new[2])).schema
 
-    most = (32 << 20) // max(4, len(model.langs))  # scores are held for every word and language
+    most = (8 << 20) // max(4, len(model.langs))  # scores are held for every word and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in pieces(batch, place, most)):
