@@ -89,6 +89,7 @@ class Encoder:
 
     def batch(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of every text of a column, null as empty, as bytes of dtype."""
+        self.cache.trim()  # not behind the last text, as who zips the ids with a list takes no further step
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, SPACES)
         for token in self.added:
@@ -113,7 +114,6 @@ class Encoder:
             else:
                 yield self.raw(column[i].as_py())
             a = b
-        self.cache.trim()
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether a sentence may end behind it: final punctuation or a line break."""
