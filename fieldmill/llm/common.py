@@ -64,10 +64,27 @@ def _checkpoint(df: DataFrame) -> str:
     return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
 
 
+#: Spark's setting by which a query removes its shuffle files at its end; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables written within the block leave no shuffle files: what reads them needs none. Where they
+    were lost, Spark would run their stages again."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        out = df.select("*").checkpoint(eager=True)  # a query of its own, as the setting counts when one is made
     if _OWNED.get() is not None:
         _own(_checkpoint(out))
     return out
@@ -81,7 +98,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table of the shared folder, smaller than a checkpoint where rows are many; and its path."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 

@@ -489,6 +489,22 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     return whole.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key stands in gone (one column of that type, materialised). Only rows
+    that a filter of fixed size can't tell from those are shuffled; null keys stay."""
+    held, columns = docs.sparkSession.sparkContext.broadcast(_bits(gone.select(F.xxhash64(gone.columns[0])), SHARED_BITS)), docs.columns
+
+    def passing(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = batch.column(batch.num_columns - 1).to_numpy()
+                yield batch.filter(pa.array(_set_in(held.value, cells) == inside)).select(columns)
+
+        return docs.withColumn("__cell", F.xxhash64(key)).transform(mapped, run, docs.schema)
+
+    return passing(False).union(passing(True).join(gone.select(F.col(gone.columns[0]).alias("__gone")), F.col(key) == F.col("__gone"), "left_anti"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by links of at least 0.9 on three-word shingles."""
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)

@@ -1,9 +1,12 @@
 """Tables in the shared folder belong to the call that wrote them."""
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import functions as F
+
 from fieldmill.llm import jaccard_join, registry
-from fieldmill.llm.common import cut, kept, scope, scratch
+from fieldmill.llm.common import CLEANUP, cut, kept, scope, scratch
 from fieldmill.sources.paths import children, exists, shared_dir
 
 
@@ -45,3 +48,26 @@ def test_two_joins_at_once_leave_nothing(spark, sf):
         for name in ("op11_spelling_variants", "op12_warc", "op13_importance_resampling", "op10_decontamination"):
             registry.QUERIES[name](spark, sf).collect()
     assert there(spark) == before
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before, was = files(), spark.conf.get(CLEANUP)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    with scope(spark):
+        one, two = kept(rows, "counts")[0], cut(rows)
+        until = time.time() + 20
+        while files() - before and time.time() < until:  # they are removed without waiting
+            time.sleep(0.1)
+        assert not files() - before and one.count() == two.count() == 10 and spark.conf.get(CLEANUP) == was
+
+
+def test_rows_without_those_gone(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(None, "none"), (7, "again")], "k long, t string")
+    with scope(spark):
+        gone, _ = kept(spark.range(0, 60, 7).toDF("k"), "gone")
+        left = jaccard_join.without(docs, "k", gone)
+        assert sorted(map(str, left.collect())) == sorted(map(str, docs.filter("k is null or k % 7 <> 0").collect())) and left.columns == ["k", "t"]
+        rest = left.filter("k % 7 <> 0")
+        plan = jaccard_join.without(docs, "k", gone)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("Union") and plan.count("Join LeftAnti") == 1 and rest.count() == 42
