@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +74,11 @@ _BY_256 = "SELECT doc_id // 256 AS shard_index, min(doc_id) AS example_start, ma
 
 @query(_BY_256)
 def resumed_shards(spark, sf):
-    """A run over shards that stops at its third, and goes on there: entries and rows as of a whole run."""
+    """A run over shards that stops at its third batch, and goes on there: entries and rows as of a whole run."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("example_index"), "n_chars")
     source, out, made = paths.fresh(spark, "examples"), paths.fresh(spark, "run"), []
     shardrun.stage(docs, source, 256)
+    files = max(1, math.ceil(docs.select(shardrun.shard_of(F.col("example_index"), 256)).distinct().count() / 8))  # eight batches, however many shards
 
     def stops(batch):
         made.append(1)
@@ -86,8 +88,8 @@ def resumed_shards(spark, sf):
 
     schema = "example_index long, n_chars long"
     with contextlib.suppress(Exception):
-        shardrun.make_shards(spark, source, schema, out, stops)
-    shardrun.make_shards(spark, source, schema, out, lambda batch: batch)
+        shardrun.make_shards(spark, source, schema, out, stops, files=files)
+    shardrun.make_shards(spark, source, schema, out, lambda batch: batch, files=files)
     rows = spark.read.parquet(f"{out}/shards").groupBy(F.col("shard_index").cast("long").alias("shard_index")).agg(F.sum("n_chars").alias("chars"))
     return shardrun.entries(spark, out).join(rows, "shard_index", "full_outer")
 

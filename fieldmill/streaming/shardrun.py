@@ -35,6 +35,10 @@ def manifest(spark: SparkSession, path: str, header: dict | None = None) -> Data
     return one.select(*(F.lit(v).alias(k) for k, v in (header or {}).items()), "*")
 
 
+#: Spark's setting for how many tasks list folders; it takes one a folder, and a stream lists its source for every batch.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
 def make_shards(spark: SparkSession, source: str, schema: str, path: str, make: Callable[[DataFrame], DataFrame], index: str = "example_index", files: int = 1, writer: ShardWriter | None = None) -> None:
     """Make the shards of the staged examples in source (columns of schema) that this run hasn't made.
 
@@ -42,6 +46,8 @@ def make_shards(spark: SparkSession, source: str, schema: str, path: str, make:
     shards under path/shards and then their entry of the manifest; the stream's checkpoint beside them
     remembers the batch as done. A run that broke off, wherever, goes on with the batch that isn't:
     its shards and its entry are written again in place. Files that are added to source are new batches.
+    A batch takes so many files at most; each costs a few jobs and a listing of source, so give more of
+    them where shards are many.
     """
     stream = spark.readStream.schema(f"{schema}, shard_index long").option("maxFilesPerTrigger", files).parquet(source)
     out = writer or FileShards()
@@ -50,7 +56,13 @@ def make_shards(spark: SparkSession, source: str, schema: str, path: str, make:
         out.write_records(make(batch), f"{path}/shards")
         shard_plan_of(batch, index).coalesce(1).write.mode("overwrite").json(f"{path}/entries/batch={number}")
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(spark.sparkContext.defaultParallelism))
+    try:
+        run = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(LISTING, before)
+    run.awaitTermination()
 
 
 def shard_plan_of(batch: DataFrame, index: str) -> DataFrame:
