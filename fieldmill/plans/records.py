@@ -626,7 +626,7 @@ def scored_stream(spark, sf):
     source, hist, mark = (paths.fresh(spark, n) for n in ("generations", "scores", "mark"))
     g, losses, new = generations(spark, sf), spark.createDataFrame([(1, 0.5)], "step long, loss double"), []
     for part in (g.filter("step = 0"), g.filter("step = 1").unionByName(g.filter("step = 0").limit(5)), g.filter("step = 2")):
-        part.coalesce(1).write.mode("append").json(source)
+        part.write.mode("append").json(source)
         inline.score_stream(spark, source, hist, mark, losses, lambda df, n: new.append(n)).awaitTermination()
     return inline.latest(spark, hist, len(new)).filter("metric in ('matched_fields', 'parse_errors', 'loss')")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import logged_steps, to_long, upsert, with_pending_loss
+from ..operators.history import logged_steps, to_long, with_pending_loss
 from ..operators.scoring import corpus_metrics, score
 from ..sources.paths import exists, remove
 
@@ -49,7 +49,8 @@ def score_stream(spark: SparkSession, source: str, history: str, checkpoint: str
     def each(batch: DataFrame, number: int) -> None:
         before = read_history(spark, f"{history}/v={number - 1}") if number else no_history(spark)
         fresh = score_step(batch.join(logged_steps(before), "step", "left_anti"), losses)
-        upsert(before, fresh).write.mode("overwrite").parquet(f"{history}/v={number}")
+        # fresh has no step of before, so nothing is replaced, and a batch is scored once
+        before.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").parquet(f"{history}/v={number}")
         if on_step:
             on_step(spark.read.parquet(f"{history}/v={number}").join(logged_steps(before), "step", "left_anti"), number)
         if number >= KEPT:
