@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldmill.functions.similarity import choose_key
 from fieldmill.operators import blocked, distill, kd, keymatch, softlabel
 from fieldmill.plans.records import Chars
+from fieldmill.plans import runs
 from fieldmill.plans.queries import positions
 from fieldmill.sources import paths, readers, shardsource, writers
 from fieldmill.streaming import asked, inline, listener, shardrun
@@ -265,3 +266,12 @@ def test_ties_go_to_the_first_met(spark):
     mass = spark.createDataFrame([(0, 9, 0.2, 1), (0, 3, 0.2, 2), (0, 4, 0.1, 0), (0, 4, 0.1, 5), (0, None, 1.0, 0)], "p int, token_id int, prob double, at int")
     assert {r.token_id for r in kd.merged_candidates(mass, ["p"], 2, order="at").collect()} == {4, 9}
     assert {r.token_id for r in kd.merged_candidates(mass, ["p"], 2).collect()} == {3, 4}
+
+
+def test_a_shard_query_takes_few_batches(spark, tmp_path, monkeypatch):
+    """resumed_shards makes about eight batches of any number of shards, not one a shard."""
+    spark.range(0, 256 * 24, 64).select(F.col("id").alias("doc_id"), F.lit(3).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    batches, write = [], writers.FileShards.write_records
+    monkeypatch.setattr(writers.FileShards, "write_records", lambda self, df, path: (batches.append(1), write(self, df, path))[1])
+    got = sorted(map(tuple, runs.resumed_shards(spark, str(tmp_path)).collect()))
+    assert got == [(i, 256 * i, 256 * i + 193, 4, 12) for i in range(24)] and len(batches) == 8
