@@ -10,7 +10,8 @@ its ends would leave as much padding, as where it is longer than a window. With
 
 where m full windows between j and i are cut inside sentences. For each m the candidates j with
 length * m < i - j <= length * (m + 1) form a sliding window, whose least f(j) + j stands at the
-head of a monotone queue. The programme runs over a block of ids at a time; what follows the last
+head of a monotone queue for m = 0; for larger m all of it is known a length before, so these are
+found for all candidates of a length at once. The programme runs over a block of ids at a time; what follows the last
 cut but two of a block opens the next one, so memory stays bounded and a cut is never placed blind.
 So the cuts are the best of each block, given where it begins, not of the whole stream at once.
 
@@ -35,6 +36,7 @@ from .common import mapped, pieces
 from .tokens import Encoder, default_path
 
 LENGTH, SENTENCE, HARD, TAIL = 2048, 1, 512, 4
+FAR = 1 << 62
 FULL = 2  # at most so many full windows in a row are cut inside sentences, but for longer sentences
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -54,38 +56,42 @@ def cuts(candidates: np.ndarray, penalties: np.ndarray, length: int = LENGTH, ha
         more = np.arange(end - int(gaps[k]) + length, end, length)
         candidates, penalties = np.concatenate([candidates, more]), np.concatenate([penalties, np.full(len(more), hard)])
     order = np.argsort(candidates, kind="stable")
-    at = [0, *candidates[order].tolist()]
-    cost = [0, *penalties[order].tolist()]
-    n = len(at)
-    f, back = [0] * n, [(0, 0)] * n
-    heads = [0] * (full + 1)  # the next j to enter queue m
-    queues = [deque() for _ in range(full + 1)]
-    for i in range(1, n):
-        x, best, came = at[i], None, None
-        for m in range(full + 1):
-            q, k = queues[m], heads[m]
-            newest = x - length * m
-            while k < i and at[k] < newest:
-                v = f[k] + at[k]
-                while q and q[-1][0] >= v:
-                    q.pop()
-                q.append((v, k))
-                k += 1
-            heads[m] = k
-            oldest = newest - length
-            while q and at[q[0][1]] < oldest:
-                q.popleft()
-            if q:
-                v = q[0][0] + m * hard + length * (m + 1) - x
-                if best is None or v < best:
-                    best, came = v, (q[0][1], m)
-        f[i], back[i] = best + cost[i], came
+    at = np.concatenate([[0], candidates[order]]).astype(np.int64)
+    cost = np.concatenate([[0], penalties[order]]).astype(np.int64)
+    n, g = len(at), np.zeros(len(at), dtype=np.int64)  # f(i) + at(i)
+    places, prices = at.tolist(), cost.tolist()
+    least: deque[tuple[int, int]] = deque()  # the queue of m = 0; for m > 0 all of a window is known a length before
+    a, before = 1, 0
+    while a < n:
+        b = int(np.searchsorted(at, places[a] + length))
+        far = np.full(b - a, FAR)
+        for m in range(1, full + 1):
+            lo, hi = np.searchsorted(at, at[a:b] - length * (m + 1)), np.searchsorted(at, at[a:b] - length * m)
+            some = np.flatnonzero(lo < hi)
+            if len(some):
+                ends = np.stack([lo[some], hi[some]], axis=1).ravel()
+                far[some] = np.minimum(far[some], np.minimum.reduceat(g[:b], ends)[::2] + m * hard + length * (m + 1))
+        for i, other in zip(range(a, b), far.tolist()):
+            while least and least[-1][0] >= before:
+                least.pop()
+            least.append((before, places[i - 1]))
+            oldest = places[i] - length
+            while least and least[0][1] < oldest:
+                least.popleft()
+            if least and least[0][0] + length < other:
+                other = least[0][0] + length
+            g[i] = before = other + prices[i]
+        a = b
     out, i = [], n - 1
     while i:
-        j, m = back[i]
-        out.append(at[i])
-        out += [at[j] + length * s for s in range(m, 0, -1)]
-        i = j
+        x, want = places[i], int(g[i]) - prices[i]
+        for m in range(full + 1):
+            lo, hi = np.searchsorted(at, (x - length * (m + 1), x - length * m))
+            fits = np.flatnonzero(g[lo:hi] == want - m * hard - length * (m + 1))
+            if len(fits):
+                break
+        i = int(lo + fits[-1])
+        out += [x, *(places[i] + length * s for s in range(m, 0, -1))]
     return out[::-1]
 
 

@@ -1,7 +1,12 @@
 """What Python workers keep from batch to batch is bounded."""
 
+import random
+import sys
+
+import numpy as np
 import pyarrow as pa
 
+from fieldmill.llm import packing
 from fieldmill.llm.tokens import Encoder, default_path
 
 
@@ -12,3 +17,44 @@ def test_what_a_worker_remembers_is_bounded():
         texts = ["".join(chr(97 + int(c)) for c in str(10_000 + 1000 * b + i)) for i in range(200)]
         assert len(list(zip(texts, enc.batch(pa.array(texts))))) == 200
     assert len(enc.cache) + len(enc.cache.old) < 1000
+
+
+def calls(run) -> int:
+    """How many functions, of Python and of C, Python code calls in a run."""
+    made = 0
+
+    def count(frame, event, arg):
+        nonlocal made
+        made += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return made
+
+
+def words(n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghijklmnoprstuvé", k=9)) for _ in range(n)]
+
+
+def test_ids_after_words_are_forgotten():
+    enc, rng = Encoder(default_path(), remembered=50), random.Random(2)
+    few = words(40, 3) + ["x.", "1,5", "(a)", "isn't", ".", "", "漢字,", "a\tb"]
+    for b in range(12):
+        texts = [" ".join(rng.choices(few + words(9, b), k=rng.randint(0, 9))) for _ in range(20)] + [None]
+        assert [np.frombuffer(x, dtype=enc.dtype).tolist() for x in enc.batch(pa.array(texts))] == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_known_words_take_no_step_of_python():
+    enc, texts = Encoder(default_path()), pa.array([" ".join(words(20_000, 4))])
+    list(enc.batch(texts))
+    assert calls(lambda: list(enc.batch(texts))) < 5_000
+
+
+def test_cuts_take_few_steps_a_candidate():
+    rng = np.random.default_rng(5)
+    at = np.cumsum(rng.integers(5, 35, 10_000))
+    assert calls(lambda: packing.cuts(at, rng.integers(0, 2, 10_000))) < 40_000
