@@ -177,11 +177,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*made)], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for part in pieces(batch, 1, 16 << 20):
+            for part in pieces(batch, 1):
                 for doc_id, raw in zip(part.column(0).to_pylist(), enc.batch(part.column(1))):
                     packer.add(doc_id, np.frombuffer(raw + tail, dtype=enc.dtype))
                 if packer.out:
                     yield rows()
+                pa.default_memory_pool().release_unused()  # else what a piece took stays beside the next one's
         packer.pack(last=True)
         if packer.out:
             yield rows()

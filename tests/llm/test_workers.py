@@ -2,6 +2,7 @@
 
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def words(n: int, seed: int) -> list[str]:
     return ["".join(rng.choices("abcdefghijklmnoprstuvé", k=9)) for _ in range(n)]
 
 
+def test_remembered_words_take_little_memory():
+    """About fifty bytes of Python and numpy memory each at most, with their ids."""
+    enc, texts = Encoder(default_path()), pa.array([" ".join(words(30_000, 1))])
+    list(enc.batch(pa.array(["warm up"])))
+    tracemalloc.start()
+    try:
+        list(enc.batch(texts))
+        assert tracemalloc.get_traced_memory()[0] < 50 * 30_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_ids_after_words_are_forgotten():
     enc, rng = Encoder(default_path(), remembered=50), random.Random(2)
     few = words(40, 3) + ["x.", "1,5", "(a)", "isn't", ".", "", "漢字,", "a\tb"]
