@@ -119,10 +119,10 @@ def sifted(rows: DataFrame, id: str, keys: DataFrame, outside: bool = False) ->
     return rows.join(F.broadcast(cells), at == F.col("__cell"), "left_anti" if outside else "left_semi")
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(fn, schema) in batches of at most BATCH bytes; a worker that has done a task
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, most: str | None = None) -> DataFrame:
+    """df.mapInArrow(fn, schema) in batches of at most BATCH bytes, or most; a worker that has done a task
     gives free memory back, as it may stay for long beside others."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most or BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

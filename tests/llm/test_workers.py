@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from fieldmill.llm import packing
+from fieldmill.llm import common, packing
 from fieldmill.llm.tokens import Encoder, default_path
 
 
@@ -71,3 +71,22 @@ def test_cuts_take_few_steps_a_candidate():
     rng = np.random.default_rng(5)
     at = np.cumsum(rng.integers(5, 35, 10_000))
     assert calls(lambda: packing.cuts(at, rng.integers(0, 2, 10_000))) < 40_000
+
+
+def test_packing_takes_little_memory_of_arrow(spark, monkeypatch):
+    """Over batches of the size that is asked of Spark."""
+    asked = {}
+    monkeypatch.setattr(packing, "mapped", lambda df, run, schema, most=None: asked.update(run=run, most=most or common.BATCH) or df)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    packing.pack(spark.createDataFrame([], "doc_id long, text string"))
+    some, size = words(5_000, 6), int(asked["most"].removesuffix("m")) << 20
+    text = " ".join(some)
+    before = pa.default_memory_pool()
+    counted = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(counted)
+    try:
+        batches = (pa.RecordBatch.from_arrays([pa.array(range(size // len(text))), pa.array([text] * (size // len(text)))], names=["_k", "_t"]) for _ in range(3))
+        assert sum(pa.compute.sum(x.column(2)).as_py() for x in asked["run"](batches)) == 3 * (size // len(text)) * (len(Encoder.of(default_path()).tok.encode(text).ids) + 1)
+    finally:
+        pa.set_memory_pool(before)
+    assert counted.max_memory() < 20 << 20
