@@ -157,7 +157,9 @@ def spaced(text: str) -> str:
     return text if text.isascii() or not _UNSPACED.search(text) else _UNSPACED.sub(r" \g<0> ", text)
 
 
-BATCH = "16m"
+#: What a worker takes at once. An executor holds a batch more than once, outside its heap, while it is sent and read
+#: back, so this is kept within the 4 MB of a chunk of its buffer pools.
+BATCH = "2m"
 
 
 class Remembered(dict):

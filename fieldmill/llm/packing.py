@@ -36,8 +36,8 @@ from .common import mapped, pieces
 from .tokens import Encoder, default_path
 
 LENGTH, SENTENCE, HARD, TAIL = 2048, 1, 512, 4
-#: A worker takes so much at once, and so many bytes of its texts in one go; what words of more would take stays beside the encoder.
-TAKEN, PART = "4m", 2 << 20
+#: A worker takes so many bytes of its texts in one go; what words of more would take stays beside the encoder.
+PART = 2 << 20
 FAR = 1 << 62
 FULL = 2  # at most so many full windows in a row are cut inside sentences, but for longer sentences
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         if packer.out:
             yield rows()
 
-    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).transform(mapped, run, PIECES.replace("doc_id", f"`{key}`", 1), TAKEN)
+    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).transform(mapped, run, PIECES.replace("doc_id", f"`{key}`", 1))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ NULL_KEY = 0x5BD1E995  # stands in for a null key in hashes
 TRIED = 64
 FRONT = 32  # characters of a text that order rows of one key into shards
 READ = 500  # documents that a scan reads at once
+#: A writer takes so much at once, as what it looks up anew in each batch takes time.
+TAKEN, PART = "16m", 16 << 20
 _MANIFEST = "shard long, low long, high long, nulls long, n_docs long, n_tokens long"
 
 
@@ -218,7 +220,7 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                 continue
             out = out or fs.open_output_stream(f"{name}.bin.{own}")
             keys.append(batch.column(0))
-            for part in pieces(batch, 1, 16 << 20):
+            for part in pieces(batch, 1, PART):
                 for raw in enc.batch(part.column(1)):
                     sizes.append(len(raw) // width + 1)
                     out.write(raw + tail)
@@ -237,7 +239,7 @@ def write_store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
         made = [number, int(have[0]) if len(have) else None, int(have[-1]) if len(have) else None, int(nulls.sum()), len(sizes), int(offsets[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.int64()) for x in made], names=["shard", "low", "high", "nulls", "n_docs", "n_tokens"])
 
-    return sorted((r.asDict() for r in rows.transform(mapped, write, _MANIFEST).collect()), key=lambda r: r["shard"])
+    return sorted((r.asDict() for r in rows.transform(mapped, write, _MANIFEST, TAKEN).collect()), key=lambda r: r["shard"])
 
 
 def read_store(spark: SparkSession, folder: str, manifest: list[dict], key: str = "doc_id") -> DataFrame:

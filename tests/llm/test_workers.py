@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fieldmill.llm import common, packing
 from fieldmill.llm.tokens import Encoder, default_path
@@ -90,3 +91,15 @@ def test_packing_takes_little_memory_of_arrow(spark, monkeypatch):
     finally:
         pa.set_memory_pool(before)
     assert counted.max_memory() < 20 << 20
+
+
+def test_a_batch_of_texts_takes_little_memory(spark):
+    """20 MB of texts in one partition: no batch holds much more than one of the 4 MB of Arrow's pools."""
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("t"))
+
+    def taken(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    sizes = [r.n for r in common.mapped(texts, taken, "n long").collect()]
+    assert sum(sizes) >= 20_000_000 and max(sizes) < 3 << 20
